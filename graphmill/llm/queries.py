@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.llm.decontaminate import contamination
 from graphmill.llm.exact_dedup import exact_dedup
 from graphmill.llm.simhash import near_duplicates, with_fingerprints
+from graphmill.llm.tokens import read_documents, write_token_files
+
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return read_documents(index)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,6 +42,36 @@ FROM documents
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, w[i : i + least(len(w), 10) - 1] AS g
+  FROM item_words, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT k FROM grams),
+starts AS (
+  SELECT r, k, i, w[i : i + k - 1] AS g FROM words, lengths, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+found AS (SELECT s.r, s.k, s.i, g.item_id FROM starts s JOIN grams g ON s.g = g.g AND s.k = g.k),
+hits AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits h USING (r) LEFT JOIN items i USING (r)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", shingle=3)
     found = near_duplicates(prints, "doc_id", radius=2)
@@ -34,8 +79,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": op2_exact_dedup, "op5_simhash": op5_simhash}
+    return {"op1_token_files": op1_token_files, "op2_exact_dedup": op2_exact_dedup, "op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL}
