@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.decontaminate import contamination
 from graphmill.llm.exact_dedup import exact_dedup
+from graphmill.llm.language import html_language, identify, train, url_host, url_suffix
+from graphmill.llm.mixing import mix, mix_sql
 from graphmill.llm.simhash import near_duplicates, with_fingerprints
 from graphmill.llm.tokens import read_documents, write_token_files
 
@@ -72,15 +74,34 @@ FROM words LEFT JOIN hits h USING (r) LEFT JOIN items i USING (r)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs, "text", "lang"), "text", declared="lang", host="source", keep=["doc_id"])
+    return found.select("doc_id", "identified.*")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same model over web pages: markup language, address suffix and host are evidence beside the text."""
+    model = train(table(spark, sf_dir, "documents"), "text", "lang")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ").alias("text"), html_language("html").alias("declared"), "url")
+    found = identify(pages, model, "text", declared="declared", host=url_host("url"), suffix=url_suffix("url", model.languages), keep=["page_id"])
+    return found.select("page_id", "identified.*")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", shingle=3)
     found = near_duplicates(prints, "doc_id", radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "mix.source", "mix.lang", "mix.topic", F.col("mix.tokens").alias("n_tokens"), F.round("mix.probability", 6).alias("probability"), "mix.kept")
+
+
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op2_exact_dedup": op2_exact_dedup, "op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash}
+    return {"op1_token_files": op1_token_files, "op2_exact_dedup": op2_exact_dedup, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "language_id_pages": language_id_pages, "op5_simhash": op5_simhash, "op6_mixture": op6_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op6_mixture": mix_sql()}
