@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.llm.chat import chained, format_chats, read_back
 from graphmill.llm.decontaminate import contamination
 from graphmill.llm.exact_dedup import exact_dedup
+from graphmill.llm.html_text import extract
 from graphmill.llm.language import html_language, identify, train, url_host, url_suffix
+from graphmill.llm.lm import fit, fold, score
 from graphmill.llm.mixing import mix, mix_sql
 from graphmill.llm.simhash import near_duplicates, with_fingerprints
 from graphmill.llm.tokens import read_documents, write_token_files
+from graphmill.llm.url_filter import DEFAULT_RULES, Rule, filter_sql, filter_urls
 
 END_ID = 2
 
@@ -99,9 +103,42 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "mix.source", "mix.lang", "mix.topic", F.col("mix.tokens").alias("n_tokens"), F.round("mix.probability", 6).alias("probability"), "mix.kept")
 
 
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return read_back(format_chats(chained(rows))).withColumnRenamed("tree", "conv_id")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+URL_RULES = [
+    Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
+    *DEFAULT_RULES,
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id") == 2).alias("held_out"))
+    model = fit(docs.filter("not held_out"))
+    return score(docs, model, ["doc_id", "held_out"])
+
+
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op2_exact_dedup": op2_exact_dedup, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "language_id_pages": language_id_pages, "op5_simhash": op5_simhash, "op6_mixture": op6_mixture}
+    found = (
+        op1_token_files, op2_exact_dedup, op3_decontaminate, op4_language_id, language_id_pages, op5_simhash, op6_mixture, op7_chat_format, op8_html_text,
+        op9_url_filter, op10_lm_score,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op6_mixture": mix_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op6_mixture": mix_sql(), "op9_url_filter": filter_sql(URL_RULES)}
