@@ -13,6 +13,7 @@ from graphmill.llm.language import html_language, identify, train, url_host, url
 from graphmill.llm.lm import fit, fold, score
 from graphmill.llm.mixing import mix, mix_sql
 from graphmill.llm.simhash import near_duplicates, with_fingerprints
+from graphmill.llm.storage import stored
 from graphmill.llm.tokens import read_documents, write_token_files
 from graphmill.llm.url_filter import DEFAULT_RULES, Rule, filter_sql, filter_urls
 
@@ -94,7 +95,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", shingle=3)
-    found = near_duplicates(prints, "doc_id", radius=2)
+    found = near_duplicates(stored(prints, "prints"), "doc_id", radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -205,3 +205,130 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) ->
     least = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return rows.join(stored(named, "simhash-components"), "fp")
+
+
+# The rest serves near-copies that differ in more than a few bits. At a Jaccard similarity of 0.8 two texts' fingerprints
+# differ in up to 11 of 64 bits, while distances to any vantage point spread by 4 bits only: no triangle bound prunes
+# there. Candidates then come from shards of equal minimum-hash bands, and links are decided by similarity.
+
+BANDS, BAND_ROWS = 25, 5
+#: Rows of a shard that are compared at a time; of what came before, one row per group stays for comparison.
+SHARD_ROWS = 20_000
+_RANDOM = np.random.default_rng(20240229)
+FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(text: bytes, shingle: int) -> tuple[int, int, bytes, np.ndarray]:
+    """(fingerprint, key of the set of shingles, a byte per minimum hash, a key per band) of a whole text."""
+    import xxhash
+
+    from graphmill.llm.text import space_words
+
+    words = space_words(text)
+    k = min(shingle, len(words))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)
+    fp = majority(hashes) if words else 0
+    unique = np.unique(hashes)
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(unique), 2048):
+        np.minimum(least, (unique[at : at + 2048, None] * FACTORS + OFFSETS).min(0), out=least)
+    keys = np.array([xxhash.xxh64_intdigest(least[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
+    return fp, xxhash.xxh64_intdigest(unique.tobytes(), len(unique)), ((least * MIX) >> np.uint64(56)).astype(np.uint8).tobytes(), keys.view(np.int64)
+
+
+def with_sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """rows with s_fp, s_set, s_mins and s_bands; null text counts as empty."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    names = [f"k{i}" for i in range(len(rows.columns))]
+    body = names[rows.columns.index(text_col)]
+
+    def sketched(batches):
+        for batch in batches:
+            found = [sketch(t.as_py() or b"", shingle) for t in batch.column(body).cast(pa.binary())]
+            bands = np.concatenate([x[3] for x in found]) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in names),
+                    pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)),
+                    pa.array(np.array([x[1] for x in found], np.uint64).view(np.int64)),
+                    pa.array([x[2] for x in found], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(bands)),
+                ],
+                [*names, "s_fp", "s_set", "s_mins", "s_bands"],
+            )
+
+    added = [("s_fp", T.LongType()), ("s_set", T.LongType()), ("s_mins", T.BinaryType()), ("s_bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*(T.StructField(n, rows.schema[c].dataType) for n, c in zip(names, rows.columns)), *(T.StructField(n, t) for n, t in added)])
+    renamed = rows.select(*(F.col(c).alias(n) for n, c in zip(names, rows.columns)))
+    return renamed.mapInArrow(sketched, schema).select(*(F.col(n).alias(c) for n, c in zip(names, rows.columns)), *(n for n, _ in added))
+
+
+def shard_links(ids: np.ndarray, mins: np.ndarray, similarity: float) -> tuple[list, np.ndarray]:
+    """(links, a row of each group) of one shard. A search from row to row compares each with those not reached yet,
+    so every link counts towards the groups, and a tight group costs one comparison a row."""
+    need = (similarity + (1 - similarity) / 256) * mins.shape[1]
+    left, links, heads = np.arange(len(ids)), [], []
+    while len(left):
+        head, left = left[0], left[1:]
+        heads.append(head)
+        queue = [head]
+        while queue and len(left):
+            row = queue.pop()
+            near = (mins[left] == mins[row]).sum(1) >= need
+            links += [(int(ids[row]), int(ids[x])) for x in left[near]]
+            queue += left[near].tolist()
+            left = left[~near]
+    return links, np.array(heads, np.int64)
+
+
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """docs with d_row (a number of the row), d_group (the row number that names its group) and d_kept.
+
+    Rows of one group are linked, in steps, by fingerprints of at most `radius` differing bits (the vantage-point tree)
+    or by an estimated Jaccard similarity of their shingle sets of at least `similarity` (125 minimum hashes, found
+    through 25 bands of 5: a pair at 0.8 is missed once in 20,000). Texts of one shingle set are one class first, so
+    copies are never compared. The row with the smallest id of a group stays, one row among equal ids; null ids
+    come last. Null text counts as empty, and texts without words are one group.
+    """
+    rows = stored(with_sketches(docs.withColumn("d_row", F.monotonically_increasing_id()), text_col, shingle), "sketches")
+    classes = rows.groupBy("s_set").agg(F.min("s_fp").alias("fp"), F.min("s_mins").alias("mins"), F.min("s_bands").alias("bands"))
+    classes = stored(classes, "sketch-classes")
+    bands = classes.select("s_set", F.explode("bands").alias("band"))
+    shared = stored(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
+    members = bands.join(shared, "band", "left_semi").join(classes.select("s_set", "mins"), "s_set")
+
+    def solve(batches):
+        import pyarrow as pa
+
+        band, ids, mins = None, [], []
+
+        def settle():
+            links, heads = shard_links(np.array(ids, np.int64), np.frombuffer(b"".join(mins), np.uint8).reshape(len(ids), -1), similarity) if len(ids) > 1 else ([], np.arange(len(ids)))
+            ids[:], mins[:] = [ids[h] for h in heads], [mins[h] for h in heads]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, i, m in zip(*(batch.column(c).to_pylist() for c in ("band", "s_set", "mins"))):
+                if key != band:
+                    yield settle()
+                    band = key
+                    ids.clear(), mins.clear()
+                elif len(ids) >= SHARD_ROWS:
+                    yield settle()
+                ids.append(i), mins.append(m)
+        yield settle()
+
+    found = members.select("band", "s_set", "mins").repartition("band").sortWithinPartitions("band", "s_set").mapInArrow(solve, "a long, b long")
+    named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
+    stars = connected(stored(found.unionByName(named).distinct(), "near-links"), "a", "b")
+    grouped = rows.select("s_set", "d_row", id_col).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
+    best = stored(
+        grouped.groupBy("s_group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups"
+    )
+    losers = grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best")
+    out = rows.drop("s_fp", "s_set", "s_mins", "s_bands").join(stored(losers, "near-losers"), "d_row", "left")
+    return out.withColumn("d_group", F.coalesce("d_best", "d_row")).withColumn("d_kept", F.col("d_best").isNull()).drop("d_best")
