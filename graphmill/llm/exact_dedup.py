@@ -30,7 +30,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.octet_length(body).alias("n"), body.alias("body")
     ).withColumn("head", F.substring("body", 1, FIRST_DIGIT))
-    shared = rows.groupBy("n", "head").agg(F.count("*").alias("size"), F.max("rid").alias("gid")).filter("size > 1")
+    # Tables of groups are stored before the join back, so that both its sides are plain exchanges, which adaptive
+    # execution can split where a group is hot.
+    shared = stored(rows.groupBy("n", "head").agg(F.count("*").alias("size"), F.max("rid").alias("gid")).filter("size > 1"), "radix-groups")
     first = stored(
         rows.join(shared, ["n", "head"], "left").select(
             "rid", "id", "n", F.sha2("body", 256).alias("sha"), "gid",
@@ -38,15 +40,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ),
         "radix",
     )
+    discard(shared)
     outcome = first.filter("gid is null").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
-    live, held, at, width = first.filter("gid is not null"), None, FIRST_DIGIT, FIRST_DIGIT * DIGIT_GROWTH
+    live, at, width = first.filter("gid is not null"), FIRST_DIGIT, FIRST_DIGIT * DIGIT_GROWTH
     while not live.isEmpty():
         split = live.select("rid", "id", "n", "sha", "gid", "body", F.substring("body", at + 1, width).alias("digit"))
         at, width = at + width, min(width * DIGIT_GROWTH, WIDEST_DIGIT)
-        groups = split.groupBy("gid", "digit").agg(
-            F.count("*").alias("size"), F.max("rid").alias("next_gid"), F.max(F.struct("id", "rid")).alias("best")
+        groups = stored(
+            split.groupBy("gid", "digit").agg(F.count("*").alias("size"), F.max("rid").alias("next_gid"), F.max(F.struct("id", "rid")).alias("best")), "radix-groups"
         )
         open_ = (F.col("size") > 1) & (F.col("n") > at)
         table = stored(
@@ -56,8 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ),
             "radix",
         )
-        if held is not None:
-            discard(held)
+        discard(groups)
         closed = table.filter("not open").select(
             "id", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), "sha"
         )
