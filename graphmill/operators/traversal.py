@@ -21,14 +21,15 @@ def _closure(seeds: DataFrame, step: DataFrame, levels: int = MOST_LEVELS) -> Da
     for depth in range(1, levels + 1):
         found = front.select("seed", "id").join(step, "id").select("seed", F.col("next").alias("id")).distinct()
         front = found.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth))
-        front = _cut(front)
+        front = cut(front)
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)
     return reached
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint where the cluster names a shared folder for them, else a cache."""
     if not df.sparkSession.sparkContext.getCheckpointDir():
         return df.cache()
     return df.checkpoint()

@@ -139,7 +139,7 @@ CLOSURE = ", down AS (SELECT id FROM star_nodes WHERE {seed} UNION SELECT e.targ
 )
 def B4_F6_delete_files(spark, sf):
     nodes, edges = star(spark, sf, anchors=True)
-    gone = traversal._cut(merge.file_subgraph_ids(nodes, edges, ids(spark, "file:c7", "file:c8", "file:c10")))
+    gone = traversal.cut(merge.file_subgraph_ids(nodes, edges, ids(spark, "file:c7", "file:c8", "file:c10")))
     left_nodes, left_edges = merge.delete_nodes(nodes, edges, gone)
     counts = gone.agg(F.count_distinct("id").alias("deleted_nodes"))
     return counts.join(left_nodes.agg(F.count("*").alias("nodes_left")), F.lit(True)).join(left_edges.agg(F.count("*").alias("edges_left")), F.lit(True))
@@ -407,7 +407,7 @@ RERANK = f"WITH h AS (SELECT * FROM ({NEAREST}) WHERE rank <= 20), b AS (SELECT
 def H6_H7_N6_reranked(spark, sf):
     nodes, edges = corpus(spark, sf)
     hits = retrieval.nearest(embedding_queries(spark, sf), nodes.filter("embedding is not null"), 20)
-    found = traversal._cut(retrieval.seed_candidates(hits, nodes, edges))
+    found = traversal.cut(retrieval.seed_candidates(hits, nodes, edges))
     number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
     scores = found.filter("index % 3 = 0").select("index", (number * 37 % 101 / 100.0).alias("rerank_score"))
     return retrieval.reranked(found, scores, 12).select("id", F.round("rerank_score", 6).alias("rerank_score"), F.round("vector_score", 6).alias("vector_score"))
@@ -428,7 +428,7 @@ SELECT e.id FROM star_edges e WHERE (source_id IN (FROM sel) AND target_id IN (F
 def I4_J5_incremental_edges(spark, sf):
     nodes, edges = star(spark, sf)
     changed = table(spark, sf, "customer").filter("c_custkey % 10 = 0").select(F.col("c_name").alias("relative_path"))
-    return merge.select_incremental(nodes, edges, traversal._cut(merge.incremental_ids(nodes, edges, changed)))[1].select("id")
+    return merge.select_incremental(nodes, edges, traversal.cut(merge.incremental_ids(nodes, edges, changed)))[1].select("id")
 
 
 @query("SELECT 'summary:v' || vec_id AS id FROM embeddings JOIN documents ON doc_id = vec_id WHERE doc_id % 4 = 0")
