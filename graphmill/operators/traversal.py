@@ -66,18 +66,20 @@ def trails(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth:
     """
     if max_depth < 1:
         raise ValueError("max_depth must be at least 1")
-    ends = targets.select(F.col("id").alias("target_id")).distinct()
+    # Each level reads the level before it, so levels are cut off: the plan stays as small as one level.
+    edges = cut(edges.select("id", "source_id", "target_id"))
+    ends = cut(targets.select(F.col("id").alias("target_id")).distinct())
     useful, frontier = [], ends.withColumnRenamed("target_id", "node")
     for _ in range(max_depth):
         reach = edges.join(frontier.withColumnRenamed("node", "target_id"), "target_id", "left_semi").select("id", "source_id", "target_id")
         useful.append(reach)
-        frontier = frontier.unionByName(reach.select(F.col("source_id").alias("node"))).distinct()
+        frontier = cut(frontier.unionByName(reach.select(F.col("source_id").alias("node"))).distinct())
     walk = sources.select(F.col("id").alias("source_id"), F.col("id").alias("at"), F.col("id").alias("path"), F.array().cast("array<string>").alias("seen")).distinct()
     found = []
     for depth in range(1, max_depth + 1):
         step = useful[max_depth - depth].select(F.col("id").alias("edge"), F.col("source_id").alias("at"), F.col("target_id").alias("to"))
         walk = walk.join(step, "at").filter(~F.array_contains("seen", F.col("edge")))
-        walk = walk.select("source_id", F.col("to").alias("at"), F.concat_ws(">", "path", "to").alias("path"), F.array_append("seen", F.col("edge")).alias("seen"))
+        walk = cut(walk.select("source_id", F.col("to").alias("at"), F.concat_ws(">", "path", "to").alias("path"), F.array_append("seen", F.col("edge")).alias("seen")))
         found.append(walk.join(ends, F.col("at") == F.col("target_id"), "left_semi").withColumn("depth", F.lit(depth)))
     out = reduce(DataFrame.unionByName, found).select("source_id", F.col("at").alias("target_id"), "depth", "path", F.array_join("seen", "|").alias("edge_ids"))
     return out if limit is None else out.orderBy("depth", "path", "edge_ids").limit(limit)

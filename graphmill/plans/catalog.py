@@ -320,9 +320,9 @@ def E19_I2_file_changes(spark, sf):
     return merge.file_changes(*versions(spark, sf))
 
 
-@query("SELECT p_name AS qualified_name, min(p_partkey) AS id FROM part GROUP BY p_name HAVING count(*) = 1")
+@query("SELECT p_brand || p_type || p_size AS qualified_name, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1")
 def E20_unique_name(spark, sf):
-    return semantics.unique_by_qualified_name(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("qualified_name")))
+    return semantics.unique_by_qualified_name(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("qualified_name")))
 
 
 @query(", seeds AS (SELECT 'entity:p1' AS id)" + HOPS + " SELECT origin, neighbor, direction FROM hops WHERE edge_type = 'SPECIALIZES' AND direction = 'incoming'", star=True)
@@ -447,8 +447,8 @@ def I7_keep_first(spark, sf):
 # ---- traversal -------------------------------------------------------------------------------------------------------
 
 
-@query(""", walk AS (SELECT 'repo:r1' AS at, 'repo:r1' AS path, 0 AS depth UNION ALL SELECT e.target_id, w.path || '>' || e.target_id, depth + 1 FROM walk w JOIN star_edges e ON e.source_id = w.at WHERE depth < 4)
-SELECT at AS target_id, CAST(depth AS INTEGER) AS depth, path FROM walk WHERE depth > 0 AND at IN (SELECT 'entity:o' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""", star=True)
+@query(""", walk AS (SELECT 'repo:r1' AS spot, 'repo:r1' AS path, 0 AS depth UNION ALL SELECT e.target_id, w.path || '>' || e.target_id, depth + 1 FROM walk w JOIN star_edges e ON e.source_id = w.spot WHERE depth < 4)
+SELECT spot AS target_id, CAST(depth AS INTEGER) AS depth, path FROM walk WHERE depth > 0 AND spot IN (SELECT 'entity:o' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""", star=True)
 def J1_trails(spark, sf):
     targets = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").selectExpr("concat('entity:o', o_orderkey) AS id")
     return traversal.trails(star_edges(spark, sf), ids(spark, "repo:r1"), targets, 4).select("target_id", "depth", "path")
