@@ -11,6 +11,8 @@ from graphmill.llm.storage import stored
 
 #: About so many labelled rows train the text model; every other statistic covers all rows.
 TRAINING_ROWS = 4000
+#: A label with fewer training rows is no language of the model.
+LEAST_LABELLED = 5
 DIMENSIONS = 1 << 14
 CHUNK = 1 << 20
 #: Neighbouring n-grams are far from independent: the evidence of a text counts as that of so many of them at most.
@@ -70,21 +72,27 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, rows: int = TRAININ
 
     def counted(batches):
         totals: dict[str, np.ndarray] = {}
+        seen: dict[str, int] = {}
         for batch in batches:
             for body, lang in zip(batch.column("body"), batch.column("lang").to_pylist()):
                 own = totals.setdefault(lang, np.zeros(DIMENSIONS, np.int64))
+                seen[lang] = seen.get(lang, 0) + 1
                 for f in features(body.as_py()):
                     own += np.bincount(f, minlength=DIMENSIONS)
         for lang, own in totals.items():
             found = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(own[found])], ["lang", "f", "n"])
+            # Feature -1 counts the rows.
+            names, f, n = [lang] * (len(found) + 1), np.append(found, -1), np.append(own[found], seen[lang])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(f), pa.array(n)], ["lang", "f", "n"])
 
-    # Rows: languages times DIMENSIONS at most.
+    # Rows: labels times DIMENSIONS at most.
     sums = chosen.mapInArrow(counted, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    languages = sorted(set(sums["lang"])) or [UNKNOWN]
+    labels, f, n = np.array(sums["lang"], object), np.array(sums["f"], np.int64), np.array(sums["n"], np.int64)
+    languages = sorted(labels[(f < 0) & (n >= LEAST_LABELLED)]) or [UNKNOWN]
     counts = np.zeros((len(languages), DIMENSIONS))
-    if sums["lang"]:
-        counts[np.searchsorted(languages, sums["lang"]), sums["f"]] = sums["n"]
+    for k, language in enumerate(languages):
+        own = (labels == language) & (f >= 0)
+        counts[k, f[own]] = n[own]
     return TextModel(languages, counts)
 
 
