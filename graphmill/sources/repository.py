@@ -128,7 +128,8 @@ def read_slice(repository: str, relative_path: str, start_line: int, end_line: i
     """One file's slice on the driver, its path checked to stay inside the repository."""
     if start_line < 1 or end_line < start_line or max_lines < 1:
         raise ValueError("bad line range")
-    path = Path(repository, normalize_relative_path(repository, relative_path))
+    relative_path = normalize_relative_path(repository, relative_path)
+    path = Path(repository, relative_path)
     if not path.is_file():
         raise FileNotFoundError(relative_path)
     try:

@@ -75,3 +75,27 @@ def test_graph_of_files(spark):
     assert ("ALIASES", "generated-mirror", "a.b.Helper", "a.b.Helper") in got
     assert nodes.filter("node_type = 'Module'").select("name", "ecosystem", "zone").first() == ("m", "maven", "prod")
     assert edges.count() == edges.select("id").distinct().count()
+
+
+def test_index_whole_and_by_changes(spark, tmp_path):
+    from graphmill.plans.agent import Toolbox
+    from graphmill.plans.index import index
+    from graphmill.sources.store import GraphStore
+
+    repo = tmp_path / "repo"
+    for path, text in (("pom.xml", b""), ("src/main/java/a/b/Cart.java", SHOP), ("src/main/java/a/c/Base.java", BASE), ("target/Gone.java", BASE)):
+        (repo / path).parent.mkdir(parents=True, exist_ok=True)
+        (repo / path).write_bytes(text)
+    store = GraphStore(spark, f"file://{tmp_path}/graph")
+    first = index(spark, str(repo), store, "r")
+    assert (first.mode, len(first.added), first.modified) == ("full", 2, [])
+    again = index(spark, str(repo), store, "r", incremental=True)
+    assert (again.skipped, again.added, again.deleted_nodes, again.nodes, again.edges) == (2, [], 0, first.nodes, first.edges)
+    found = Toolbox(spark, store).vector_search_seeds(["class Base a.c.Base"])["items"]
+    assert found and any(x["label"] == "Base" for x in found)
+    (repo / "src/main/java/a/c/Base.java").unlink()
+    (repo / "src/main/java/a/b/Helper.java").write_bytes(HELPER)
+    third = index(spark, str(repo), store, "r", incremental=True)
+    assert (len(third.added), len(third.deleted), third.skipped) == (1, 1, 1) and third.deleted_nodes > 0
+    paths = {r.path for r in store.file_hashes().collect()}
+    assert paths == {"src/main/java/a/b/Cart.java", "src/main/java/a/b/Helper.java"}
