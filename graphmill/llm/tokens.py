@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, islice, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from graphmill.llm.storage import local_copy, new_folder, opened, stored, worker
 SEQUENCE = 1024
 ROWS_PER_BATCH = 64
 #: Entries that a worker's memo of encoded pieces may hold; pieces beyond are encoded anew each time.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 800_000
 
 TWO_SPACES = re.compile(r"\s\s")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -42,9 +43,11 @@ class PieceEncoder:
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.most = most
-        self.begin: list[int] = [0]
-        self.flat = np.empty(1 << 16, np.uint32)
+        #: Ids of all known pieces, end to end; piece k has flat[begin[k]:begin[k + 1]].
+        self.flat, self.begin, self.known = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
         self.memo: dict[str, int] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def split(self, text: str) -> list[str]:
         """Pieces as memo keys: the literal piece, but without its space where a space leads it and no line feed does."""
@@ -61,38 +64,59 @@ class PieceEncoder:
     def literal(key: str) -> str:
         return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
-    def fresh(self, keys: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([self.literal(k) for k in keys], add_special_tokens=False)]
+    def fresh(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces end to end, ids per piece). Pieces without a line feed are encoded as lines of one text:
+        a line feed between two of them is always a piece, and an id, of its own."""
+        texts = [self.literal(k) for k in keys]
+        alone = [k for k, t in enumerate(texts) if self.line is None or "\n" in t or t[-1].isspace()]
+        found = dict(zip(alone, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False))))
+        lines = [k for k in range(len(texts)) if k not in found] if alone else range(len(texts))
+        if not len(lines):
+            ids, ends = np.empty(0, np.uint32), np.empty(0, np.int64)
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([texts[k] for k in lines] if alone else texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+        if not alone:
+            return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
+        found |= zip(lines, np.split(ids[ids != self.line], np.cumsum(np.diff(ends, prepend=-1) - 1)[:-1]) if len(lines) else [])
+        parts = [found[k] for k in range(len(texts))]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def learn(self, keys: list[str]) -> None:
+        """Appends the ids of new pieces; as many as the memo has room for stay there."""
+        for at in range(0, len(keys), 4096):
+            ids, sizes = self.fresh(keys[at : at + 4096])
+            end = self.begin[self.known]
+            while end + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            while self.known + len(sizes) + 1 > len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.flat[end : end + len(ids)] = ids
+            self.begin[self.known + 1 : self.known + 1 + len(sizes)] = end + np.cumsum(sizes)
+            self.known += len(sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.split(t) if t else [] for t in texts]
-        unknown = list({k for keys in split for k in keys if k not in self.memo})
-        # What the memo has no room for lives behind its end for this call only.
-        extra: dict[str, int] = {}
-        end_of_memo = len(self.begin)
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            for key, ids in zip(part, self.fresh(part)):
-                place = self.begin[-1]
-                while place + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[place : place + len(ids)] = ids
-                (self.memo if len(self.memo) < self.most else extra)[key] = len(self.begin) - 1
-                self.begin.append(place + len(ids))
-                if not extra:
-                    end_of_memo = len(self.begin)
-        begin = np.array(self.begin, np.int64)
-        look = self.memo.__getitem__ if not extra else lambda k: self.memo[k] if k in self.memo else extra[k]
-        out = []
-        for keys in split:
-            rows = np.fromiter(map(look, keys), np.int64, len(keys))
-            sizes = begin[rows + 1] - begin[rows]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[rows] - (ends - sizes), sizes)])
-        del self.begin[end_of_memo:]
-        return out
+        keys = list(chain.from_iterable(split))
+        rows = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(rows < 0)
+        kept = self.known
+        if len(missing):
+            new: dict[str, int] = {}
+            rows[missing] = [new.setdefault(keys[i], kept + len(new)) for i in missing]
+            self.learn(list(new))
+            room = self.most - len(self.memo)
+            self.memo.update(new if len(new) <= room else islice(new.items(), max(0, room)))
+            kept += min(len(new), max(0, room))
+        sizes = self.begin[rows + 1] - self.begin[rows]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[rows] - (ends - sizes), sizes)]
+        # What the memo has no room for is forgotten again.
+        self.known = kept
+        last = np.cumsum([len(x) for x in split])
+        return np.split(ids, np.concatenate([[0], ends])[last][:-1]) if texts else []
 
 
 class SequenceWriter:
