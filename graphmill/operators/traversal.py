@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Containment is repository, module, file, and nested entities; deeper nesting takes more rounds, not another plan.
@@ -14,7 +18,7 @@ MOST_LEVELS = 64
 def _closure(seeds: DataFrame, step: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     """(seed, id, depth) of everything reached from the seeds by step (id, next), each once at its least depth.
 
-    Level by level: only what is new goes on, so loops end. Each level is one equi-join, checkpointed to cut lineage.
+    Level by level: only what is new goes on, so loops end. Each level is one equi-join, stored to cut lineage.
     """
     reached = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct()
     front = reached
@@ -28,11 +32,25 @@ def _closure(seeds: DataFrame, step: DataFrame, levels: int = MOST_LEVELS) -> Da
     return reached
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one, gone at exit, only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="graphmill-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return f"file://{_OWN[0]}"
+
+
+_OWN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint where the cluster names a shared folder for them, else a cache."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        return df.cache()
-    return df.checkpoint()
+    """df computed once and cut off from its lineage: written to the shared folder and read again."""
+    where = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def contains(edges: DataFrame, up: bool = False) -> DataFrame:
