@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import types
@@ -11,13 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder: spark.checkpoint.dir, or a local one where that is unset (tests, local mode)."""
+    """URI of the shared folder: spark.checkpoint.dir, or a local one, gone at exit, where that is unset (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = f"file://{tempfile.gettempdir()}/graphmill-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(root)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="graphmill-llm-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
+        root = f"file://{_OWN[0]}"
     return (root if "://" in root or root.startswith("file:") else f"file://{root}").rstrip("/")
 
 
@@ -68,11 +74,7 @@ def local_copy(uri: str) -> str:
         return path
     kept = worker_state().setdefault("copies", {})
     if uri not in kept:
-        import shutil
-
         if "copy_dir" not in worker_state():
-            import atexit
-
             worker_state()["copy_dir"] = tempfile.mkdtemp(prefix="graphmill-map-")
             atexit.register(shutil.rmtree, worker_state()["copy_dir"], True)
         target = os.path.join(worker_state()["copy_dir"], uuid.uuid4().hex)
