@@ -171,14 +171,16 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) ->
     """rows (id_col and `fp`) with component_id: the smallest id reachable over links of at most `radius` differing bits.
 
     Equal fingerprints form one class first, so copies are never expanded into pairs. Distinct fingerprints are
-    dealt to the leaves of a vantage-point tree whose pivots come from a sample of at most PIVOT_SAMPLE of them;
+    dealt to the leaves of a vantage-point tree whose pivots come from a sample of about PIVOT_SAMPLE of them;
     the sample shapes the tree only, every fingerprint is routed and every link is found. Boundary shells go to
     both sides. Leaves are solved apart and give spanning forests; components are joined by star contraction.
     """
     classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
     n = classes.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF_ROWS)))
-    sample = np.array([r.fp for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PIVOT_SAMPLE).collect()], np.int64).view(np.uint64)
+    # A hash of the fingerprint chooses the sample, so no more than about PIVOT_SAMPLE rows ever reach the driver.
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(min(1.0, PIVOT_SAMPLE / max(1, n)) * 1_000_000)
+    sample = np.sort(np.array([r.fp for r in classes.select("fp").filter(chosen).collect()], np.int64)).view(np.uint64)
     tree = build_tree(sample, min(depth, max(0, int(math.log2(max(1, len(sample)) / 4)))), radius)
 
     def deal(batches):
