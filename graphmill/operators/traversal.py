@@ -7,28 +7,31 @@ import shutil
 import tempfile
 import uuid
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Containment is repository, module, file, and nested entities; deeper nesting takes more rounds, not another plan.
-MOST_LEVELS = 64
+#: After so many levels the union of levels is stored, so that plans stay small however deep the nesting.
+LEVELS_A_PLAN = 16
 
 
-def _closure(seeds: DataFrame, step: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def _closure(seeds: DataFrame, step: DataFrame, levels_a_plan: int = LEVELS_A_PLAN) -> DataFrame:
     """(seed, id, depth) of everything reached from the seeds by step (id, next), each once at its least depth.
 
     Level by level: only what is new goes on, so loops end. Each level is one equi-join, stored to cut lineage.
     """
     reached = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct()
     front = reached
-    for depth in range(1, levels + 1):
+    for depth in count(1):
         found = front.select("seed", "id").join(step, "id").select("seed", F.col("next").alias("id")).distinct()
         front = found.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth))
         front = cut(front)
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)
+        if depth % levels_a_plan == 0:
+            reached = cut(reached)
     return reached
 
 

@@ -27,6 +27,12 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want))) and want
 
 
+def test_closure_stores_deep_levels_and_ends_on_loops(spark):
+    step = spark.createDataFrame([*((str(i), str(i + 1)) for i in range(7)), ("7", "2")], "id string, next string")
+    found = traversal._closure(spark.createDataFrame([("0",)], "id string"), step, levels_a_plan=2).collect()
+    assert sorted((r.id, r.depth) for r in found) == [(str(i), i) for i in range(8)]
+
+
 def test_every_query_has_sql():
     assert set(catalog.SQL) == set(catalog.QUERIES)
 
