@@ -62,13 +62,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, rows: int = TRAINING_ROWS) -> TextModel:
-    """Counts n-grams of about `rows` labelled texts, chosen by a hash of the text; counting runs on the executors."""
+    """Counts n-grams of about `rows` different labelled texts, chosen by a hash of the text; counting runs on the executors.
+    Copies of a text count once, so a large group of copies neither outgrows the bound nor outweighs the rest."""
     import pyarrow as pa
 
     known = labelled.select(F.col(text_col).cast("binary").alias("body"), primary_subtag(lang_col).alias("lang")).filter("lang is not null and body is not null")
     n = known.count()
     share = min(1.0, rows / max(1, n))
-    chosen = known.filter(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.filter(F.pmod(F.xxhash64("body"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).dropDuplicates(["body", "lang"])
 
     def counted(batches):
         totals: dict[str, np.ndarray] = {}
@@ -113,7 +114,7 @@ def url_suffix(column: str, languages: list[str]):
 
 
 def html_language(column: str):
-    return F.regexp_extract(F.substring(F.col(column), 1, 4096), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
+    return F.regexp_extract(F.col(column), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
 
 
 

@@ -7,7 +7,7 @@ from hashlib import sha256
 import duckdb
 import pytest
 from graphmill.llm import chat, html_text, lm
-from graphmill.llm.language import identify, train
+from graphmill.llm.language import html_language, identify, train
 from graphmill.llm.mixing import mix, mix_sql
 from graphmill.llm.url_filter import Rule, filter_sql, filter_urls
 from pyspark.sql import functions as F
@@ -31,6 +31,17 @@ def test_language_fuses_evidence(spark):
     assert identify(empty, train(empty, "text", "lang")).collect() == []
 
 
+def test_language_training_counts_copies_once(spark):
+    rows = [(f"{EN if i % 2 else FR} x{i}", "en" if i % 2 else "fr") for i in range(20)]
+    plain, copied = (train(spark.createDataFrame(r, "text string, lang string"), "text", "lang", 10**6) for r in (rows, rows + rows[:1] * 200))
+    assert plain.languages == copied.languages == ["en", "fr"] and (plain.weights == copied.weights).all()
+
+
+def test_markup_language_is_found_anywhere(spark):
+    rows = spark.createDataFrame([("<!-- " + "x" * 9000 + " --><HTML class=a lang='de-AT'>",), ("<html>",), (None,)], "html string")
+    assert [r.lang for r in rows.select(html_language("html").alias("lang")).collect()] == ["de-AT", "", None]
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------------------
 
 
