@@ -179,7 +179,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) ->
     n = classes.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF_ROWS)))
     # A hash of the fingerprint chooses the sample, so no more than about PIVOT_SAMPLE rows ever reach the driver.
-    chosen = F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(min(1.0, PIVOT_SAMPLE / max(1, n)) * 1_000_000)
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(min(1.0, PIVOT_SAMPLE / max(1, n)) * (1 << 40))
     sample = np.sort(np.array([r.fp for r in classes.select("fp").filter(chosen).collect()], np.int64)).view(np.uint64)
     tree = build_tree(sample, min(depth, max(0, int(math.log2(max(1, len(sample)) / 4)))), radius)
 
@@ -214,7 +214,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) ->
 # there. Candidates then come from shards of equal minimum-hash bands, and links are decided by similarity.
 
 BANDS, BAND_ROWS = 25, 5
-#: Rows of a shard that are compared at a time; of what came before, one row per group stays for comparison.
+#: Rows of a shard that are compared at a time; of what came before, one row per group stays for comparison. Each band
+#: has an order of its own, so that a link that one shard's blocks part is met in others.
 SHARD_ROWS = 20_000
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -324,7 +325,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ids.append(i), mins.append(m)
         yield settle()
 
-    found = members.select("band", "s_set", "mins").repartition("band").sortWithinPartitions("band", "s_set").mapInArrow(solve, "a long, b long")
+    found = members.select("band", "s_set", "mins").repartition("band").sortWithinPartitions("band", F.xxhash64("band", "s_set")).mapInArrow(solve, "a long, b long")
     named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
     stars = connected(stored(found.unionByName(named).distinct(), "near-links"), "a", "b")
     grouped = rows.select("s_set", "d_row", id_col).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
