@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.components import connected
-from graphmill.llm.storage import stored
+from graphmill.llm.storage import discard, stored
 
 LEAF_ROWS = 2048
 PIVOT_SAMPLE = 65536
@@ -211,38 +211,48 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) ->
 
 # The rest serves near-copies that differ in more than a few bits. At a Jaccard similarity of 0.8 two texts' fingerprints
 # differ in up to 11 of 64 bits, while distances to any vantage point spread by 4 bits only: no triangle bound prunes
-# there. Candidates then come from shards of equal minimum-hash bands, and links are decided by similarity.
+# there. Candidates then come from shards of equal minimum-hash bands, and links are decided by the exact similarity of
+# the whole shingle sets.
 
 BANDS, BAND_ROWS = 25, 5
-#: Rows of a shard that are compared at a time; of what came before, one row per group stays for comparison. Each band
-#: has an order of its own, so that a link that one shard's blocks part is met in others.
+#: About so many rows are compared in one place. A larger shard is cut into blocks, and every pair of blocks is compared.
 SHARD_ROWS = 20_000
+#: A pair is a candidate if its estimate is at most so many standard errors under the similarity.
+SLACK = 5.0
+#: Pairs that a task sends on at a time.
+PAIRS = 1 << 16
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, int, bytes, np.ndarray]:
-    """(fingerprint, key of the set of shingles, a byte per minimum hash, a key per band) of a whole text."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    import xxhash
+
+    k = min(shingle, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)
+
+
+def sketch(text: bytes, shingle: int) -> tuple[int, int, bytes, np.ndarray, int]:
+    """(fingerprint, key of the set of shingles, a byte per minimum hash, a key per band, size of the set) of a whole text."""
     import xxhash
 
     from graphmill.llm.text import space_words
 
     words = space_words(text)
-    k = min(shingle, len(words))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)
+    hashes = shingle_hashes(words, shingle)
     fp = majority(hashes) if words else 0
     unique = np.unique(hashes)
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(unique), 2048):
         np.minimum(least, (unique[at : at + 2048, None] * FACTORS + OFFSETS).min(0), out=least)
     keys = np.array([xxhash.xxh64_intdigest(least[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
-    return fp, xxhash.xxh64_intdigest(unique.tobytes(), len(unique)), ((least * MIX) >> np.uint64(56)).astype(np.uint8).tobytes(), keys.view(np.int64)
+    return fp, xxhash.xxh64_intdigest(unique.tobytes(), len(unique)), ((least * MIX) >> np.uint64(56)).astype(np.uint8).tobytes(), keys.view(np.int64), len(unique)
 
 
 def with_sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """rows with s_fp, s_set, s_mins and s_bands; null text counts as empty."""
+    """rows with s_fp, s_set, s_mins, s_bands and s_size; null text counts as empty."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
@@ -260,78 +270,178 @@ def with_sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
                     pa.array(np.array([x[1] for x in found], np.uint64).view(np.int64)),
                     pa.array([x[2] for x in found], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(bands)),
+                    pa.array([x[4] for x in found], pa.int64()),
                 ],
-                [*names, "s_fp", "s_set", "s_mins", "s_bands"],
+                [*names, "s_fp", "s_set", "s_mins", "s_bands", "s_size"],
             )
 
-    added = [("s_fp", T.LongType()), ("s_set", T.LongType()), ("s_mins", T.BinaryType()), ("s_bands", T.ArrayType(T.LongType()))]
+    added = [("s_fp", T.LongType()), ("s_set", T.LongType()), ("s_mins", T.BinaryType()), ("s_bands", T.ArrayType(T.LongType())), ("s_size", T.LongType())]
     schema = T.StructType([*(T.StructField(n, rows.schema[c].dataType) for n, c in zip(names, rows.columns)), *(T.StructField(n, t) for n, t in added)])
     renamed = rows.select(*(F.col(c).alias(n) for n, c in zip(names, rows.columns)))
     return renamed.mapInArrow(sketched, schema).select(*(F.col(n).alias(c) for n, c in zip(names, rows.columns)), *(n for n, _ in added))
 
 
-def shard_links(ids: np.ndarray, mins: np.ndarray, similarity: float) -> tuple[list, np.ndarray]:
-    """(links, a row of each group) of one shard. A search from row to row compares each with those not reached yet,
-    so every link counts towards the groups, and a tight group costs one comparison a row."""
-    need = (similarity + (1 - similarity) / 256) * mins.shape[1]
-    left, links, heads = np.arange(len(ids)), [], []
+def agreeing(similarity: float, slack: float) -> float:
+    """How many minimum hashes agree at that similarity, less `slack` standard errors."""
+    n, p = BANDS * BAND_ROWS, similarity + (1 - similarity) / 256
+    return n * p - slack * math.sqrt(n * p * (1 - p))
+
+
+def shard_links(ids: np.ndarray, mins: np.ndarray, sizes: np.ndarray, similarity: float):
+    """(id, id, agreeing hashes) of likely links of one shard. A search from row to row compares each with those not
+    reached yet, so a tight group costs one comparison a row."""
+    need = agreeing(similarity, 0)
+    left = np.arange(len(ids))
     while len(left):
         head, left = left[0], left[1:]
-        heads.append(head)
         queue = [head]
         while queue and len(left):
             row = queue.pop()
-            near = (mins[left] == mins[row]).sum(1) >= need
-            links += [(int(ids[row]), int(ids[x])) for x in left[near]]
+            same = (mins[left] == mins[row]).sum(1)
+            near = (same >= need) & sizes_allow(sizes[left], sizes[row], similarity)
+            yield np.full(near.sum(), ids[row]), ids[left[near]], same[near]
             queue += left[near].tolist()
             left = left[~near]
-    return links, np.array(heads, np.int64)
+
+
+def sizes_allow(sizes, size, similarity: float):
+    """Whether sets of these sizes can be that similar: no more than the smaller one is shared."""
+    return np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9
+
+
+def shard_candidates(ids: np.ndarray, mins: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, similarity: float):
+    """(id, id, agreeing hashes) of every pair of one shard, or of two blocks of it, that is in different groups and
+    isn't ruled out by the estimate. A row is compared with the rows of larger groups only."""
+    need = agreeing(similarity, SLACK)
+    _, which, counts = np.unique(groups, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, counts[which]))
+    ids, mins, sizes, which, blocks = ids[order], mins[order], sizes[order], which[order], blocks[order]
+    ends = np.append(np.flatnonzero(np.diff(which)) + 1, len(ids))
+    two = len(np.unique(blocks)) > 1
+    for row in range(len(ids)):
+        end = ends[np.searchsorted(ends, row, "right")]
+        if end == len(ids):
+            return
+        same = (mins[end:] == mins[row]).sum(1)
+        near = (same >= need) & sizes_allow(sizes[end:], sizes[row], similarity)
+        if two:
+            near &= blocks[end:] != blocks[row]
+        yield np.full(near.sum(), ids[row]), ids[end:][near], same[near]
+
+
+def solved(rows: DataFrame, keys: list[str], columns: list[str], solve) -> DataFrame:
+    """(a, b, same): what `solve` yields for the arrays of s_set, mins and `columns` of all rows of equal keys."""
+    import pyarrow as pa
+
+    def each(batches):
+        key, held, out, n = None, [], [], 0
+
+        def flush():
+            a, b, same = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same.astype(np.int64))], ["a", "b", "same"])
+
+        def settle():
+            if len(held) > 1:
+                ids, mins, *others = zip(*held)
+                yield from solve(np.array(ids, np.int64), np.frombuffer(b"".join(mins), np.uint8).reshape(len(ids), -1), *(np.array(x, np.int64) for x in others))
+            held.clear()
+
+        def found(batch):
+            nonlocal key
+            for *now, row in zip(*(batch.column(c).to_pylist() for c in keys), zip(*(batch.column(c).to_pylist() for c in ("s_set", "mins", *columns)))):
+                if now != key:
+                    yield from settle()
+                    key = now
+                held.append(row)
+
+        def everything():
+            for batch in batches:
+                yield from found(batch)
+            yield from settle()
+
+        for part in everything():
+            if len(part[0]):
+                out.append(part)
+                n += len(part[0])
+            if n >= PAIRS:
+                yield flush()
+                n = 0
+        yield flush()
+
+    return rows.select(*keys, "s_set", "mins", *columns).repartition(*keys).sortWithinPartitions(*keys, "s_set").mapInArrow(each, "a long, b long, same long")
+
+
+def truly_linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose whole shingle sets have a Jaccard similarity of at least `similarity`."""
+    import pyarrow as pa
+
+    from graphmill.llm.text import space_words
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(space_words(t.as_py() or b""), shingle)).tobytes() for t in batch.column("body").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("s_set"), pa.array(found, pa.binary())], ["s_set", "hashes"])
+
+    def decided(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s_set")).distinct()
+    texts = rows.select(F.col("d_row").alias("first_row"), F.col(text_col).alias("body")).join(classes.select("s_set", "first_row").join(wanted, "s_set", "left_semi"), "first_row")
+    found = stored(texts.select("s_set", "body").mapInArrow(sets, "s_set long, hashes binary"), "shingle-sets")
+    side = lambda key, name: found.select(F.col("s_set").alias(key), F.col("hashes").alias(name))
+    links = stored(pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(decided, "a long, b long"), "true-links")
+    discard(found)
+    return links
 
 
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """docs with d_row (a number of the row), d_group (the row number that names its group) and d_kept.
 
     Rows of one group are linked, in steps, by fingerprints of at most `radius` differing bits (the vantage-point tree)
-    or by an estimated Jaccard similarity of their shingle sets of at least `similarity` (125 minimum hashes, found
-    through 25 bands of 5: a pair at 0.8 is missed once in 20,000). Texts of one shingle set are one class first, so
-    copies are never compared. The row with the smallest id of a group stays, one row among equal ids; null ids
-    come last. Null text counts as empty, and texts without words are one group.
+    or by a Jaccard similarity of their whole shingle sets of at least `similarity`. Candidates for the latter are the
+    pairs that meet in one of 25 bands of 5 minimum hashes (a pair at 0.8 is missed once in 20,000) and whose estimate
+    from the 125 is not under 0.8 by more than 5 standard errors; the sets decide. First one likely link a row is
+    decided, which joins most groups; then every candidate between different groups is. Texts of one shingle set are one
+    class first, so copies are never compared. The row with the smallest id of a group stays, one row among equal ids;
+    null ids come last. Null text counts as empty, and texts without words are one group.
     """
     rows = stored(with_sketches(docs.withColumn("d_row", F.monotonically_increasing_id()), text_col, shingle), "sketches")
-    classes = rows.groupBy("s_set").agg(F.min("s_fp").alias("fp"), F.min("s_mins").alias("mins"), F.min("s_bands").alias("bands"))
+    classes = rows.groupBy("s_set").agg(
+        F.min("s_fp").alias("fp"), F.min("s_mins").alias("mins"), F.min("s_bands").alias("bands"), F.min("s_size").alias("size"), F.min("d_row").alias("first_row")
+    )
     classes = stored(classes, "sketch-classes")
     bands = classes.select("s_set", F.explode("bands").alias("band"))
-    shared = stored(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
-    members = bands.join(shared, "band", "left_semi").join(classes.select("s_set", "mins"), "s_set")
-
-    def solve(batches):
-        import pyarrow as pa
+    shared = stored(bands.groupBy("band").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-bands")
+    members = stored(bands.join(shared, "band").withColumn("block", F.pmod(F.xxhash64("band", "s_set"), "blocks").cast("int")), "band-members")
+    sketches = classes.select("s_set", "mins", "size")
+    decide = lambda pairs: truly_linked(pairs, rows, classes, text_col, shingle, similarity)
 
-        band, ids, mins = None, [], []
-
-        def settle():
-            links, heads = shard_links(np.array(ids, np.int64), np.frombuffer(b"".join(mins), np.uint8).reshape(len(ids), -1), similarity) if len(ids) > 1 else ([], np.arange(len(ids)))
-            ids[:], mins[:] = [ids[h] for h in heads], [mins[h] for h in heads]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for key, i, m in zip(*(batch.column(c).to_pylist() for c in ("band", "s_set", "mins"))):
-                if key != band:
-                    yield settle()
-                    band = key
-                    ids.clear(), mins.clear()
-                elif len(ids) >= SHARD_ROWS:
-                    yield settle()
-                ids.append(i), mins.append(m)
-        yield settle()
-
-    found = members.select("band", "s_set", "mins").repartition("band").sortWithinPartitions("band", F.xxhash64("band", "s_set")).mapInArrow(solve, "a long, b long")
+    likely = solved(members.join(sketches, "s_set"), ["band", "block"], ["size"], lambda *x: shard_links(*x, similarity))
+    first = stored(likely.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")), "likely-links")
     named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
-    stars = connected(stored(found.unionByName(named).distinct(), "near-links"), "a", "b")
+    stars = stored(connected(decide(first).unionByName(named), "a", "b"), "first-groups")
+
+    # Shards within one group are done; the others' blocks meet each with each.
+    labelled = members.join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set")).drop("root")
+    labelled = stored(labelled, "labelled-members")
+    mixed = labelled.groupBy("band").agg(F.min("s_group").alias("low"), F.max("s_group").alias("high")).filter("low != high").select("band")
+    cells = labelled.join(mixed, "band", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(sketches, "s_set")
+    others = solved(cells, ["band", "low", "high"], ["size", "s_group", "block"], lambda *x: shard_candidates(*x, similarity))
+    second = decide(stored(others.select("a", "b").distinct(), "candidate-links"))
+    stars = connected(second.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
     grouped = rows.select("s_set", "d_row", id_col).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
     best = stored(
         grouped.groupBy("s_group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups"
     )
     losers = grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best")
-    out = rows.drop("s_fp", "s_set", "s_mins", "s_bands").join(stored(losers, "near-losers"), "d_row", "left")
+    out = rows.drop("s_fp", "s_set", "s_mins", "s_bands", "s_size").join(stored(losers, "near-losers"), "d_row", "left")
     return out.withColumn("d_group", F.coalesce("d_best", "d_row")).withColumn("d_kept", F.col("d_best").isNull()).drop("d_best")
