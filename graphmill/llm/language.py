@@ -9,12 +9,14 @@ from pyspark.sql import types as T
 
 from graphmill.llm.storage import stored
 
-#: About so many labelled rows train the text model; every other statistic covers all rows.
+#: About so many different texts of each label train the text model; every other statistic covers all rows.
 TRAINING_ROWS = 4000
 #: A label with fewer training rows is no language of the model.
 LEAST_LABELLED = 5
 DIMENSIONS = 1 << 14
 CHUNK = 1 << 20
+#: So many labels' counts are held by a task at a time.
+MOST_HELD = 256
 #: Neighbouring n-grams are far from independent: the evidence of a text counts as that of so many of them at most.
 MOST_EVIDENCE = 50.0
 HOST_STRENGTH = 8.0
@@ -62,29 +64,38 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, rows: int = TRAINING_ROWS) -> TextModel:
-    """Counts n-grams of about `rows` different labelled texts, chosen by a hash of the text; counting runs on the executors.
-    Copies of a text count once, so a large group of copies neither outgrows the bound nor outweighs the rest."""
+    """Counts n-grams of about `rows` different texts of each label (all where it has fewer), chosen by a hash of the text;
+    counting runs on the executors. A label's share follows its own number of texts, so a rare language is modelled in a
+    table of any size. Copies of a text count once, so a large group of copies neither outgrows the bound nor outweighs the rest."""
     import pyarrow as pa
 
     known = labelled.select(F.col(text_col).cast("binary").alias("body"), primary_subtag(lang_col).alias("lang")).filter("lang is not null and body is not null")
-    n = known.count()
-    share = min(1.0, rows / max(1, n))
-    chosen = known.filter(F.pmod(F.xxhash64("body"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).dropDuplicates(["body", "lang"])
+    known = known.withColumn("h", F.xxhash64("body"))
+    # A row per label: two or three letters.
+    share = stored(known.groupBy("lang").agg(F.least(F.lit(1.0), rows / F.approx_count_distinct("h")).alias("share")), "label-shares")
+    chosen = known.join(share, "lang").filter(F.pmod("h", F.lit(1_000_000_000)) < F.col("share") * 1_000_000_000).dropDuplicates(["body", "lang"]).select("body", "lang")
 
     def counted(batches):
         totals: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
+
+        def settled():
+            for lang, own in totals.items():
+                found = np.flatnonzero(own)
+                # Feature -1 counts the rows.
+                names, f, n = [lang] * (len(found) + 1), np.append(found, -1), np.append(own[found], seen[lang])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(f), pa.array(n)], ["lang", "f", "n"])
+            totals.clear(), seen.clear()
+
         for batch in batches:
             for body, lang in zip(batch.column("body"), batch.column("lang").to_pylist()):
+                if len(totals) >= MOST_HELD and lang not in totals:
+                    yield from settled()
                 own = totals.setdefault(lang, np.zeros(DIMENSIONS, np.int64))
                 seen[lang] = seen.get(lang, 0) + 1
                 for f in features(body.as_py()):
                     own += np.bincount(f, minlength=DIMENSIONS)
-        for lang, own in totals.items():
-            found = np.flatnonzero(own)
-            # Feature -1 counts the rows.
-            names, f, n = [lang] * (len(found) + 1), np.append(found, -1), np.append(own[found], seen[lang])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(f), pa.array(n)], ["lang", "f", "n"])
+        yield from settled()
 
     # Rows: labels times DIMENSIONS at most.
     sums = chosen.mapInArrow(counted, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow().to_pydict()

@@ -37,6 +37,12 @@ def test_language_training_counts_copies_once(spark):
     assert plain.languages == copied.languages == ["en", "fr"] and (plain.weights == copied.weights).all()
 
 
+def test_rare_languages_are_modelled_in_large_tables(spark):
+    many = spark.range(12000).select(F.concat(F.lit(EN + " x"), "id").alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([(f"{FR} x{i}", "fr") for i in range(6)], "text string, lang string")
+    assert train(many.unionByName(few), "text", "lang").languages == ["en", "fr"]
+
+
 def test_markup_language_is_found_anywhere(spark):
     rows = spark.createDataFrame([("<!-- " + "x" * 9000 + " --><HTML class=a lang='de-AT'>",), ("<html>",), (None,)], "html string")
     assert [r.lang for r in rows.select(html_language("html").alias("lang")).collect()] == ["de-AT", "", None]
