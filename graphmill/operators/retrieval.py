@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from graphmill.functions.scalar import dot, similarity
 from graphmill.operators.reader import VISIBLE_NODE_TYPES, node_label
 
-#: Queries a search takes at once: they are sent to all workers.
+#: About so many queries are searched at once: a block of them is sent to all workers.
 MOST_QUERIES = 1000
 
 
@@ -23,16 +25,23 @@ def unit(vectors: DataFrame, column: str) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
     """(query, id, score, rank): the k vectors nearest to each query by cosine, ties by id.
 
-    queries: query, vector; a stated set of at most MOST_QUERIES, checked, and sent to every worker. Each partition keeps k
-    rows per query before the shuffle (a window group limit), so what moves is k rows for each query and partition.
+    queries: query, vector; any number. They are dealt to blocks of about MOST_QUERIES by a hash of `query`, and each block
+    is sent to every worker in turn. Each partition keeps k rows per query before the shuffle (a window group limit), so
+    what moves is k rows for each query and partition.
     """
-    asked = unit(queries.select("query", "vector"), "vector").limit(MOST_QUERIES + 1)
-    if asked.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search in blocks")
+    asked = unit(queries.select("query", "vector"), "vector")
+    blocks = math.ceil(asked.count() / MOST_QUERIES)
     base = unit(vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v")), "v")
-    scored = base.join(F.broadcast(asked), F.size("v") == F.size("vector")).select("query", "id", dot(F.col("v"), F.col("vector")).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def found(block: DataFrame) -> DataFrame:
+        scored = base.join(F.broadcast(block), F.size("v") == F.size("vector")).select("query", "id", dot(F.col("v"), F.col("vector")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    if blocks <= 1:
+        return found(asked)
+    number = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [found(asked.filter(number == b)) for b in range(blocks)])
 
 
 def nearest_in_buckets(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", column: str = "embedding", planes: int = 8, probes: int = 3, seed: int = 11) -> DataFrame:

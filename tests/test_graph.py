@@ -121,6 +121,14 @@ def test_candidates_and_rerank(spark):
     assert [r.id for r in filled] == ["node-a", "node-b"]
 
 
+def test_nearest_takes_any_number_of_queries(spark, monkeypatch):
+    base = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = base.filter("vec_id < 40").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    want = sorted(map(tuple, retrieval.nearest(asked, base, 3, "vec_id").collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 15)
+    assert sorted(map(tuple, retrieval.nearest(asked, base, 3, "vec_id").collect())) == want and len(want) == 120
+
+
 def test_nearest_in_buckets_finds_the_same_vector(spark):
     base = spark.read.parquet(f"{SF}/embeddings.parquet")
     asked = base.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
