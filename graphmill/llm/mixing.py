@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ CYCLES = 12
 TEMPERATURE = 0.7
 BUDGET = 0.5
 FILL_ROUNDS = 8
+#: Fitting goes on, CYCLES at a time, until every marginal is met up to this share of its target. Where targets can't
+#: all be met, it ends once CYCLES more lower the largest error by less than STALLED of it, and the rest is logged.
+TOLERANCE = 1e-6
+STALLED = 1e-3
 SEED = "mix-1"
 #: So many cells fit one task; beyond, each step is a grouped sum and a join.
 ONE_TASK_CELLS = 100_000
@@ -37,7 +43,8 @@ def rake(cells: DataFrame, cycles: int = CYCLES, temperature: float = TEMPERATUR
 
     targets: for any dimension a table (value, share); shares are scaled to sum to one over the values present, and
     a value it lacks gets none. Without a table a value's share follows its tokens to the power `temperature`.
-    Targets that cannot all be met at once give the fit after the last cycle, exact in the last dimension.
+    Cycles are done in runs of `cycles` until the largest error of a marginal is under TOLERANCE. Targets that cannot all
+    be met at once give the fit where the error stalls, exact in the last dimension as far as that can be; the error is logged.
     """
     n = cells.count()
     small = n <= ONE_TASK_CELLS
@@ -51,31 +58,50 @@ def rake(cells: DataFrame, cycles: int = CYCLES, temperature: float = TEMPERATUR
         now = now.join(wanted.select(d, (F.col("share") * (mass / whole if whole else 0.0)).alias(f"target_{d}")), d)
     now = stored(now.withColumn("w", F.col("tokens").cast("double")), "cells")
     now = now.coalesce(1) if small else now
-    for cycle in range(cycles):
-        for d in DIMENSIONS:
-            if small:
-                # One partition already: the window needs no exchange.
-                scaled = now.withColumn("held", F.sum("w").over(Window.partitionBy(d)))
-            else:
-                scaled = now.join(now.groupBy(d).agg(F.sum("w").alias("held")), d)
-            now = scaled.withColumn("w", F.when(F.col("held") > 0, F.col("w") * F.col(f"target_{d}") / F.col("held")).otherwise(0.0)).drop("held")
-        if not small or cycle % 4 == 3:
-            now = stored(now, "cells")
-            now = now.coalesce(1) if small else now
+    error = None
+    while True:
+        for cycle in range(cycles):
+            for d in DIMENSIONS:
+                if small:
+                    # One partition already: the window needs no exchange.
+                    scaled = now.withColumn("held", F.sum("w").over(Window.partitionBy(d)))
+                else:
+                    scaled = now.join(now.groupBy(d).agg(F.sum("w").alias("held")), d)
+                now = scaled.withColumn("w", F.when(F.col("held") > 0, F.col("w") * F.col(f"target_{d}") / F.col("held")).otherwise(0.0)).drop("held")
+            if not small or cycle % 4 == 3 or cycle == cycles - 1:
+                now = stored(now, "cells")
+                now = now.coalesce(1) if small else now
+        last, error = error, largest_error(now)
+        if error <= TOLERANCE or cycles < 1:
+            break
+        if last is not None and error > last * (1 - STALLED):
+            logging.getLogger(__name__).warning("targets can't all be met: a marginal stays %.3g of its target away", error)
+            break
     return now.select(*DIMENSIONS, "tokens", "w")
 
 
-def probabilities(fitted: DataFrame, budget: float = BUDGET, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """fitted with `probability`: min(1, c * w / tokens), c such that the expected tokens are `budget` of all (or as
-    near as `rounds` corrections for cells that are taken whole come)."""
+def largest_error(cells: DataFrame) -> float:
+    """The largest distance of a marginal of `w` from its target, as a share of the target."""
+    errors = [
+        cells.groupBy(d).agg(F.sum("w").alias("held"), F.first(f"target_{d}").alias("target")).filter("target > 0").agg(F.max(F.abs(F.col("held") / F.col("target") - 1))).first()[0]
+        for d in DIMENSIONS
+    ]
+    return max((float(e) for e in errors if e is not None), default=0.0)
+
+
+def probabilities(fitted: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """fitted with `probability`: min(1, c * w / tokens), c such that the expected tokens are `budget` of all, or as
+    near as cells without mass allow. A correction may make more cells be taken whole, so they go on until none is added."""
     row = fitted.agg(F.sum("tokens"), F.sum("w")).first()
     goal = budget * float(row[0] or 0)
     c = goal / float(row[1]) if row[1] else 0.0
-    for _ in range(rounds):
+    whole = 0
+    while True:
         full = F.col("w") * c >= F.col("tokens")
-        row = fitted.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
-        if not row[1]:
+        row = fitted.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count_if(full & (F.col("tokens") > 0))).first()
+        if not row[1] or row[2] <= whole:
             break
+        whole = row[2]
         c = (goal - float(row[0])) / float(row[1])
     return fitted.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * c / F.col("tokens"))).otherwise(F.lit(float(budget))))
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from graphmill.llm import chat, html_text, lm
 from graphmill.llm.language import html_language, identify, train
-from graphmill.llm.mixing import mix, mix_sql
+from graphmill.llm.mixing import mix, mix_sql, rake
 from graphmill.llm.url_filter import Rule, filter_sql, filter_urls
 from pyspark.sql import functions as F
 
@@ -71,6 +71,26 @@ def test_mixture_equals_sql(spark):
     assert mix(docs.limit(0)).collect() == []
 
 
+def test_fitting_goes_on_until_marginals_are_met(spark):
+    # Each source is nearly one language, so twelve cycles leave a marginal far off.
+    cells = [(f"s{i}", f"l{j}", "prose", 1000 if i == j else 3) for i in range(3) for j in range(3)]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    shares = {"source": [0.6, 0.3, 0.1], "lang": [0.1, 0.3, 0.6]}
+    targets = {d: spark.createDataFrame([(f"{d[0]}{i}", x) for i, x in enumerate(v)], "value string, share double") for d, v in shares.items()}
+    rows = rake(frame, targets=targets).collect()
+    total = sum(r.w for r in rows)
+    for d, v in shares.items():
+        for i, x in enumerate(v):
+            assert math.isclose(sum(r.w for r in rows if r[d] == f"{d[0]}{i}") / total, x, rel_tol=1e-5)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, caplog):
+    frame = spark.createDataFrame([("a", "en", "prose", 10), ("b", "fr", "prose", 10)], "source string, lang string, topic string, tokens long")
+    targets = {d: spark.createDataFrame([(v[0], 0.9), (v[1], 0.1)], "value string, share double") for d, v in (("source", "ab"), ("lang", ("fr", "en")))}
+    assert len(rake(frame, targets=targets).collect()) == 2
+    assert "can't all be met" in caplog.text
+
+
 def test_mixture_meets_targets(spark):
     docs = spark.createDataFrame([(i, "w " * 100, "en" if i % 4 else "fr", "a" if i % 3 else "b") for i in range(1200)], "doc_id long, text string, lang string, source string")
     half = spark.createDataFrame([("en", 0.5), ("fr", 0.5)], "value string, share double")
