@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections import defaultdict
+from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,194 +24,246 @@ STOP_WORDS = frozenset(
     le les lo los más me mi muy nada ni no nos o para pero por porque que quien se ser si sin sobre son su sus también te tiene un una
     uno y ya""".split()
 )
-# Elements that start and end a block, that hold no text for readers, and that are never the article.
+# Elements that start and end a block, that hold no text for readers, whose content is no markup, that
+# have no content, and that are never the article.
 BLOCK_TAGS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section
     select summary table tbody td tfoot th thead title tr ul""".split()
 )
 SILENT_TAGS = frozenset("applet audio canvas embed head iframe map math noscript object script style svg template title video".split())
+RAW_TAGS = frozenset("iframe noembed noframes script style textarea title xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE_TAGS = frozenset("aside button dialog footer form header menu nav search select textarea".split())
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words of class names and ids. The first name what a page's article is in and may stand beside; the
+# second what is never the article; the third what may be part of it, so that a block of it must read like prose.
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+CONTENT_COMPANY = CONTENT_WORDS | frozenset("area blog body container inner page single text wrap wrapper".split())
 BOILERPLATE_WORDS = frozenset(
-    """ad ads adsense advert advertisement adverts alert banner bottombar breadcrumb breadcrumbs comment comments consent
-    cookie cookies copyright disclaimer disqus dropdown footer gdpr header links login masthead menu modal nav navbar
-    navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies
-    reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar
-    topbar warning widget""".split()
+    """ad ads adsense advert advertisement adverts banner bottombar breadcrumb breadcrumbs comment comments consent cookie
+    cookies copyright disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay
+    pager pagination popup promo promoted promotion recommended replies respond sidebar signup sponsor sponsored subscribe
+    subscription toolbar topbar widget""".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Values that end when such an element starts.
-CLOSED_BY = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
+SUSPECT_WORDS = frozenset("alert disclaimer header links login related reply search share sharing skip social tags teaser warning".split())
+#: An element of the first kind ends when one of its own starts, unless a list or table has begun in between.
+CLOSED_BY = {"li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+WALLS = ("ul", "ol", "table", "dl", "select")
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 MOST_LINKS, MOST_LINKS_INSIDE = 0.33, 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[a-z]+")
+
+# A comment, a declaration, or a tag and its attributes. No alternative gives back what it has read, and a tag that never
+# ends reads the rest of the page, so any page is read in linear time.
+MARKUP = re.compile(
+    r"""<(?:!--(?:-?>|.*?--!?>|.*+)|[!?][^>]*+>?|/(?![A-Za-z])[^>]*+>?|(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<said>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?P<shut>>?))""", re.DOTALL
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+SAYING = re.compile("class|id|role|hidden|style", re.IGNORECASE)
 
 
 class Block:
-    __slots__ = ("bad", "heading", "inside", "label", "linked", "parts")
+    """A run of text between block elements. `shunned`: in an element that is never the article; `suspect`: in one that
+    may be; `zone`: the content container it is in, 0 outside of any."""
+
+    __slots__ = ("heading", "label", "linked", "parts", "shunned", "suspect", "text", "zone")
+
+    def __init__(self, zone: int, shunned: bool, suspect: bool, heading: bool):
+        self.parts, self.linked, self.text, self.label = [], 0, "", ""
+        self.zone, self.shunned, self.suspect, self.heading = zone, shunned, suspect, heading
 
-    def __init__(self, inside: bool, bad: bool, heading: bool):
-        self.parts, self.linked, self.inside, self.bad, self.heading, self.label = [], 0, inside, bad, heading, ""
 
+def named(said: dict) -> tuple[bool, bool, bool]:
+    """(names a content container, names what is never the article, names what may be) from an element's class and id."""
+    content = never = maybe = False
+    for token in f"{said.get('class', '')} {said.get('id', '')}".lower().split():
+        words = set(WORDS.findall(token))
+        content |= bool(words & CONTENT_WORDS) and words <= CONTENT_COMPANY
+        never |= bool(words & BOILERPLATE_WORDS)
+        # entry-header or post-tags are parts of the article.
+        maybe |= bool(words & SUSPECT_WORDS) and not words & CONTENT_WORDS
+    return content, never, maybe
 
-class Blocks(HTMLParser):
-    """Cuts a page into blocks of text, with what their elements say about them."""
+
+class Cutter:
+    """Cuts a page into blocks. Every open element is pushed and popped once, and the innermost element of a name is
+    found by its own stack, so the work is linear in the page, however deep or broken its markup."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        #: Of the open elements: (tag, silent, boilerplate, inside a content container)
-        self.open: list[tuple[str, bool, bool, bool]] = []
-        self.links = 0
-        self.fresh = True
-        self.silent = False
+        #: Of the open elements: (tag, silent, shunned, suspect, zone)
+        self.open: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.zones, self.fresh = 0, True
+
+    def innermost(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else 0
 
-    def handle_starttag(self, tag, attrs):
+    def cut(self, k: int) -> None:
+        for x in self.open[k:]:
+            self.places[x[0]].pop()
+        del self.open[k:]
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            self.handle_data(" ")
-            return
+            self.text(" ")
         if tag in BLOCK_TAGS:
             self.fresh = True
-            self.close_p()
+            if self.innermost("p"):
+                self.cut(self.innermost("p"))
+            wall = max(map(self.innermost, WALLS)) if tag in CLOSED_BY else 0
             for other in CLOSED_BY.get(tag, ()):
-                self.close_within(other, {"ul", "ol", "table", "dl", "select"})
+                if self.innermost(other) > wall:
+                    self.cut(self.innermost(other))
         if tag in VOID_TAGS:
             return
-        silent, bad, inside = self.open[-1][1:] if self.open else (False, False, False)
-        said = dict(attrs)
-        words = set(re.split(r"[^a-z]+", f"{said.get('class') or ''} {said.get('id') or ''}".lower()))
-        role = (said.get("role") or "").strip().lower()
-        content = tag in ("article", "main") or role in ("main", "article") or (bool(words & CONTENT_WORDS) and tag in ("div", "section", "td"))
-        shunned = bool(words & BOILERPLATE_WORDS) or role in BOILERPLATE_ROLES
-        if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
-            shunned = True
-        if words & CONTENT_WORDS and inside and words & BOILERPLATE_WORDS <= {"header", "links", "tags"}:
-            shunned = tag in BOILERPLATE_TAGS - {"header"}
+        _, silent, shunned, suspect, zone = self.open[-1]
+        said = {k.lower(): unescape(a or b or c) for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))} if SAYING.search(attributes) else {}
+        content, never, maybe = named(said) if "class" in said or "id" in said else (False, False, False)
+        role = said.get("role", "").strip().lower()
+        content = tag in ("article", "main") or role in ("main", "article") or (content and tag in ("div", "section", "td"))
         if tag in ("html", "body"):
-            shunned = content = False
-        hidden = "hidden" in said or "display:none" in (said.get("style") or "").replace(" ", "").lower() or said.get("aria-hidden") == "true"
-        self.open.append((tag, silent or tag in SILENT_TAGS or hidden, bad or shunned, inside or (content and not shunned)))
-        self.silent = self.open[-1][1]
-        self.links += tag == "a"
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
-            self.handle_endtag(tag)
-
-    def close_p(self):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == "p":
-                self.cut(k)
-                return
-            if self.open[k][0] in BLOCK_TAGS:
-                return
-
-    def close_within(self, tag, walls):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.cut(k)
-                return
-            if self.open[k][0] in walls:
-                return
-
-    def cut(self, k):
-        self.links -= sum(x[0] == "a" for x in self.open[k:])
-        del self.open[k:]
-        self.silent = bool(self.open) and self.open[-1][1]
+            content = never = maybe = False
+        elif content and not zone:
+            never = never and not (named(said)[0] or tag == "main" or role == "main")
+            maybe = False
+        never = never or role in BOILERPLATE_ROLES or (tag in BOILERPLATE_TAGS and not (tag == "header" and zone))
+        if content and not zone and not (never or shunned or silent):
+            self.zones += 1
+            zone = self.zones
+        hidden = "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in "".join(said.get("style", "").split()).lower()
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, silent or hidden or tag in SILENT_TAGS, shunned or never, suspect or maybe, zone))
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.fresh = True
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.cut(k)
-                return
+        if self.innermost(tag):
+            self.cut(self.innermost(tag))
 
-    def handle_data(self, data):
-        if self.silent:
+    def text(self, data: str) -> None:
+        _, silent, shunned, suspect, zone = self.open[-1]
+        if silent or (self.fresh and not data.strip()):
             return
         if self.fresh:
-            if not data.strip():
-                return
-            _, _, bad, inside = self.open[-1] if self.open else ("", False, False, False)
-            heading = any(x[0] in HEADINGS for x in self.open[-4:])
-            self.blocks.append(Block(inside, bad, heading))
+            self.blocks.append(Block(zone, shunned, suspect, any(x[0] in HEADINGS for x in self.open[-4:])))
             self.fresh = False
         self.blocks[-1].parts.append(data)
-        if self.links:
+        if self.innermost("a"):
             self.blocks[-1].linked += len("".join(data.split()))
 
 
-def first_label(block: Block, text: str, declared: bool) -> str:
-    """good, bad or short, by what the block is in, its links, its length and its share of function words."""
+def blocks_of(html: str) -> list[Block]:
+    """The page's blocks of text, in order. Malformed markup never fails: what starts like a comment, declaration or tag and
+    has no end reads on to the page's end, and any other `<` is text."""
+    cutter, at = Cutter(), 0
+    while (m := MARKUP.search(html, at)) is not None:
+        if m.start() > at:
+            cutter.text(unescape(html[at : m.start()]))
+        at = m.end()
+        if not m["tag"] or not m["shut"]:
+            continue
+        tag = m["tag"].lower()
+        if m["end"]:
+            cutter.end(tag)
+            continue
+        cutter.start(tag, m["said"])
+        if m["said"].endswith("/") and tag not in VOID_TAGS:
+            cutter.end(tag)
+        elif tag in RAW_TAGS:
+            close = re.compile(f"</{tag}(?![^\\s/>])", re.IGNORECASE).search(html, at)
+            if close is None:
+                return finished(cutter.blocks)
+            at = close.start()
+    if at < len(html):
+        cutter.text(unescape(html[at:]))
+    return finished(cutter.blocks)
+
+
+def finished(blocks: list[Block]) -> list[Block]:
+    for b in blocks:
+        b.text = " ".join("".join(b.parts).split())
+    return [b for b in blocks if b.text]
+
+
+def first_label(block: Block) -> str:
+    """good, bad or short, by the block's link density, length and stop-word density. What its elements say shifts the
+    rules: an element that is never the article is bad, a suspect one must read like prose, and in a content container
+    text without stop words is left to its neighbours."""
+    text, inside = block.text, bool(block.zone)
     links = block.linked / max(1, len(text.replace(" ", "")))
-    if block.bad or (declared and not block.inside):
+    if block.shunned or links > (MOST_LINKS_INSIDE if inside else MOST_LINKS) or (block.suspect and not inside):
         return "bad"
-    if block.inside:
-        return "bad" if links > MOST_LINKS_INSIDE else "good"
-    if links > MOST_LINKS or text.startswith("©") or "cookie" in text[:SHORT].lower():
+    if not inside and len(text) < LONG and text.startswith("©"):
         return "bad"
-    if block.heading or len(text) < SHORT:
-        return "short"
     words = LETTERS.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOP_HIGH:
+    prose = not block.heading and len(text) >= SHORT and (stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) > LONG))
+    if prose:
         return "good"
-    if stops >= STOP_LOW:
-        return "good" if len(text) > LONG else "short"
-    return "bad"
+    if block.suspect:
+        return "bad"
+    return "short" if inside or block.heading or len(text) < SHORT or stops >= STOP_LOW else "bad"
+
+
+def label(blocks: list[Block]) -> None:
+    """Both passes. A short block takes the label of its nearest decided neighbour in its zone: a run of blocks in one
+    content container, or outside of any. In a container, blocks of elements that are never the article are passed over.
+    Of two at equal distance that differ, the good one counts in a container, the bad one outside. A heading belongs to
+    what follows it, in any zone. A short block without a decided neighbour is good in a container, else bad."""
+    firsts = [first_label(b) for b in blocks]
+    n = len(blocks)
+
+    def neighbours(order):
+        """For each block the nearest decided one in that direction, in its zone and anywhere; -1 for none."""
+        near, any_, last, far = [-1] * n, [-1] * n, -1, -1
+        zone = None
+        for k in order:
+            if blocks[k].zone != zone:
+                zone, last = blocks[k].zone, -1
+            near[k], any_[k] = last, far
+            if firsts[k] != "short" and not (blocks[k].shunned and zone):
+                last = k
+            if firsts[k] != "short":
+                far = k
+        return near, any_
+
+    (before, _), (after, following) = neighbours(range(n)), neighbours(range(n - 1, -1, -1))
+    for k, b in enumerate(blocks):
+        b.label = firsts[k]
+        if b.label != "short":
+            continue
+        ahead = after[k] if after[k] >= 0 else following[k] if b.heading and not b.zone else -1
+        if b.heading and ahead >= 0:
+            b.label = firsts[ahead]
+            continue
+        found = [(abs(k - j), (firsts[j] == "good") != bool(b.zone), firsts[j]) for j in (before[k], after[k]) if j >= 0]
+        b.label = min(found)[2] if found else "good" if b.zone else "bad"
 
 
 def main_text(html: str) -> str:
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    blocks = [(b, " ".join("".join(b.parts).split())) for b in parser.blocks]
-    blocks = [(b, t) for b, t in blocks if t]
-    declared = any(b.inside and not b.bad for b, _ in blocks)
-    labels = [first_label(b, t, declared) for b, t in blocks]
-    # Second pass: short blocks take the label of the nearest decided neighbours; where the two sides differ, the nearer
-    # one, and at equal distance `good` only for a heading, which belongs to what follows it.
-    before, after, last = [], [None] * len(labels), None
-    for k, label in enumerate(labels):
-        if label != "short":
-            last = k
-        before.append(last)
-    last = None
-    for k in range(len(labels) - 1, -1, -1):
-        if labels[k] != "short":
-            last = k
-        after[k] = last
-    kept = []
-    for k, (block, text) in enumerate(blocks):
-        label = labels[k]
-        if label == "short":
-            sides = [(abs(k - j), labels[j]) for j in (before[k], after[k]) if j is not None]
-            if block.heading and after[k] is not None:
-                label = labels[after[k]]
-            elif len(sides) == 2 and sides[0][0] == sides[1][0]:
-                label = sides[0][1] if sides[0][1] == sides[1][1] else "bad"
-            else:
-                label = min(sides)[1] if sides else "bad"
-        if label == "good":
-            kept.append(text)
-    return "\n\n".join(kept)
+    blocks = blocks_of(html)
+    label(blocks)
+    return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
     """pages (columns `keep`, else all but html_col) with the page's main text in `out`, and n_chars.
 
-    Pass one labels each block good, bad or short. Menus, headers, footers, asides, forms and blocks whose class, id or
-    role names such a thing or adverts, notices or comments are bad; so are link lists. If the page declares a content
-    container (article, main or the like), the rest of it is good and all outside it bad. Otherwise length and the density
-    of function words decide, and pass two gives short blocks the label of their nearest decided neighbours.
-    Null or empty html gives an empty text. Each page is read whole and apart from others.
+    Pass one labels each block good, bad or short by its link density, length and density of function words. Menus,
+    headers, footers, asides, forms and blocks whose class, id or role names such a thing or adverts, notices or comments
+    are bad. Pass two gives short blocks the label of their nearest decided neighbours. A declared content container
+    (article, main or the like) is one zone of neighbours, and eases the rules for what is in it.
+
+    Null or empty html gives an empty text; so does an empty table no rows. Malformed, deep and very long pages are read
+    in linear time, each whole and apart from others; repeated rows get equal results. A kept column named like an
+    output gives two columns of that name, as a select would.
     """
     import pyarrow as pa
 
