@@ -23,10 +23,11 @@ BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
 class PieceEncoder:
-    """Encodes whole texts with the tokenizers library and remembers the ids of their pieces.
+    """Encodes whole texts with the tokenizers library, as it loads the file, and remembers the ids of their pieces.
 
     A byte-level BPE of this kind splits text before a space that stands between two other characters, and before a
-    line feed there, so such pieces can be encoded apart. For any other tokenizer texts are encoded whole.
+    line feed there, so such pieces can be encoded apart. Texts that hold the string of an added token, which becomes that
+    token's id, are encoded whole; so are all texts for any other tokenizer.
     """
 
     def __init__(self, path: str, most: int = MEMO_ENTRIES):
@@ -39,7 +40,8 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.most = most
@@ -98,6 +100,11 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        odd = [k for k, t in enumerate(texts) if self.added is not None and self.added.search(t)]
+        if odd:
+            whole = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in whole]))
+            return [np.array(whole[k].ids, np.uint32) if k in whole else next(rest) for k in range(len(texts))]
         split = [self.split(t) if t else [] for t in texts]
         keys = list(chain.from_iterable(split))
         rows = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))

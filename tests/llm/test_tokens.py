@@ -13,7 +13,6 @@ BPE = P.path("byte_bpe_50k.json")
 
 def plain(texts):
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -67,5 +66,21 @@ def test_documents_round_trip(spark):
         at += len(ids)
 
 
+def test_special_strings_become_their_token():
+    assert [x.tolist() for x in PieceEncoder(BPE).encode(["a <|endoftext|> b", "a b"])] == plain(["a <|endoftext|> b", "a b"]) and 50256 in plain(["a <|endoftext|> b"])[0]
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(5, "b b"), (5, "a"), (None, "n"), (5, "a"), (None, None), (1, "<|endoftext|>")]
+    got = read_documents(write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BPE, 2)).collect()
+    order = [(None, ""), (None, "n"), (1, "<|endoftext|>"), (5, "a"), (5, "a"), (5, "b b")]
+    want, at = [], 0
+    for doc_id, text in order:
+        ids = plain([text])[0] + [2]
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_no_documents(spark):
     assert read_documents(write_token_files(spark.createDataFrame([], "doc_id long, text string"), BPE, 2)).collect() == []
