@@ -59,8 +59,9 @@ class TextModel:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max())
-    return e / e.sum()
+    """Of each row."""
+    e = np.exp(x - x.max(1, keepdims=True)) if x.size else x
+    return e / e.sum(1, keepdims=True)
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, rows: int = TRAINING_ROWS) -> TextModel:
@@ -128,27 +129,28 @@ def html_language(column: str):
     return F.regexp_extract(F.col(column), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
 
 
-
 def identify(
     docs: DataFrame, model: TextModel, text_col: str = "text", declared: str | None = "lang", host: str | None = "source", suffix=None, keep: list[str] | None = None, out: str = "identified"
 ) -> DataFrame:
     """docs (columns `keep`, else all) with a struct column `out` of lang, confidence, text_lang, accepted.
 
-    Two passes over the texts. The first gives each text's posterior under the text model and sums them by host,
-    declared language and suffix, combined before the shuffle. From these sums come P(declared | language),
+    One pass over the texts scores each under the text model; the scores are stored with the columns to keep. From the
+    posteriors, summed by host, declared language and suffix and combined before the shuffle, come P(declared | language),
     P(suffix | language) and host priors, smoothed towards the host's domain and that towards the whole; a hot host is
-    one row of sums. The second pass adds the logs of all evidence for each text, leaving the text's own share out of
-    its host's prior. The host table is joined by key; Spark broadcasts it only if its stored size is under the session's limit.
-
-    accepted: the text has letters and the best language's probability is at least 0.5. A text without letters (null,
-    empty, digits only) gets `und`, confidence 0. Null or unknown declared languages, suffixes and hosts are evidence
-    classes of their own. Row order and repeated rows do not matter.
+    one row of sums. The logs of all evidence are then added for each text, whose own share is left out of all these
+    statistics, so that no text is evidence for itself. The host table is joined by key: Spark broadcasts it only if its
+    stored size is under the session's limit, and splits a hot host's rows where it has to shuffle.
+
+    accepted: the text has letters and the best language's probability is at least 0.5; of equally probable languages the
+    first by name counts. A text without letters (null, empty, digits only) gets `und`, confidence 0. Null or unknown
+    declared languages, suffixes and hosts are evidence classes of their own. Row order and repeated rows do not matter;
+    an empty table gives no rows; a column named `out` is replaced by the result.
     """
     import pyarrow as pa
 
     languages = model.languages
     L = len(languages)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c != out] if keep is None else keep
     tag = primary_subtag(declared) if declared else F.lit(None).cast("string")
     evidence = docs.select(
         *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)),
@@ -157,30 +159,31 @@ def identify(
         F.coalesce(suffix if suffix is not None else F.lit(None).cast("string"), F.lit("")).alias("e_suffix"),
         F.coalesce(F.col(host).cast("string") if isinstance(host, str) else host if host is not None else F.lit(""), F.lit("")).alias("e_host"),
     )
+    passed = [*(f"k{i}" for i in range(len(keep))), "e_declared", "e_suffix", "e_host"]
+    scores = [f"x{l}" for l in range(L)]
 
-    def posteriors(batches):
+    def scored(batches):
         for batch in batches:
-            found = np.zeros((batch.num_rows, L))
+            found = np.full((batch.num_rows, L), np.nan)
             for i, body in enumerate(batch.column("e_body")):
                 x = model.evidence(body.as_py() or b"")
                 if x is not None:
-                    found[i] = softmax(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("e_host", "e_declared", "e_suffix")), *(pa.array(found[:, l]) for l in range(L))], ["e_host", "e_declared", "e_suffix", *(f"p{l}" for l in range(L))])
-
-    kinds = "e_host string, e_declared string, e_suffix string, " + ", ".join(f"p{l} double" for l in range(L))
-    sums = stored(
-        evidence.select("e_body", "e_host", "e_declared", "e_suffix").mapInArrow(posteriors, kinds).groupBy("e_host", "e_declared", "e_suffix").agg(*(F.sum(f"p{l}").alias(f"p{l}") for l in range(L))),
-        "language-sums",
-    )
+                    found[i] = x
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *(pa.array(found[:, l]) for l in range(L))], [*passed, *scores])
+
+    schema = T.StructType([*(T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), *(T.StructField(c, T.StringType()) for c in passed[len(keep) :]), *(T.StructField(c, T.DoubleType()) for c in scores)])
+    rows = stored(evidence.mapInArrow(scored, schema), "language-scores")
+    # A text without letters has no scores and adds nothing.
+    top = F.greatest(*scores) if L > 1 else F.col("x0")
+    weights = rows.filter("not isnan(x0)").select(*passed[len(keep) :], *(F.exp(F.col(c) - top).alias(c) for c in scores))
+    whole = sum((F.col(c) for c in scores[1:]), F.col("x0"))
     total = [F.sum(f"p{l}").alias(f"p{l}") for l in range(L)]
+    sums = stored(weights.select(*passed[len(keep) :], *((F.col(c) / whole).alias(f"p{l}") for l, c in enumerate(scores))).groupBy("e_host", "e_declared", "e_suffix").agg(*total), "language-sums")
     vector = lambda r: np.array([r[f"p{l}"] or 0.0 for l in range(L)])
-    whole = vector(sums.agg(*total).first())
-    base = (whole + 1) / (whole.sum() + L)
+    mass = vector(sums.agg(*total).first())
+    base = (mass + 1) / (mass.sum() + L)
     # At most languages + 2 rows each.
-    likelihood = {}
-    for name in ("e_declared", "e_suffix"):
-        rows = {r[name]: vector(r) for r in sums.groupBy(name).agg(*total).collect()}
-        likelihood[name] = {v: np.log((x + 0.5) / (whole + 0.5 * len(rows))) for v, x in rows.items()}
+    tables = {name: {r[name]: vector(r) for r in sums.groupBy(name).agg(*total).collect()} for name in ("e_declared", "e_suffix")}
     parents = F.array_join(F.slice(F.split("e_host", r"\."), -2, 2), ".")
     by_host = sums.groupBy("e_host").agg(*total).withColumn("parent", F.when(F.size(F.split("e_host", r"\.")) > 2, parents).otherwise(F.col("e_host")))
     by_parent = by_host.groupBy("parent").agg(*(F.sum(f"p{l}").alias(f"q{l}") for l in range(L)))
@@ -190,24 +193,31 @@ def identify(
 
     def fused(batches):
         for batch in batches:
-            names, best, text_best, accepted = [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("e_declared", "e_suffix", "own", "domain")]
-            for body, told, end, own, above in zip(batch.column("e_body"), *columns):
-                x = model.evidence(body.as_py() or b"")
-                if x is None:
-                    names.append(UNKNOWN), best.append(0.0), text_best.append(UNKNOWN), accepted.append(False)
-                    continue
-                mine = softmax(x)
-                above, own = np.maximum(np.array(above) - mine, 0), np.maximum(np.array(own) - mine, 0)
-                prior = (above + HOST_STRENGTH * base) / (above.sum() + HOST_STRENGTH)
-                prior = (own + HOST_STRENGTH * prior) / (own.sum() + HOST_STRENGTH)
-                p = softmax(x + np.log(prior) + likelihood["e_declared"][told] + likelihood["e_suffix"][end])
-                k = int(p.argmax())
-                names.append(languages[k]), best.append(float(p[k])), text_best.append(languages[int(x.argmax())]), accepted.append(bool(p[k] >= LEAST_CONFIDENCE))
-            result = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(text_best, pa.string()), pa.array(accepted, pa.bool_())], ["lang", "confidence", "text_lang", "accepted"])
+            n = batch.num_rows
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in scores], 1) if n else np.empty((0, L))
+            lettered = ~np.isnan(x[:, 0])
+            x = np.where(lettered[:, None], x, 0.0)
+            mine = softmax(x)
+            # Hosts of texts without letters alone have no sums.
+            own, above = (np.array([v or [0.0] * L for v in batch.column(c).to_pylist()], np.float64).reshape(n, L) for c in ("own", "domain"))
+            total = x + np.log(smoothed(np.maximum(own - mine, 0), smoothed(np.maximum(above - mine, 0), base)))
+            for name, table in tables.items():
+                held = np.array([table.get(v, np.zeros(L)) for v in batch.column(name).to_pylist()]).reshape(n, L)
+                total += np.log((np.maximum(held - mine, 0) + 0.5) / (np.maximum(mass - mine, 0) + 0.5 * max(1, len(table))))
+            p = softmax(total)
+            best = p.argmax(1) if n else np.empty(0, np.int64)
+            sure = np.where(lettered, p[np.arange(n), best], 0.0)
+            names = np.array([*languages, UNKNOWN], object)
+            columns = [names[np.where(lettered, best, L)], sure, names[np.where(lettered, x.argmax(1) if n else best, L)], lettered & (sure >= LEAST_CONFIDENCE)]
+            result = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.string(), pa.bool_()))], ["lang", "confidence", "text_lang", "accepted"])
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), result], [*(f"k{i}" for i in range(len(keep))), "found"])
 
-    joined = evidence.join(priors, "e_host")
+    joined = rows.join(priors, "e_host", "left")
     judgement = T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("text_lang", T.StringType()), T.StructField("accepted", T.BooleanType())])
     schema = T.StructType([*(T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)), T.StructField("found", judgement)])
     return joined.mapInArrow(fused, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("found").alias(out))
+
+
+def smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Shares of the counts, drawn towards the prior as by HOST_STRENGTH texts."""
+    return (counts + HOST_STRENGTH * prior) / (counts.sum(1, keepdims=True) + HOST_STRENGTH)
