@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ from graphmill.llm.storage import local_copy, new_folder, opened, worker_state
 END = b"\n"
 #: A task's own counts go out once they reach so many entries.
 FLUSH_ENTRIES = 2_000_000
+#: A bucket is merged in slices of its key range, each of about so many bytes of counts before merging.
+SLICE_BYTES = 32 << 20
+#: The largest count that the arrays hold; larger ones are listed beside them.
+MOST_COUNT = (1 << 32) - 1
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -50,10 +55,10 @@ def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tally:
-    """A task's running counts; emits (bucket, payload) rows of sorted keys and counts, split by the keys' top bits."""
+    """A task's running counts; emits rows of sorted keys and counts, split by the keys' top bits into buckets and slices."""
 
-    def __init__(self, bits: int):
-        self.bits, self.held, self.size = bits, [], 0
+    def __init__(self, bits: int, slice_bits: int = 0):
+        self.bits, self.slice_bits, self.held, self.size = bits, slice_bits, [], 0
 
     def add(self, keys: np.ndarray) -> bool:
         keys, counts = np.unique(keys, return_counts=True)
@@ -72,46 +77,75 @@ class Tally:
             return
         self.merge()
         (keys, counts), self.held, self.size = self.held[0], [], 0
-        yield packed(keys, counts, bucket_numbers(keys, self.bits))
+        cells = bucket_numbers(keys, self.bits + self.slice_bits)
+        yield packed(keys, counts, cells, cells >> self.slice_bits)
 
 
 def bucket_numbers(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, buckets: np.ndarray):
-    """A batch of (bucket, keys, counts): buckets must ascend. Counts take as few bytes as they need."""
+def packed(keys: np.ndarray, counts: np.ndarray, cells: np.ndarray, buckets: np.ndarray):
+    """A batch of (bucket, cell, keys, counts), a row per cell: cells must ascend. Counts take as few bytes as they need."""
     import pyarrow as pa
 
-    names, first = np.unique(buckets, return_index=True)
+    names, first = np.unique(cells, return_index=True)
     ends = [*first[1:], len(keys)]
     small = lambda c: c.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if c.max(initial=0) <= np.iinfo(k).max)).tobytes()
     return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([small(counts[a:b]) for a, b in zip(first, ends)], pa.binary())],
-        ["bucket", "keys", "counts"],
-    )
+        [
+            pa.array(buckets[first], pa.int64()), pa.array(names, pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+            pa.array([small(counts[a:b]) for a, b in zip(first, ends)], pa.binary()),
+        ],
+        ["bucket", "cell", "keys", "counts"],
+    )
+
+
+PACKED = "bucket long, cell long, keys binary, counts binary"
+WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
 
 
-PACKED = "bucket long, keys binary, counts binary"
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(keys, np.uint64)
+    return found, np.frombuffer(counts, WIDTHS[len(counts) // len(found)] if len(found) else np.uint8).astype(np.int64)
+
+
+def merged(packs: DataFrame, schema: str, each) -> DataFrame:
+    """Rows of `each(bucket, slices)`, once per bucket: slices are the bucket's cells in order, each an iterator of (keys,
+    counts). A bucket is one task's, sorted by cell on its way, so that no more than a cell is in memory."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
 
+    def run(batches):
+        rows = (r for batch in batches for r in zip(batch.column("bucket").to_pylist(), batch.column("cell").to_pylist(), batch.column("keys"), batch.column("counts")))
+        for bucket, own in groupby(rows, lambda r: r[0]):
+            cells = ((unpacked(r[2].as_py(), r[3].as_py()) for r in cell) for _, cell in groupby(own, lambda r: r[1]))
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket} | each(bucket, cells)], schema=kind)
 
-def unpacked(table, key_type=np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x.as_py(), key_type) for x in table.column("keys")]
-    width = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
-    counts = [np.frombuffer(x.as_py(), width[len(x.as_py()) // max(1, len(k))] if len(k) else np.uint8).astype(np.int64) for k, x in zip(keys, table.column("counts"))]
-    return np.concatenate(keys), np.concatenate(counts)
+    return packs.repartition("bucket").sortWithinPartitions("bucket", "cell").mapInArrow(run, schema)
 
 
-def write_array(folder: str, name: str, values: np.ndarray) -> str:
-    """Writes under a fresh name, so that a repeated task never touches another's file."""
-    import uuid
+class ArrayFile:
+    """An array written piece by piece under a fresh name, so that a repeated task never touches another's file."""
 
-    uri = f"{folder}/{name}-{uuid.uuid4().hex}"
-    where, path = opened(uri)
-    where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(path) as sink:
-        sink.write(np.ascontiguousarray(values))
-    return uri
+    def __init__(self, folder: str, name: str):
+        import uuid
+
+        self.uri, self.size = f"{folder}/{name}-{uuid.uuid4().hex}", 0
+        where, path = opened(self.uri)
+        where.create_dir(path.rpartition("/")[0], recursive=True)
+        self.sink = where.open_output_stream(path)
+
+    def add(self, values: np.ndarray) -> None:
+        self.sink.write(np.ascontiguousarray(values))
+        self.size += len(values)
+
+    def close(self) -> str:
+        self.sink.close()
+        return self.uri
 
 
 @dataclass
@@ -121,7 +155,7 @@ class Model:
     bits: int
     words: dict[int, dict] = field(default_factory=dict)  # bucket: {keys, counts, n, base}
     stats: dict[int, str] = field(default_factory=dict)  # bucket: array (n, 4) of followers seen once, twice, more; predecessors
-    pairs: dict[int, dict] = field(default_factory=dict)  # bucket: {keys, counts, n}
+    pairs: dict[int, dict] = field(default_factory=dict)  # bucket: {keys, counts, n, large: {place: count}}
     train_tokens: int = 0
     vocabulary: int = 0
     pair_types: int = 0
@@ -202,36 +236,44 @@ def in_pieces(batches):
             yield batch, begun, held
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> Model:
     """Counts the model over all texts of docs and writes its arrays to the shared folder.
 
     Words, then pairs, are counted within each task and dealt by the top bits of a 64-bit hash, so hot words and pairs
-    are pre-summed and every bucket gets an even share. A bucket is merged, sorted and written by one task, under a
-    fresh name; the driver gets a few numbers per bucket. A word's id is its rank among the sorted hashes. From the
-    merged pairs follow each word's predecessors and its followers seen once, twice and more often.
-    Null text counts as empty; a text without words is one end.
+    are pre-summed and every bucket gets an even share. A bucket is merged by one task slice by slice of its key range,
+    as many slices as the size of the texts asks for, and written as it is merged, under a fresh name; the driver gets a
+    few numbers per bucket. A word's id is its rank among the sorted hashes; words of one 64-bit hash count as one word.
+    From the merged pairs follow each word's predecessors and its followers seen once, twice and more often.
+    Null text counts as empty; a text without words is one end; repeated rows count each; an empty table gives a model
+    that knows no word.
     """
-    import pyarrow as pa
+    import math
 
     spark = docs.sparkSession
     folder = new_folder(spark, "lm")
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    # A word takes about six bytes of text, and a key with its count nine or more.
+    size = 2 * (texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
+    slice_bits = max(0, math.ceil(math.log2(max(1, size) / (slice_bytes << bits))))
     model = Model(bits)
 
     def count_words(batches):
-        tally = Tally(bits)
+        tally = Tally(bits, slice_bits)
         for _, _, held in in_pieces(batches):
             if tally.add(hashes_of(held)[0]):
                 yield from tally.rows()
         yield from tally.rows()
 
-    def write_words(key, table):
-        keys, counts = summed(*unpacked(table))
-        b = key[0].as_py()
-        return pa.table({"bucket": [b], "keys": [write_array(folder, f"word-{b}", keys)], "counts": [write_array(folder, f"count-{b}", counts)], "n": [len(keys)], "tokens": [int(counts.sum())]})
+    def write_words(bucket, cells):
+        keys, counts, tokens = ArrayFile(folder, f"word-{bucket}"), ArrayFile(folder, f"count-{bucket}"), 0
+        for cell in cells:
+            k, c = summed(*map(np.concatenate, zip(*cell)))
+            keys.add(k), counts.add(c)
+            tokens += int(c.sum())
+        return {"keys": keys.close(), "counts": counts.close(), "n": keys.size, "tokens": tokens}
 
-    for r in sorted(texts.mapInArrow(count_words, PACKED).groupBy("bucket").applyInArrow(write_words, "bucket long, keys string, counts string, n long, tokens long").collect()):
+    for r in sorted(merged(texts.mapInArrow(count_words, PACKED), "bucket long, keys string, counts string, n long, tokens long", write_words).collect()):
         model.words[r.bucket] = {"keys": r["keys"], "counts": r["counts"], "n": r.n, "base": model.vocabulary}
         model.vocabulary += r.n
         model.train_tokens += r.tokens
@@ -239,7 +281,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         raise ValueError("more than 2^32 distinct words do not fit the pair keys")
 
     def count_pairs(batches):
-        tally = Tally(bits)
+        tally = Tally(bits, slice_bits)
         for _, _, held in in_pieces(batches):
             hashes, sizes = hashes_of(held)
             ids, _, _ = word_ids(model, hashes)
@@ -247,15 +289,18 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
                 yield from tally.rows()
         yield from tally.rows()
 
-    def write_pairs(key, table):
-        keys, counts = summed(*unpacked(table))
-        b = key[0].as_py()
-        seen = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"bucket": [b], "keys": [write_array(folder, f"pair-{b}", keys)], "counts": [write_array(folder, f"pairs-{b}", counts.astype(np.uint32))], "n": [len(keys)], "seen": [seen]})
+    def write_pairs(bucket, cells):
+        keys, counts, seen, large = ArrayFile(folder, f"pair-{bucket}"), ArrayFile(folder, f"pairs-{bucket}"), np.zeros(4, np.int64), []
+        for cell in cells:
+            k, c = summed(*map(np.concatenate, zip(*cell)))
+            large += [{"place": keys.size + int(i), "n": int(c[i])} for i in np.flatnonzero(c > MOST_COUNT)]
+            seen += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
+            keys.add(k), counts.add(np.minimum(c, MOST_COUNT).astype(np.uint32))
+        return {"keys": keys.close(), "counts": counts.close(), "n": keys.size, "seen": seen.tolist(), "large": large}
 
     seen = np.zeros(4, np.int64)
-    for r in texts.mapInArrow(count_pairs, PACKED).groupBy("bucket").applyInArrow(write_pairs, "bucket long, keys string, counts string, n long, seen array<long>").collect():
-        model.pairs[r.bucket] = {"keys": r["keys"], "counts": r["counts"], "n": r.n}
+    for r in merged(texts.mapInArrow(count_pairs, PACKED), "bucket long, keys string, counts string, n long, seen array<long>, large array<struct<place:long,n:long>>", write_pairs).collect():
+        model.pairs[r.bucket] = {"keys": r["keys"], "counts": r["counts"], "n": r.n, "large": {x.place: x.n for x in r.large}}
         model.pair_types += r.n
         seen += r.seen
     model.pair_discounts = discounts(seen.tolist())
@@ -267,27 +312,31 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         """Partial sums of a word's four numbers, keyed by its id and which of them: 4 * id + kind."""
         for batch in batches:
             for b in batch.column("bucket").to_pylist():
-                keys, counts = np.asarray(mapped(model.pairs[b]["keys"], np.uint64)), np.asarray(mapped(model.pairs[b]["counts"], np.uint32))
-                pair = unmixed(keys)
-                kinds = np.minimum(counts, 3).astype(np.uint64) - np.uint64(1)
-                both = np.concatenate([(pair >> np.uint64(32)) * np.uint64(4) + kinds, (pair & np.uint64(0xFFFFFFFF)) * np.uint64(4) + np.uint64(3)])
-                keys, sums = np.unique(both, return_counts=True)
-                owner = names[np.searchsorted(bases, (keys // np.uint64(4)).astype(np.int64), side="right") - 1]
-                yield packed(keys, sums.astype(np.int64), owner)
-
-    def write_stats(key, table):
-        b = key[0].as_py()
-        own = model.words[b]
+                for at in range(0, model.pairs[b]["n"], FLUSH_ENTRIES):
+                    keys, counts = (np.asarray(mapped(model.pairs[b][c], kind)[at : at + FLUSH_ENTRIES]) for c, kind in (("keys", np.uint64), ("counts", np.uint32)))
+                    pair = unmixed(keys)
+                    kinds = np.minimum(counts, 3).astype(np.uint64) - np.uint64(1)
+                    both = np.concatenate([(pair >> np.uint64(32)) * np.uint64(4) + kinds, (pair & np.uint64(0xFFFFFFFF)) * np.uint64(4) + np.uint64(3)])
+                    keys, sums = np.unique(both, return_counts=True)
+                    owner = names[np.searchsorted(bases, (keys // np.uint64(4)).astype(np.int64), side="right") - 1]
+                    yield packed(keys, sums.astype(np.int64), owner, owner)
+
+    def write_stats(bucket, cells):
+        own = model.words[bucket]
+        # As many rows as the bucket has words; a word has at most as many neighbours as there are words.
         stats = np.zeros((own["n"], 4), np.uint32)
-        keys, sums = unpacked(table)
-        np.add.at(stats.reshape(-1), keys.astype(np.int64) - 4 * own["base"], sums.astype(np.uint32))
+        for cell in cells:
+            for keys, sums in cell:
+                stats.reshape(-1)[keys.astype(np.int64) - 4 * own["base"]] += sums.astype(np.uint32)
         seen = [int((stats[:, 3] == k).sum()) for k in (1, 2, 3, 4)] + [int((stats[:, 3] >= 3).sum())]
-        return pa.table({"bucket": [b], "path": [write_array(folder, f"stats-{b}", stats)], "seen": [seen]})
+        file = ArrayFile(folder, f"stats-{bucket}")
+        file.add(stats)
+        return {"path": file.close(), "seen": seen}
 
     jobs = spark.createDataFrame([(b,) for b in model.pairs], "bucket long").repartition(max(1, len(model.pairs)), "bucket") if model.pairs else None
     seen = np.zeros(5, np.int64)
     if jobs is not None:
-        for r in jobs.mapInArrow(count_stats, PACKED).groupBy("bucket").applyInArrow(write_stats, "bucket long, path string, seen array<long>").collect():
+        for r in merged(jobs.mapInArrow(count_stats, PACKED), "bucket long, path string, seen array<long>", write_stats).collect():
             model.stats[r.bucket] = r.path
             seen += r.seen
     model.word_discounts = discounts(seen[:4].tolist())
@@ -313,6 +362,8 @@ def log_probabilities(model: Model, hashes: np.ndarray, sizes: np.ndarray) -> tu
     seen = np.zeros(len(unique), np.int64)
     for at, b, place in found_in(model.pairs, model.bits, unique):
         seen[at] = mapped(model.pairs[b]["counts"], np.uint32)[place]
+        if large := model.pairs[b]["large"]:
+            seen[at] = [large.get(p, n) for p, n in zip(place.tolist(), seen[at].tolist())]
     seen = np.where((ids < 0) | (before < 0), 0, seen[back])
     total = np.maximum(before_count, 1)
     rest = np.where(before_count > 0, before_stats[:, :3] @ np.array(model.pair_discounts) / total, 1.0)
@@ -320,7 +371,11 @@ def log_probabilities(model: Model, hashes: np.ndarray, sizes: np.ndarray) -> tu
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns `keep` of docs with n_tokens, n_known, train_tokens, base_score, score and perplexity of each whole text."""
+    """Columns `keep` of docs with n_tokens, n_known, train_tokens, base_score, score and perplexity of each whole text.
+
+    Each row is scored apart, so repeated rows get equal results and an empty table gives no rows. Null text counts as
+    empty, which is one end. An unknown word has the probability that the model leaves to all of them.
+    """
     import pyarrow as pa
 
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))

@@ -211,9 +211,9 @@ def brute_model(train_texts):
     return score, sum(words.values())
 
 
-def test_language_model_equals_brute_force(spark):
+def test_language_model_equals_brute_force(spark, monkeypatch):
     r = random.Random(3)
-    rows = [(i, " ".join(r.choices(["The", "cat", "dog", "é", "sat", "on"] + [f"w{i % 9}", f"u{i}"], k=r.randint(0, 40)))) for i in range(120)] + [(500, None), (500, ""), (None, "new words here")]
+    rows = [(i, " ".join(r.choices(["The", "cat", "dog", "é", "sat", "on"] + [f"w{i % 9}", f"u{i}"], k=r.randint(0, 40)))) for i in range(120)] + [(500, None), (500, ""), (None, "new words here"), (501, "the cat " * 20000)]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, score int")
     held = docs.withColumn("held", lm.fold("doc_id") == 2)
     got = lm.score(held, lm.fit(held.filter("not held")), ["doc_id", "held", "text"]).collect()
@@ -224,6 +224,13 @@ def test_language_model_equals_brute_force(spark):
         total, base, size, known = score(x.text or "")
         assert x.held == (fold(x.doc_id) == 2) and (x.n_tokens, x.n_known, x.train_tokens) == (size, known, n)
         assert math.isclose(x.score, total, rel_tol=1e-9) and math.isclose(x.base_score, base, rel_tol=1e-9)
+    want = sorted(((x.doc_id, x.text, x.score) for x in got), key=str)
+    # Buckets merged in many slices, and pairs counted beyond what the arrays hold, give the same model.
+    monkeypatch.setattr(lm, "MOST_COUNT", 3)
+    monkeypatch.setattr(lm, "FLUSH_ENTRIES", 50)
+    model = lm.fit(held.filter("not held"), slice_bytes=16)
+    assert any(p["large"] for p in model.pairs.values())
+    assert sorted(((x.doc_id, x.text, x.score) for x in lm.score(held, model, ["doc_id", "text"]).collect()), key=str) == want
     empty = held.limit(0)
     assert lm.score(empty, lm.fit(empty), ["doc_id"]).collect() == []
     assert lm.score(held.limit(3), lm.fit(empty), ["doc_id"]).count() == 3
