@@ -14,6 +14,13 @@ from graphmill.llm.storage import discard, stored
 LEAF_ROWS = 2048
 PIVOT_SAMPLE = 65536
 BRUTE = 512
+#: A leaf of more fingerprints is split again on the executors, by a tree over about LEAF_SAMPLE of them; one that no
+#: vantage point cuts is compared block with block, each pair of blocks as large as such a leaf.
+LEAF_MOST = 4 * LEAF_ROWS
+LEAF_SAMPLE = 4096
+#: A cut that leaves more than this share of a leaf on one side is none.
+STUCK = 0.9
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint_of(text: bytes, shingle: int) -> int:
@@ -50,11 +57,12 @@ BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.i
 
 
 def with_fingerprints(rows: DataFrame, text_col: str, shingle: int = 3) -> DataFrame:
-    """rows with text_col replaced by `fp`, the signed 64-bit fingerprint of the whole text; null text counts as empty."""
+    """rows with text_col replaced by `fp`, the signed 64-bit fingerprint of the whole text; null text counts as empty. A
+    column of that name is replaced."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    others = [c for c in rows.columns if c != text_col]
+    others = [c for c in rows.columns if c not in (text_col, "fp")]
 
     def prints(batches):
         for batch in batches:
@@ -167,13 +175,78 @@ def leaf_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return values[child], values[label[child]]
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) -> DataFrame:
+def cells_of(points: DataFrame, tree: list, radius: int, leaf_most: int = LEAF_MOST) -> DataFrame:
+    """(leaf, low, high, fp): the points (fp) dealt to cells such that every pair within `radius` meets in one, and no cell
+    has many more than leaf_most points.
+
+    The given tree deals first. Leaves that are too large get trees of their own, built on the executors from samples of
+    their points, until none is left or their largest part stays as large: those are cut into blocks, every two of which
+    are a cell.
+    """
+    import json
+
+    import pyarrow as pa
+
+    def dealt(batches, trees):
+        for batch in batches:
+            values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            out = []
+            for own, parent, size, root in trees(batch):
+                for leaf, part in route(values[own], root, radius):
+                    name = (leaf * int(MIX) ^ parent * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF if parent else leaf
+                    out.append((np.full(len(part), name, np.uint64), np.full(len(part), size, np.int64), part))
+            leaves, sizes, points = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), values[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves.view(np.int64)), pa.array(sizes), pa.array(points.view(np.int64))], ["leaf", "above", "fp"])
+
+    def first(batches):
+        yield from dealt(batches, lambda batch: [(slice(None), 0, 0, tree)])
+
+    def again(batches):
+        def trees(batch):
+            names, at, back = np.unique(batch.column("leaf").to_numpy(), return_index=True, return_inverse=True)
+            for k, (name, i) in enumerate(zip(names.tolist(), at)):
+                yield back == k, name, batch.column("n")[i].as_py(), json.loads(batch.column("tree")[i].as_py())
+
+        yield from dealt(batches, trees)
+
+    def plant(table):
+        n = table.column("n")[0].as_py()
+        sample = np.sort(table.column("fp").to_numpy().view(np.uint64))
+        depth = min(math.ceil(math.log2(4 * n / leaf_most)), max(0, int(math.log2(len(sample) / 4))))
+        return pa.table({"leaf": table.column("leaf")[:1], "tree": [json.dumps(build_tree(sample, depth, radius, 11))]})
+
+    now = stored(points.select("fp").mapInArrow(first, "leaf long, above long, fp long"), "simhash-leaves")
+    done = None
+    while True:
+        sizes = now.groupBy("leaf").agg(F.count("*").alias("n"), F.max("above").alias("above")).filter(F.col("n") > leaf_most)
+        sizes = stored(sizes.select("leaf", "n", ((F.col("above") > 0) & (F.col("n") > STUCK * F.col("above"))).alias("stuck")), "large-leaves")
+        small = now.join(sizes.select("leaf"), "leaf", "left_anti").select("leaf", F.lit(0).alias("low"), F.lit(0).alias("high"), "fp")
+        # Every two blocks together are at most about leaf_most points.
+        blocks = F.ceil(F.col("n") / (leaf_most // 2)).cast("int")
+        block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        split = now.join(sizes.filter("stuck"), "leaf").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).filter("block != other")
+        split = split.select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp")
+        done = small.unionByName(split) if done is None else done.unionByName(small).unionByName(split)
+        open_ = sizes.filter("not stuck").select("leaf", "n")
+        if open_.isEmpty():
+            return done
+        chosen = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(LEAF_SAMPLE)) / F.col("n")) * (1 << 30)
+        trees = stored(now.join(open_, "leaf").filter(chosen).select("leaf", "n", "fp").groupBy("leaf").applyInArrow(plant, "leaf long, tree string"), "leaf-trees")
+        planted = open_.join(trees, "leaf", "left").select("leaf", "n", F.coalesce("tree", F.lit("[]")).alias("tree"))
+        now = stored(now.drop("above").join(planted, "leaf").mapInArrow(again, "leaf long, above long, fp long"), "simhash-leaves")
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2, leaf_most: int = LEAF_MOST) -> DataFrame:
     """rows (id_col and `fp`) with component_id: the smallest id reachable over links of at most `radius` differing bits.
 
     Equal fingerprints form one class first, so copies are never expanded into pairs. Distinct fingerprints are
     dealt to the leaves of a vantage-point tree whose pivots come from a sample of about PIVOT_SAMPLE of them;
     the sample shapes the tree only, every fingerprint is routed and every link is found. Boundary shells go to
-    both sides. Leaves are solved apart and give spanning forests; components are joined by star contraction.
+    both sides. Large leaves are split further on the executors (cells_of). Cells are solved apart and give spanning
+    forests; components are joined by star contraction.
+
+    Repeated rows and ids are rows of one class; a null id is never the smallest one of a class that has another; an empty
+    table gives no rows. A column named component_id is replaced.
     """
     classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
     n = classes.count()
@@ -183,30 +256,19 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2) ->
     sample = np.sort(np.array([r.fp for r in classes.select("fp").filter(chosen).collect()], np.int64)).view(np.uint64)
     tree = build_tree(sample, min(depth, max(0, int(math.log2(max(1, len(sample)) / 4)))), radius)
 
-    def deal(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            parts = list(route(values, tree, radius))
-            leaves = np.concatenate([np.full(len(part), leaf, np.int64) for leaf, part in parts] or [np.empty(0, np.int64)])
-            dealt = np.concatenate([part for _, part in parts] or [values])
-            yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(dealt.view(np.int64))], ["leaf", "fp"])
-
     def solve(table):
         import pyarrow as pa
 
         a, b = leaf_links(table.column("fp").to_numpy().view(np.uint64), radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = classes.select("fp").mapInArrow(deal, "leaf long, fp long")
-    links = dealt.groupBy("leaf").applyInArrow(solve, "a long, b long")
+    links = cells_of(classes, tree, radius, leaf_most).groupBy("leaf", "low", "high").applyInArrow(solve, "a long, b long")
     stars = connected(stored(links.distinct(), "simhash-links"), "a", "b")
     roots = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     linked = classes.join(roots, "fp", "left")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(stored(named, "simhash-components"), "fp")
+    return rows.drop("component_id").join(stored(named, "simhash-components"), "fp")
 
 
 # The rest serves near-copies that differ in more than a few bits. At a Jaccard similarity of 0.8 two texts' fingerprints
@@ -224,7 +286,6 @@ PAIRS = 1 << 16
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:

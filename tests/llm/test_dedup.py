@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphmill.llm.exact_dedup import exact_dedup
-from graphmill.llm.simhash import build_tree, fingerprint_of, leaf_links, near_duplicates, route, with_fingerprints
+from graphmill.llm.simhash import build_tree, cells_of, fingerprint_of, leaf_links, near_duplicates, route, with_fingerprints
 
 SCHEMA = "doc_id long, text string, kept string, rid int"
 
@@ -107,6 +107,21 @@ def test_components_match_brute_force(spark):
     assert got == brute_components(prints)
 
 
+def test_large_leaves_are_split_without_loss(spark):
+    r = random.Random(8)
+    centre = r.getrandbits(64)
+    # A ball that no vantage point cuts, and points that can be cut.
+    ball = {centre}
+    while len(ball) < 500:
+        ball.add(centre ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 3))))
+    prints = dict(enumerate([*ball, *clustered(700, 9)]))
+    frame = spark.createDataFrame([(k, int(np.uint64(v).view(np.int64)), "x") for k, v in prints.items()], "doc_id long, fp long, component_id string")
+    got = near_duplicates(frame, leaf_most=60)
+    assert got.columns.count("component_id") == 1 and {r.doc_id: r.component_id for r in got.collect()} == brute_components(prints)
+    sizes = [x["count"] for x in cells_of(frame.select("fp").distinct(), [], 2, 60).groupBy("leaf", "low", "high").count().collect()]
+    assert max(sizes) < 100 and len(sizes) > 30
+
+
 def test_fingerprints_of_rows(spark):
     rows = [(1, None, "x"), (2, "", None), (3, "A b C d", "y"), (None, "A b C d", "y")]
     got = with_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, extra string"), "text").collect()
