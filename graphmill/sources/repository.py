@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions.scalar import posix, prefixed_sha256
+from graphmill.model import blank
 
 # Directory names, markers and patterns of the source layout rules.
 IGNORED_DIRECTORIES = (
@@ -106,6 +107,14 @@ def scan(spark: SparkSession, repository: str, suffix: str = ".java") -> DataFra
     return with_modules(files.withColumn("content_hash", prefixed_sha256(F.col("content"))), markers).orderBy("path")
 
 
+def target_faults(files: DataFrame) -> DataFrame:
+    """(path, fault) for each rule that a file to be parsed breaks: no blank module column, and zones that are known."""
+    zones = (*(name for name, _ in ZONE_PARTS), "prod")
+    rules = [(f"blank {c}", blank(F.col(c))) for c in ("module_name", "module_root", "module_ecosystem", "module_zone", "file_zone")]
+    rules += [(f"unknown {c}", ~blank(F.col(c)) & ~F.col(c).isin(*zones)) for c in ("module_zone", "file_zone")]
+    return files.select("path", F.explode(F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules)))).alias("fault"))
+
+
 def line_slice(texts_: DataFrame, text: str, start: Column, end: Column, max_lines: int = 120) -> DataFrame:
     """Adds slice, slice_start, slice_end, truncated and total_lines: lines start to end of the text, max_lines at most.
 
