@@ -277,8 +277,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2, le
 # the whole shingle sets.
 
 BANDS, BAND_ROWS = 25, 5
-#: About so many rows are compared in one place. A larger shard is cut into blocks, and every pair of blocks is compared.
+#: About so many rows, and so many bytes of shingle sets, are compared in one place. A larger shard is cut into blocks, and
+#: every pair of blocks is compared.
 SHARD_ROWS = 20_000
+SHARD_BYTES = 64 << 20
+#: Shingles of so many candidates are counted at once.
+GATHERED = 1 << 22
 #: A pair is a candidate if its estimate is at most so many standard errors under the similarity.
 SLACK = 5.0
 #: Pairs that a task sends on at a time.
@@ -370,24 +374,42 @@ def sizes_allow(sizes, size, similarity: float):
     return np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9
 
 
-def shard_candidates(ids: np.ndarray, mins: np.ndarray, sizes: np.ndarray, groups: np.ndarray, blocks: np.ndarray, similarity: float):
-    """(id, id, agreeing hashes) of every pair of one shard, or of two blocks of it, that is in different groups and
-    isn't ruled out by the estimate. A row is compared with the rows of larger groups only."""
-    need = agreeing(similarity, SLACK)
-    _, which, counts = np.unique(groups, return_inverse=True, return_counts=True)
-    order = np.lexsort((which, counts[which]))
-    ids, mins, sizes, which, blocks = ids[order], mins[order], sizes[order], which[order], blocks[order]
-    ends = np.append(np.flatnonzero(np.diff(which)) + 1, len(ids))
+def shard_decided(ids, mins, sizes, groups, blocks, band, bands, hashes, similarity: float):
+    """(id, id, agreeing hashes) that link the groups of one shard, or of two blocks of it, by true similarity.
+
+    Every pair of rows in different groups that the estimate doesn't rule out is decided by the rows' whole shingle sets,
+    in the first band that it shares. Groups that a link joins are one from then on, so that no more links go out than
+    the shard has groups, however many pairs are compared.
+    """
+    need, n = agreeing(similarity, SLACK), len(ids)
+    sets = [np.frombuffer(h, np.uint64) for h in hashes]
+    counts = np.array([len(x) for x in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    bands, group = np.array(bands, np.int64), groups.copy()
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
     two = len(np.unique(blocks)) > 1
-    for row in range(len(ids)):
-        end = ends[np.searchsorted(ends, row, "right")]
-        if end == len(ids):
-            return
-        same = (mins[end:] == mins[row]).sum(1)
-        near = (same >= need) & sizes_allow(sizes[end:], sizes[row], similarity)
+    for row in range(n - 1):
+        other = row + 1 + np.flatnonzero((group[row + 1 :] != group[row]) & sizes_allow(sizes[row + 1 :], sizes[row], similarity))
         if two:
-            near &= blocks[end:] != blocks[row]
-        yield np.full(near.sum(), ids[row]), ids[end:][near], same[near]
+            other = other[blocks[other] != blocks[row]]
+        same = (mins[other] == mins[row]).sum(1)
+        other, same = other[same >= need], same[same >= need]
+        first = (bands[other] == bands[row]).argmax(1) == band[row]
+        other, same = other[first], same[first]
+        mark[codes[begin[row] : begin[row + 1]]] = True
+        for part in np.split(np.arange(len(other)), np.flatnonzero(np.diff(np.cumsum(counts[other]) // GATHERED)) + 1):
+            part = part[group[other[part]] != group[row]]
+            if not len(part):
+                continue
+            rows, size = other[part], counts[other[part]]
+            first = np.cumsum(size) - size
+            shared = np.add.reduceat(mark[codes[np.arange(int(size.sum())) + np.repeat(begin[rows] - first, size)]].astype(np.int64), first)
+            for k in np.flatnonzero(shared >= similarity * (counts[row] + size - shared) - 1e-9):
+                if group[rows[k]] != group[row]:
+                    group[group == group[rows[k]]] = group[row]
+                    yield ids[row : row + 1], ids[rows[k] : rows[k] + 1], same[part[k] : part[k] + 1]
+        mark[codes[begin[row] : begin[row + 1]]] = False
 
 
 def solved(rows: DataFrame, keys: list[str], columns: list[str], solve) -> DataFrame:
@@ -405,7 +427,8 @@ def solved(rows: DataFrame, keys: list[str], columns: list[str], solve) -> DataF
         def settle():
             if len(held) > 1:
                 ids, mins, *others = zip(*held)
-                yield from solve(np.array(ids, np.int64), np.frombuffer(b"".join(mins), np.uint8).reshape(len(ids), -1), *(np.array(x, np.int64) for x in others))
+                numbers = (x if isinstance(x[0], (bytes, list)) else np.array(x, np.int64) for x in others)
+                yield from solve(np.array(ids, np.int64), np.frombuffer(b"".join(mins), np.uint8).reshape(len(ids), -1), *numbers)
             held.clear()
 
         def found(batch):
@@ -433,8 +456,8 @@ def solved(rows: DataFrame, keys: list[str], columns: list[str], solve) -> DataF
     return rows.select(*keys, "s_set", "mins", *columns).repartition(*keys).sortWithinPartitions(*keys, "s_set").mapInArrow(each, "a long, b long, same long")
 
 
-def truly_linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose whole shingle sets have a Jaccard similarity of at least `similarity`."""
+def shingle_sets(wanted: DataFrame, rows: DataFrame, classes: DataFrame, row_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(s_set, hashes): the sorted hashes of all shingles of the wanted classes (s_set), from one text of each."""
     import pyarrow as pa
 
     from graphmill.llm.text import space_words
@@ -444,6 +467,14 @@ def truly_linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, text_col
             found = [np.unique(shingle_hashes(space_words(t.as_py() or b""), shingle)).tobytes() for t in batch.column("body").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("s_set"), pa.array(found, pa.binary())], ["s_set", "hashes"])
 
+    texts = rows.select(F.col(row_col).alias("first_row"), F.col(text_col).alias("body")).join(classes.select("s_set", "first_row").join(wanted.select("s_set"), "s_set", "left_semi"), "first_row")
+    return stored(texts.select("s_set", "body").mapInArrow(sets, "s_set long, hashes binary"), "shingle-sets")
+
+
+def truly_linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose whole shingle sets have a Jaccard similarity of at least `similarity`."""
+    import pyarrow as pa
+
     def decided(batches):
         for batch in batches:
             keep = []
@@ -454,13 +485,8 @@ def truly_linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, text_col
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s_set")).distinct()
-    texts = rows.select(F.col("d_row").alias("first_row"), F.col(text_col).alias("body")).join(classes.select("s_set", "first_row").join(wanted, "s_set", "left_semi"), "first_row")
-    found = stored(texts.select("s_set", "body").mapInArrow(sets, "s_set long, hashes binary"), "shingle-sets")
-    side = lambda key, name: found.select(F.col("s_set").alias(key), F.col("hashes").alias(name))
-    links = stored(pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(decided, "a long, b long"), "true-links")
-    discard(found)
-    return links
+    side = lambda key, name: sets.select(F.col("s_set").alias(key), F.col("hashes").alias(name))
+    return stored(pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(decided, "a long, b long"), "true-links")
 
 
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -470,39 +496,49 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     or by a Jaccard similarity of their whole shingle sets of at least `similarity`. Candidates for the latter are the
     pairs that meet in one of 25 bands of 5 minimum hashes (a pair at 0.8 is missed once in 20,000) and whose estimate
     from the 125 is not under 0.8 by more than 5 standard errors; the sets decide. First one likely link a row is
-    decided, which joins most groups; then every candidate between different groups is. Texts of one shingle set are one
-    class first, so copies are never compared. The row with the smallest id of a group stays, one row among equal ids;
-    null ids come last. Null text counts as empty, and texts without words are one group.
+    decided, which joins most groups; then every candidate between different groups is, within its shard. Texts of one
+    shingle set are one class first, so copies are never compared. The row with the smallest id of a group stays, one row
+    among equal ids; null ids come last. Null text counts as empty, and texts without words are one group. An empty table
+    gives no rows. Columns named d_row, d_group or d_kept are replaced; any others may have any name.
     """
-    rows = stored(with_sketches(docs.withColumn("d_row", F.monotonically_increasing_id()), text_col, shingle), "sketches")
+    others = [c for c in docs.columns if c not in ("d_row", "d_group", "d_kept")]
+    names = [f"k{i}" for i in range(len(others))]
+    body = names[others.index(text_col)]
+    numbered = docs.select(*(F.col(c).alias(n) for n, c in zip(names, others)), F.monotonically_increasing_id().alias("d_row"))
+    rows = stored(with_sketches(numbered, body, shingle), "sketches")
     classes = rows.groupBy("s_set").agg(
         F.min("s_fp").alias("fp"), F.min("s_mins").alias("mins"), F.min("s_bands").alias("bands"), F.min("s_size").alias("size"), F.min("d_row").alias("first_row")
     )
     classes = stored(classes, "sketch-classes")
-    bands = classes.select("s_set", F.explode("bands").alias("band"))
-    shared = stored(bands.groupBy("band").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-bands")
-    members = stored(bands.join(shared, "band").withColumn("block", F.pmod(F.xxhash64("band", "s_set"), "blocks").cast("int")), "band-members")
+    bands = classes.select("s_set", "size", F.posexplode("bands").alias("at", "band"))
+    parts = F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.ceil(F.sum("size") * 8 / SHARD_BYTES)).cast("int")
+    shared = stored(bands.groupBy("band").agg(parts.alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-bands")
+    members = stored(bands.drop("size").join(shared, "band").withColumn("block", F.pmod(F.xxhash64("band", "s_set"), "blocks").cast("int")), "band-members")
     sketches = classes.select("s_set", "mins", "size")
-    decide = lambda pairs: truly_linked(pairs, rows, classes, text_col, shingle, similarity)
 
     likely = solved(members.join(sketches, "s_set"), ["band", "block"], ["size"], lambda *x: shard_links(*x, similarity))
     first = stored(likely.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")), "likely-links")
+    ends = first.select("a").unionByName(first.select(F.col("b").alias("a"))).select(F.col("a").alias("s_set")).distinct()
+    sets = shingle_sets(ends, rows, classes, "d_row", body, shingle)
     named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
-    stars = stored(connected(decide(first).unionByName(named), "a", "b"), "first-groups")
+    stars = stored(connected(truly_linked(first, sets, similarity).unionByName(named), "a", "b"), "first-groups")
+    discard(sets)
 
     # Shards within one group are done; the others' blocks meet each with each.
     labelled = members.join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set")).drop("root")
     labelled = stored(labelled, "labelled-members")
     mixed = labelled.groupBy("band").agg(F.min("s_group").alias("low"), F.max("s_group").alias("high")).filter("low != high").select("band")
-    cells = labelled.join(mixed, "band", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(sketches, "s_set")
-    others = solved(cells, ["band", "low", "high"], ["size", "s_group", "block"], lambda *x: shard_candidates(*x, similarity))
-    second = decide(stored(others.select("a", "b").distinct(), "candidate-links"))
+    open_ = stored(labelled.join(mixed, "band", "left_semi"), "mixed-members")
+    sets = shingle_sets(open_.select("s_set").distinct(), rows, classes, "d_row", body, shingle)
+    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(classes.select("s_set", "mins", "size", "bands"), "s_set").join(sets, "s_set")
+    second = stored(solved(cells, ["band", "low", "high"], ["size", "s_group", "block", "at", "bands", "hashes"], lambda *x: shard_decided(*x, similarity)).select("a", "b").distinct(), "second-links")
+    discard(sets)
     stars = connected(second.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
-    grouped = rows.select("s_set", "d_row", id_col).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
+    grouped = rows.select("s_set", "d_row", F.col(names[others.index(id_col)]).alias("id")).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
     best = stored(
-        grouped.groupBy("s_group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups"
+        grouped.groupBy("s_group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups"
     )
     losers = grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best")
-    out = rows.drop("s_fp", "s_set", "s_mins", "s_bands", "s_size").join(stored(losers, "near-losers"), "d_row", "left")
-    return out.withColumn("d_group", F.coalesce("d_best", "d_row")).withColumn("d_kept", F.col("d_best").isNull()).drop("d_best")
+    out = rows.select(*names, "d_row").join(stored(losers, "near-losers"), "d_row", "left")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, others)), "d_row", F.coalesce("d_best", "d_row").alias("d_group"), F.col("d_best").isNull().alias("d_kept"))

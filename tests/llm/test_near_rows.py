@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from graphmill.llm import simhash
@@ -59,3 +62,61 @@ def test_large_shards_lose_no_link(spark, monkeypatch, rows):
     want = brute_groups(texts)
     assert len(set(want)) > 20
     assert groups(spark, texts) == want
+
+
+def true_links(texts, similarity=0.8):
+    """All pairs of different shingle sets with that Jaccard similarity, by a prefix index over rare shingles."""
+    kept = {}
+    for i, x in enumerate(texts):
+        kept.setdefault(frozenset(hash(s) for s in shingles(x)), []).append(i)
+    sets = list(kept)
+    count = Counter(h for s in sets for h in s)
+    index, pairs = defaultdict(list), set()
+    for k, s in enumerate(sets):
+        ordered = sorted(s, key=lambda h: (count[h], h))
+        near = set()
+        for h in ordered[: len(s) - math.ceil(similarity * len(s)) + 1]:
+            near.update(index[h])
+            index[h].append(k)
+        pairs |= {(j, k) for j in near if len(s & sets[j]) >= similarity * len(s | sets[j])}
+    return list(kept.values()), pairs
+
+
+def test_no_link_of_the_documents_is_lost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    copies, pairs = true_links([texts[i] for i in ids])
+    prints = np.array([simhash.fingerprint_of((texts[ids[c[0]]] or "").encode(), 5) for c in copies], np.uint64)
+    assert len(pairs) > 40
+    root = list(range(len(copies)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k in range(len(copies)):
+        pairs |= {(j, k) for j in np.flatnonzero(np.bitwise_count(prints[:k] ^ prints[k]) <= 2).tolist()}
+    for j, k in pairs:
+        root[find(j)] = find(k)
+    want = defaultdict(set)
+    for k, c in enumerate(copies):
+        want[find(k)].update(ids[i] for i in c)
+    got = defaultdict(set)
+    for x in simhash.near_duplicate_rows(docs).select("doc_id", "d_group").collect():
+        got[x.d_group].add(x.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_dense_groups_in_small_shards(spark, monkeypatch):
+    # Copies of one text at about 0.75 to each other, so that most stay apart, in shards cut by the bytes of their sets.
+    monkeypatch.setattr(simhash, "SHARD_BYTES", 1 << 14)
+    monkeypatch.setattr(simhash, "GATHERED", 500)
+    r = random.Random(12)
+    words = family(r, 1, 0)[0].split()
+    texts = [noisy(r, words, r.choice([3, 4, 5, 6, 6, 7])) for _ in range(150)]
+    want = brute_groups(texts)
+    assert 20 < len(set(want)) < 140
+    assert groups(spark, texts) == want

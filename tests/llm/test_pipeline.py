@@ -58,8 +58,9 @@ def test_one_large_group(spark):
 
 
 def test_empty_and_null_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int, d_row string, d_kept string, c_row string, l_found string, mix string, found string, row string, e_host string"
     rows = [(None, None, None, None, None, None), (1, "the cat and the dog of the house", "en", None, 3, 1), (1, "the cat and the dog of the house", "en", "s", 3, 1), (2, "12 34", None, "s", 5, 2), (3, "le chat et le chien de la maison", "fr", "s", 5, 2)]
+    rows = [(*x, *["own"] * 8) for x in rows]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for name, stage in corpus_pipeline.STAGES[:-1]:
