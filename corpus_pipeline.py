@@ -6,7 +6,7 @@ order, each stage's rows written to the shared folder as Parquet and read again
 
 Defined results of odd rows: a text without letters (null, empty, digits) is rejected by the first stage; repeated rows
 and rows of one text are one group of the second, of which the smallest doc_id stays (null ids last); a null source is
-a source of its own in the fourth; extra columns pass through the first four stages; an empty table stays empty.
+a source of its own in the fourth; extra columns of any name pass through the first four stages; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,28 +23,42 @@ from graphmill.llm.storage import stored
 from graphmill.llm.tokens import read_documents, write_token_files
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns p0, p1, ... and these names by the own ones, so that no column clashes with an operator's."""
+    names = {c: f"p{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(c).alias(n) for c, n in names.items())), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects; `lang` becomes the language found."""
-    found = identify(docs, train(docs, "text", "lang"), "text", declared="lang", host="source", out="l_found").filter("l_found.accepted")
-    return found.withColumn("lang", F.col("l_found.lang")).select(*docs.columns)
+    rows, n = renamed(docs)
+    found = identify(rows, train(rows, n["text"], n["lang"]), n["text"], declared=n["lang"], host=n["source"], out="found").filter("found.accepted")
+    return restored(found.withColumn(n["lang"], F.col("found.lang")), n)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    return near_duplicate_rows(docs, shingle=5, similarity=0.8).filter("d_kept").select(*docs.columns)
+    rows, n = renamed(docs)
+    return restored(near_duplicate_rows(rows, n["doc_id"], n["text"], shingle=5, similarity=0.8).filter("d_kept"), n)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
-    rows = stored(docs.withColumn("c_row", F.monotonically_increasing_id()), "numbered")
+    rows, n = renamed(docs)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = contamination(rows.select("c_row", "text"), items, id_col="c_row").filter("contaminated").select("c_row")
-    return rows.join(stored(hit, "contaminated"), "c_row", "left_anti").select(*docs.columns)
+    hit = contamination(rows, items, "row", n["text"]).filter("contaminated").select("row")
+    return restored(rows.join(stored(hit, "contaminated"), "row", "left_anti"), n)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by probabilities raked to the source, language and topic marginals."""
-    return mix(docs).filter("mix.kept").select(*docs.columns)
+    rows, n = renamed(docs)
+    return restored(mix(rows, n["doc_id"], n["text"], n["source"], n["lang"]).filter("mix.kept"), n)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
