@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.sources.shared import shared_folder
+
 #: After so many levels the union of levels is stored, so that plans stay small however deep the nesting.
 LEVELS_A_PLAN = 16
 
@@ -35,20 +34,6 @@ def _closure(seeds: DataFrame, step: DataFrame, levels_a_plan: int = LEVELS_A_PL
     return reached
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one, gone at exit, only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="graphmill-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return f"file://{_OWN[0]}"
-
-
-_OWN: list[str] = []
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and cut off from its lineage: written to the shared folder and read again."""
     where = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"

@@ -38,28 +38,26 @@ def index(spark: SparkSession, repository: str, store: GraphStore, name: str, in
     text_model, embedding_model = text_model or EchoSummaries(), embedding_model or HashedEmbeddings()
     files = cut(scan(spark, repository))
     previous = store.file_hashes() if incremental else spark.createDataFrame([], "path string, content_hash string")
-    listed: dict[str, list[str]] = {s: [] for s in ("added", "modified", "deleted", "unchanged")}
-    for r in merge.file_changes(files.select("path", "content_hash"), previous).orderBy("path").toLocalIterator():
+    changes = cut(merge.file_changes(files.select("path", "content_hash"), previous))
+    # The answer lists what has changed; what has not is counted only, and no plan holds a list of paths.
+    listed: dict[str, list[str]] = {s: [] for s in ("added", "modified", "deleted")}
+    for r in changes.filter("status != 'unchanged'").orderBy("path").toLocalIterator():
         listed[r.status].append(r.path)
-    changed = listed["added"] + listed["modified"]
+    skipped = changes.filter("status = 'unchanged'").count()
     deleted_nodes = 0
     if not incremental:
         nodes, edges = summaries.attach(*build(files, name), text_model, embedding_model)
         store.overwrite(nodes, edges)
-    else:
-        gone = listed["modified"] + listed["deleted"]
-        part = None
-        if changed:
-            paths = spark.createDataFrame([(p,) for p in changed], "path string")
+    elif any(listed.values()):
+        paths = changes.filter("status in ('added', 'modified')").select("path")
+        nodes, edges = (x.limit(0) for x in store.read())
+        if listed["added"] or listed["modified"]:
             nodes, edges = (cut(x) for x in build(files, name, paths))
             ids = cut(merge.incremental_ids(nodes, edges, paths.withColumnRenamed("path", "relative_path")))
-            part = summaries.attach(*merge.select_incremental(nodes, edges, ids), text_model, embedding_model)
-            part = tuple(cut(x) for x in part)
-        deleted_nodes = store.delete_files(gone)
-        if part:
-            store.upsert(*part)
+            nodes, edges = (cut(x) for x in summaries.attach(*merge.select_incremental(nodes, edges, ids), text_model, embedding_model))
+        deleted_nodes = store.refresh(changes.filter("status in ('modified', 'deleted')").select("path"), nodes, edges)
     nodes, edges = store.read()
-    result = IndexResult("incremental" if incremental else "full", listed["added"], listed["modified"], listed["deleted"], len(listed["unchanged"]), deleted_nodes, nodes.count(), edges.count(), round(1000 * (time.perf_counter() - began)))
+    result = IndexResult("incremental" if incremental else "full", listed["added"], listed["modified"], listed["deleted"], skipped, deleted_nodes, nodes.count(), edges.count(), round(1000 * (time.perf_counter() - began)))
     state = {"repository": repository, "name": name, "indexed_at": datetime.now(timezone.utc).isoformat(), "result": asdict(result)}
-    store.write_text("state.json", json.dumps(state, sort_keys=True, ensure_ascii=False))
+    store.write_text("state", json.dumps(state, sort_keys=True, ensure_ascii=False))
     return result

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.model import EDGES, NODES, as_edges, as_nodes
 from graphmill.operators.merge import delete_nodes, dimension_check, file_subgraph_ids, merge_edges, merge_nodes
+from graphmill.operators.traversal import cut
 
 
 class GraphStore:
     """Nodes partitioned by node_type and edges by edge_type, so a read of one type prunes the rest.
 
-    A version is a folder; `current.json` names the one that counts. Writers never touch a version that can be read.
-    Any store that Spark's Hadoop file systems reach will do.
+    A version is a folder, and the newest `current` document names the one that counts. Writers never touch a version that
+    can be read, and what is published at once is seen at once. Any store that Spark's Hadoop file systems reach will do.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -27,31 +29,46 @@ class GraphStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _versions(self, name: str) -> list[str]:
+        """The stored versions of a document, oldest first."""
+        files, path = self._path(f"{name}-*.json")
+        return sorted(x.getPath().getName() for x in files.globStatus(path) or ())
+
     def read_text(self, name: str) -> str | None:
-        files, path = self._path(name)
-        if not files.exists(path):
-            return None
-        stream = files.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        """The newest version of a document; one that a writer removes meanwhile has a newer one beside it."""
+        for _ in range(5):
+            found = self._versions(name)
+            if not found:
+                return None
+            files, path = self._path(found[-1])
+            if not files.exists(path):
+                continue
+            stream = files.open(path)
+            try:
+                return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        raise OSError(f"{name} changes faster than it can be read")
 
     def write_text(self, name: str, text: str) -> None:
-        """Written beside the target and renamed over it."""
-        files, path = self._path(name)
-        _, beside = self._path(f"{name}.{time.time_ns()}")
+        """Written whole under a new name, then renamed to be the newest version. There is no time without one: older
+        versions go after that, the last one but one excepted."""
+        before = self._versions(name)
+        number = max(time.time_ns(), *(int(x.removesuffix(".json").rpartition("-")[2]) + 1 for x in before[-1:]), 0)
+        files, final = self._path(f"{name}-{number:020d}.json")
+        _, beside = self._path(f"_{name}-{uuid.uuid4().hex}")
         stream = files.create(beside, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if files.exists(path):
-            files.delete(path, False)
-        files.rename(beside, path)
+        if not files.rename(beside, final):
+            raise OSError(f"{final} could not be written")
+        for old in before[:-1]:
+            files.delete(self._path(old)[1], False)
 
     def pointer(self) -> dict:
-        return json.loads(self.read_text("current.json") or '{"version": 0}')
+        return json.loads(self.read_text("current") or '{"version": 0}')
 
     def exists(self) -> bool:
         return self.pointer()["version"] > 0
@@ -73,9 +90,9 @@ class GraphStore:
         at = f"{self.root}/v{version}"
         as_nodes(nodes).write.mode("overwrite").partitionBy("node_type").parquet(f"{at}/nodes")
         as_edges(edges).write.mode("overwrite").partitionBy("edge_type").parquet(f"{at}/edges")
-        vectors = self.spark.read.schema(NODES).parquet(f"{at}/nodes").filter("embedding is not null").select(F.size("embedding").alias("n")).first()
-        pointer = {"version": version, "vector_index": {"label": "Summary", "property": "embedding", "dimension": vectors.n, "similarity": "cosine"} if vectors else None}
-        self.write_text("current.json", json.dumps(pointer, sort_keys=True))
+        held = vector_catalog(self.spark.read.schema(NODES).parquet(f"{at}/nodes")).first()
+        pointer = {"version": version, "vector_index": {"label": held.label, "property": held.property, "dimension": held.dimension, "similarity": "cosine"} if held.vectors else None}
+        self.write_text("current", json.dumps(pointer, sort_keys=True))
         files, gone = self._path(f"v{version - 2}")
         if version > 2 and files.exists(gone):
             files.delete(gone, True)
@@ -89,25 +106,50 @@ class GraphStore:
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> int:
         """All nodes, then the edges whose ends are there after that."""
         old_nodes, old_edges = self.read()
-        merged = merge_nodes(old_nodes, as_nodes(nodes))
+        merged = cut(merge_nodes(old_nodes, as_nodes(nodes)))
         return self.write(merged, merge_edges(old_edges, as_edges(edges), merged))
 
-    def delete_files(self, paths: list[str]) -> int:
-        """Drops the files with all they contain, their anchors and their summaries; returns how many nodes that were."""
+    def _held(self, nodes: DataFrame, edges: DataFrame, paths: DataFrame | list[str]) -> DataFrame:
+        """Ids of the files with these paths and of all that belongs to them."""
+        if not isinstance(paths, DataFrame):
+            paths = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        files = nodes.filter("node_type = 'File'").join(paths.select(F.col("path").alias("relative_path")), "relative_path", "left_semi").select("id")
+        return cut(file_subgraph_ids(nodes, edges, files))
+
+    def delete_files(self, paths: DataFrame | list[str]) -> int:
+        """Drops the files (a list, or a table with `path`) with all they contain, their anchors and their summaries;
+        returns how many nodes that were."""
         nodes, edges = self.read()
-        files = nodes.filter((F.col("node_type") == "File") & F.col("relative_path").isin(*paths)).select("id") if paths else nodes.limit(0).select("id")
-        ids = file_subgraph_ids(nodes, edges, files)
+        ids = self._held(nodes, edges, paths)
         n = ids.count()
         if n:
             self.write(*delete_nodes(nodes, edges, ids))
         return n
 
+    def refresh(self, gone: DataFrame | list[str], nodes: DataFrame, edges: DataFrame) -> int:
+        """delete_files(gone) and upsert(nodes, edges) as one version: readers see both or neither."""
+        old_nodes, old_edges = self.read()
+        ids = self._held(old_nodes, old_edges, gone)
+        kept_nodes, kept_edges = delete_nodes(old_nodes, old_edges, ids)
+        merged = cut(merge_nodes(kept_nodes, as_nodes(nodes)))
+        self.write(merged, merge_edges(kept_edges, as_edges(edges), merged))
+        return ids.count()
+
     def file_hashes(self, language: str = "java") -> DataFrame:
-        """(path, content_hash) of the stored files of a language."""
-        nodes, _ = self.read()
-        return nodes.filter((F.col("node_type") == "File") & (F.col("language") == language)).select(F.col("relative_path").alias("path"), "content_hash")
+        return file_hashes(self.read()[0], language)
 
     def schema(self) -> dict:
         """What an assistant is told of the tables."""
         nodes, edges = self.read()
         return {"nodes": {f.name: f.dataType.simpleString() for f in nodes.schema}, "edges": {f.name: f.dataType.simpleString() for f in edges.schema}, "vector_index": self.pointer().get("vector_index")}
+
+
+def file_hashes(nodes: DataFrame, language: str = "java") -> DataFrame:
+    """(path, content_hash) of the files of a language."""
+    return nodes.filter((F.col("node_type") == "File") & (F.col("language") == language)).select(F.col("relative_path").alias("path"), "content_hash")
+
+
+def vector_catalog(nodes: DataFrame) -> DataFrame:
+    """One row: label, property, dimension and number of the vectors that the nodes hold."""
+    held = nodes.filter("embedding is not null")
+    return held.agg(F.lit("Summary").alias("label"), F.lit("embedding").alias("property"), F.max(F.size("embedding")).cast("long").alias("dimension"), F.count("*").alias("vectors"))
