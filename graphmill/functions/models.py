@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from hashlib import blake2b
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+
 WORDS = re.compile(r"\w+")
 
 
@@ -71,13 +74,25 @@ class OverlapReranker:
         return sorted(scores, key=lambda x: (-x[1], x[0]))[:top_n]
 
 
-def checked_vectors(vectors: Sequence[Sequence[float]], n: int, dimensions: int | None) -> list[list[float]]:
-    """As many vectors as texts, of numbers only, all of the right length."""
-    if len(vectors) != n:
-        raise ValueError(f"{len(vectors)} vectors for {n} texts")
-    for v in vectors:
-        if any(isinstance(x, bool) or not isinstance(x, (int, float)) for x in v):
-            raise ValueError("a vector holds something else than numbers")
-        if dimensions is not None and len(v) != dimensions:
-            raise ValueError(f"a vector of {len(v)} dimensions instead of {dimensions}")
-    return [[float(x) for x in v] for v in vectors]
+def checked_vectors(vectors: Sequence[Sequence[float]], n: int, dimensions: int | None) -> np.ndarray:
+    """The vectors as one matrix, a row per text. A ragged, short or non-numeric answer makes no such matrix."""
+    try:
+        # Arrow infers one numeric type for all values, or fails; NumPy alone would take true for 1.
+        rows = pa.array(vectors)
+        kind = rows.type.value_type
+        if not (pa.types.is_floating(kind) or pa.types.is_integer(kind)) or rows.flatten().null_count:
+            raise ValueError(f"values of type {kind}")
+        matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1 if dimensions is None else dimensions)
+        if set(rows.value_lengths().to_pylist()) - {matrix.shape[1]}:
+            raise ValueError("rows of several lengths")
+        return matrix
+    except (pa.ArrowException, AttributeError, TypeError, ValueError) as fault:
+        raise ValueError(f"{n} vectors of {dimensions or 'equal'} dimensions were asked for: {fault}") from fault
+
+
+def checked_scores(found: Sequence[tuple[int, float]], n: int) -> dict[int, float]:
+    """A score for each of n texts, by its index."""
+    scores = {int(i): float(s) for i, s in found}
+    if len(found) != n or set(scores) != set(range(n)):
+        raise ValueError(f"{len(found)} scores for {n} texts, with indexes {sorted(scores)[:5]}")
+    return scores

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.model import SEMANTIC_EDGE_TYPES
@@ -20,10 +20,12 @@ def keep_first(df: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
 
 
 def union_keep_first(parts: list[DataFrame]) -> DataFrame:
-    """The union of graph tables; of rows with one id the earlier table's stays, and within a table the first by ord."""
+    """The union of graph tables; of rows with one id the earlier table's stays, and within a table the first by ord. A
+    grouped minimum, which combines before the shuffle."""
+    rest = [c for c in parts[0].columns if c != "id"]
     stacked = reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)))
-    order = Window.partitionBy("id").orderBy("part", F.col("ord").asc_nulls_last())
-    return stacked.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place", "part")
+    best = stacked.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("part", F.col("ord").isNull(), "ord")).alias("row"))
+    return best.select(*(F.col("id") if c == "id" else F.col(f"row.{c}").alias(c) for c in parts[0].columns))
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,6 +76,11 @@ def select_incremental(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
     return kept, reduce(DataFrame.unionByName, (x.select(*edges.columns) for x in (inside, *touching))).dropDuplicates(["id"])
 
 
+def grouped_list(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, n, items): each key's items as a sorted list. A list is one row, so it has to fit a task."""
+    return rows.groupBy(key).agg(F.count(item).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+
+
 def file_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(path, status): added, modified, deleted or unchanged, from two tables of path and content_hash."""
     joined = current.select("path", F.col("content_hash").alias("now")).join(previous.select("path", F.col("content_hash").alias("then")), "path", "full_outer")

@@ -117,30 +117,43 @@ def source_file(nodes: DataFrame, relative_path: str) -> DataFrame:
     return format_source_file(nodes).filter(F.col("relative_path") == relative_path).orderBy("id").limit(1)
 
 
+def source_files(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """source_file() for each of many paths (relative_path) at once: the file with the least id."""
+    held = format_source_file(nodes).join(paths.select("relative_path").distinct(), "relative_path", "left_semi")
+    rest = [c for c in held.columns if c != "relative_path"]
+    return held.groupBy("relative_path").agg(F.min_by(F.struct(*rest), "id").alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in rest), "relative_path")
+
+
+def known_nodes(wanted: DataFrame, nodes: DataFrame, visited: DataFrame | None = None) -> DataFrame:
+    """(id, warning, open) of the wanted ids, each once: a warning for an unknown one; open are the known ones not visited."""
+    asked = wanted.select("id").distinct().join(nodes.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
+    seen = F.lit(False)
+    if visited is not None:
+        asked, seen = asked.join(visited.select("id", F.lit(True).alias("seen")).distinct(), "id", "left"), F.coalesce("seen", F.lit(False))
+    known = F.coalesce("known", F.lit(False))
+    return asked.select("id", F.when(~known, F.concat(F.lit("unknown node: "), "id")).alias("warning"), (known & ~seen).alias("open"))
+
+
 def expand(
     nodes: DataFrame, edges: DataFrame, origins: DataFrame, direction: str = "both", edge_types: tuple[str, ...] = VISIBLE_EDGE_TYPES, limit: int | None = None
 ) -> DataFrame:
     """One hop from each origin (a column `id`): (origin, edge_id, edge_type, kind, source_id, target_id, direction,
     neighbor, neighbor_type, neighbor_label), per origin the first `limit` by edge id.
 
-    Either direction is one equi-join; `both` is their union, where a loop counts once, as outgoing. An OR over the ends
-    would plan as a nested loop. Both ends must be visible. An unknown direction is an error.
+    The edges are read once: each is put under the ends that count and meets the origins there in one equi-join. A loop
+    counts once, as outgoing. An OR over the ends would plan as a nested loop. Both ends must be visible. An unknown
+    direction is an error.
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction: {direction}")
     kinds = [t for t in dict.fromkeys(edge_types) if t in VISIBLE_EDGE_TYPES]
     shown = edges.filter(F.col("edge_type").isin(*kinds) if kinds else F.lit(False)).select("id", "edge_type", "kind", "source_id", "target_id")
     seeds = origins.select(F.col("id").alias("origin")).distinct()
-    parts = []
-    if direction in ("outgoing", "both"):
-        parts.append(shown.join(seeds, F.col("source_id") == F.col("origin")).withColumns({"direction": F.lit("outgoing"), "neighbor": F.col("target_id")}))
-    if direction in ("incoming", "both"):
-        into = shown.join(seeds, F.col("target_id") == F.col("origin"))
-        if direction == "both":
-            into = into.filter("source_id != target_id")
-        # A loop leaves its origin, so it is outgoing even where only incoming edges are asked for.
-        parts.append(into.withColumns({"direction": F.when(F.col("source_id") == F.col("origin"), "outgoing").otherwise("incoming"), "neighbor": F.col("source_id")}))
-    hops = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # A loop leaves its origin, so it is outgoing even where only incoming edges are asked for.
+    away = F.when(F.col("source_id") == F.col("origin"), "outgoing").otherwise("incoming")
+    ends = {"outgoing": F.array("source_id"), "incoming": F.array("target_id"), "both": F.array_distinct(F.array("source_id", "target_id"))}[direction]
+    hops = shown.withColumn("origin", F.explode(ends)).join(seeds, "origin")
+    hops = hops.withColumns({"direction": away, "neighbor": F.when(F.col("source_id") == F.col("origin"), F.col("target_id")).otherwise(F.col("source_id"))})
     ends = visible_nodes(nodes)
     named = ends.select(F.col("id").alias("neighbor"), F.col("node_type").alias("neighbor_type"), node_label().alias("neighbor_label"))
     hops = hops.join(named, "neighbor").join(ends.select(F.col("id").alias("origin")), "origin", "left_semi")

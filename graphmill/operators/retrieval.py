@@ -8,7 +8,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphmill.functions.models import RerankModel, checked_scores
 from graphmill.functions.scalar import dot, similarity
 from graphmill.operators.reader import VISIBLE_NODE_TYPES, node_label
 
@@ -108,3 +110,20 @@ def rerank(candidates: DataFrame, query: str, scorer: Callable[[str, list[str],
     found = scorer(query, [r.text for r in rows], n) if rows else []
     scores = candidates.sparkSession.createDataFrame([(int(i), float(s)) for i, s in found if 0 <= i < len(rows)], "index int, rerank_score double")
     return reranked(candidates, scores, top_n)
+
+
+def scored(rows: DataFrame, query: str, model: RerankModel, batch: int = 100) -> DataFrame:
+    """rows (..., text) with `score` by the model, asked for all scores of at most `batch` texts at a time on the executors;
+    an answer that names a text twice, none or one that was not asked about is an error."""
+    import pyarrow as pa
+
+    def ask(batches):
+        for part in batches:
+            texts, out = part.column("text").to_pylist(), []
+            for at in range(0, len(texts), batch):
+                asked = texts[at : at + batch]
+                found = checked_scores(model.score(query, asked, len(asked)), len(asked))
+                out += [found[i] for i in range(len(asked))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], [*part.schema.names, "score"])
+
+    return rows.mapInArrow(ask, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -11,6 +11,7 @@ from graphmill.model import as_edges, as_nodes
 from graphmill.operators.merge import delete_nodes, union_keep_first
 
 TARGET_TYPES = ("Module", "File", "Entity")
+LEAD = "Summarise this node of a code graph in one paragraph for search: what it is, where it lies, what it is for, and the words people would look for."
 
 
 def local_summary() -> Column:
@@ -25,8 +26,7 @@ def local_summary() -> Column:
 
 
 def summary_prompt() -> Column:
-    lead = "Summarise this node of a code graph in one paragraph for search: what it is, where it lies, what it is for, and the words people would look for."
-    return F.concat_ws("\n", F.lit(lead), F.concat(F.lit("Node: "), "id"), F.concat(F.lit("About: "), local_summary()))
+    return F.concat_ws("\n", F.lit(LEAD), F.concat(F.lit("Node: "), "id"), F.concat(F.lit("About: "), local_summary()))
 
 
 def target_hash() -> Column:
@@ -67,7 +67,7 @@ def embedded(rows: DataFrame, model: EmbeddingModel, batch: int = 25) -> DataFra
             out = []
             for at in range(0, len(texts), batch):
                 asked = texts[at : at + batch]
-                out += checked_vectors(model.embed(asked), len(asked), model.dimensions)
+                out += list(checked_vectors(model.embed(asked), len(asked), model.dimensions))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
 
     return rows.mapInArrow(embed, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphmill.functions.models import EmbeddingModel, HashedEmbeddings, OverlapReranker, RerankModel
 from graphmill.model import VISIBLE_EDGE_TYPES
 from graphmill.operators import reader, retrieval
+from graphmill.operators.traversal import cut
 from graphmill.sources.store import GraphStore
 
 # How often the tools may run in one conversation.
@@ -58,7 +59,7 @@ class Toolbox:
         vectors = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(self.embedding.embed(asked))], "query int, vector array<double>")
         base = nodes.filter("node_type = 'Summary'")
         hits = retrieval.nearest(vectors, base, self.candidates_per_query)
-        found = retrieval.seed_candidates(hits, nodes, edges, self.embedding.name, self.embedding.dimensions).cache()
+        found = cut(retrieval.seed_candidates(hits, nodes, edges, self.embedding.name, self.embedding.dimensions))
         rows = retrieval.rerank(found, question or asked[0], self.reranker.score, self.top_n).collect()
         self.known |= {r.id for r in rows}
         return result("vector_search_seeds", [{"id": r.id, "type": r.type, "label": r.label, "summary": r.text, "vector_score": r.vector_score, "rerank_score": r.rerank_score} for r in rows])
