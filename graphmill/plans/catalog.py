@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalar
-from graphmill.operators import intervals, merge, reader, retrieval, semantics, traversal
+from graphmill.functions.models import EchoSummaries, HashedEmbeddings, OverlapReranker
+from graphmill.operators import intervals, merge, reader, retrieval, semantics, summaries, traversal
+from graphmill.plans import java_corpus
 from graphmill.plans.projection import STAR_SQL, corpus_edges, corpus_nodes, line_anchors, star_edges, star_nodes, table
-from graphmill.sources import repository
+from graphmill.sources import repository, store
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -89,14 +91,12 @@ def A15_label_scan(spark, sf):
 
 @query("SELECT lang || '/' || source || '/' || doc_id AS path, 'sha256:' || sha256(text) AS content_hash FROM documents")
 def A16_file_hashes(spark, sf):
-    files = corpus_nodes(spark, sf).filter("node_type = 'File' and language = 'text'")
-    return files.select(F.col("relative_path").alias("path"), "content_hash")
+    return store.file_hashes(corpus_nodes(spark, sf), "text")
 
 
 @query("SELECT 'Summary' AS label, 'embedding' AS property, CAST(max(len(embedding)) AS BIGINT) AS dimension, count(*) AS vectors FROM embeddings")
 def A17_vector_catalog(spark, sf):
-    held = corpus_nodes(spark, sf).filter("embedding is not null")
-    return held.agg(F.lit("Summary").alias("label"), F.lit("embedding").alias("property"), F.max(F.size("embedding")).cast("long").alias("dimension"), F.count("*").alias("vectors"))
+    return store.vector_catalog(corpus_nodes(spark, sf))
 
 
 # ---- merges and deletes ----------------------------------------------------------------------------------------------
@@ -154,9 +154,12 @@ def B9_sorted_json(spark, sf):
 # ---- filters and presentation ----------------------------------------------------------------------------------------
 
 
-@query(f" SELECT id, node_type AS type, {LABEL_SQL} AS label FROM star_nodes", star=True)
+PROPERTIES_SQL = "CASE node_type WHEN 'File' THEN '{\"relative_path\":\"' || relative_path || '\"}' WHEN 'Entity' THEN '{\"display_name\":\"' || display_name || '\",\"kind_norm\":\"' || kind_norm || '\"' || coalesce(',\"qualified_name\":\"' || qualified_name || '\"', '') || '}' ELSE '{\"name\":\"' || name || '\"}' END"
+
+
+@query(f" SELECT id, node_type AS type, {LABEL_SQL} AS label, {PROPERTIES_SQL} AS properties FROM star_nodes", star=True)
 def D1_D3_visible_nodes(spark, sf):
-    return reader.format_node(reader.visible_nodes(star_nodes(spark, sf, anchors=True))).select("id", "type", "label")
+    return reader.format_node(reader.visible_nodes(star_nodes(spark, sf, anchors=True))).select("id", "type", "label", "properties")
 
 
 @query(" SELECT id, source_id AS source, target_id AS target, edge_type AS type, kind FROM star_edges", star=True)
@@ -187,12 +190,12 @@ def D10_visible_edge_types(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(scalar.visible_types(wanted, reader.VISIBLE_EDGE_TYPES), ",").alias("types"))
 
 
-@query(" SELECT 'entity:p' || p_partkey AS id, p_partkey % 2 = 1 AS unvisited FROM part WHERE p_partkey <= 60", star=True)
+@query("SELECT 'entity:p' || p_partkey AS id, NULL AS warning, p_partkey % 2 = 1 AS open FROM part UNION ALL SELECT 'entity:none' || s_suppkey, 'unknown node: entity:none' || s_suppkey, false FROM supplier")
 def D12_D13_known_ids(spark, sf):
-    wanted = table(spark, sf, "part").filter("p_partkey <= 60").selectExpr("concat('entity:p', p_partkey) AS id").unionByName(ids(spark, "entity:none"))
-    known = wanted.join(star_nodes(spark, sf).select("id"), "id", "left_semi")
-    visited = table(spark, sf, "part").filter("p_partkey % 2 = 0").selectExpr("concat('entity:p', p_partkey) AS id", "false AS unvisited")
-    return known.join(visited, "id", "left").select("id", F.coalesce("unvisited", F.lit(True)).alias("unvisited"))
+    """Every part and as many unknown ids as there are suppliers, where half of the parts have been visited."""
+    parts = table(spark, sf, "part").selectExpr("concat('entity:p', p_partkey) AS id", "p_partkey")
+    wanted = parts.select("id").unionByName(table(spark, sf, "supplier").selectExpr("concat('entity:none', s_suppkey) AS id"))
+    return reader.known_nodes(wanted, star_nodes(spark, sf), parts.filter("p_partkey % 2 = 0"))
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
@@ -203,16 +206,20 @@ def E1_node_by_id(spark, sf):
     return reader.format_node(reader.node_by_id(star_nodes(spark, sf), "entity:p3")).select("id", "type", "label")
 
 
-@query("SELECT 'file:d' || doc_id AS id, lang || '/' || source || '/' || doc_id AS relative_path FROM documents WHERE doc_id = 5")
+@query("SELECT 'file:d' || doc_id AS id, lang || '/' || source || '/' || doc_id AS relative_path FROM documents")
 def E2_source_file(spark, sf):
-    docs = table(spark, sf, "documents").filter("doc_id = 5").select("lang", "source").first()
-    return reader.source_file(corpus_nodes(spark, sf), f"{docs.lang}/{docs.source}/5").select("id", "relative_path")
+    """The lookup by path, for every path."""
+    paths = table(spark, sf, "documents").select(F.concat_ws("/", "lang", "source", "doc_id").alias("relative_path"))
+    return reader.source_files(corpus_nodes(spark, sf), paths).select("id", "relative_path")
 
 
-HOPS = f""", hops AS (
-  SELECT o.id AS origin, e.id AS edge_id, e.edge_type, e.kind, e.source_id, e.target_id, CASE WHEN e.source_id = o.id THEN 'outgoing' ELSE 'incoming' END AS direction,
+HOPS = f""", ends AS (
+  SELECT o.id AS origin, e.*, 'outgoing' AS direction, e.target_id AS other FROM seeds o JOIN star_edges e ON e.source_id = o.id
+  UNION ALL SELECT o.id, e.*, 'incoming', e.source_id FROM seeds o JOIN star_edges e ON e.target_id = o.id AND e.source_id <> o.id),
+hops AS (
+  SELECT e.origin, e.id AS edge_id, e.edge_type, e.kind, e.source_id, e.target_id, e.direction,
          n.id AS neighbor, n.node_type AS neighbor_type, {LABEL_SQL.replace('node_type', 'n.node_type')} AS neighbor_label
-  FROM seeds o JOIN star_edges e ON e.source_id = o.id OR e.target_id = o.id JOIN star_nodes n ON n.id = CASE WHEN e.source_id = o.id THEN e.target_id ELSE e.source_id END)"""
+  FROM ends e JOIN star_nodes n ON n.id = e.other)"""
 
 
 @query(", seeds AS (SELECT 'entity:p1' AS id)" + HOPS + " SELECT * FROM hops", star=True)
@@ -221,10 +228,10 @@ def E3_expand_graph(spark, sf):
     return reader.expand(nodes, edges, ids(spark, "entity:p1"))
 
 
-@query(", seeds AS (SELECT 'entity:p' || p_partkey AS id FROM part WHERE p_partkey <= 200)" + HOPS + " SELECT DISTINCT neighbor AS id, neighbor_type AS type, neighbor_label AS label FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY edge_id) AS n FROM hops) WHERE n <= 5", star=True)
+@query(", seeds AS (SELECT 'entity:p' || p_partkey AS id FROM part)" + HOPS + " SELECT DISTINCT neighbor AS id, neighbor_type AS type, neighbor_label AS label FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY edge_id) AS n FROM hops) WHERE n <= 5", star=True)
 def E4_neighbors(spark, sf):
     nodes, edges = star(spark, sf)
-    seeds = table(spark, sf, "part").filter("p_partkey <= 200").selectExpr("concat('entity:p', p_partkey) AS id")
+    seeds = table(spark, sf, "part").selectExpr("concat('entity:p', p_partkey) AS id")
     return reader.neighbors(nodes, edges, seeds, limit=5)
 
 
@@ -240,17 +247,17 @@ def E6_D7_H4_anchors(spark, sf):
     return reader.anchors_of(nodes, edges, ids(spark, *(f"entity:o{k}" for k in (1, 2, 3, 4)))).select("owner", "id", "role", "start_line")
 
 
-@query("SELECT 'file:d' || doc_id AS id, 'summary ' || vec_id AS generated_summary FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 10 = 0")
+@query("SELECT 'file:d' || doc_id AS id, 'summary ' || vec_id AS generated_summary FROM documents JOIN embeddings ON vec_id = doc_id")
 def E7_retrieval_summaries(spark, sf):
     nodes, edges = corpus(spark, sf)
-    wanted = nodes.filter("node_type = 'File'").filter(F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 10 == 0)
-    return reader.retrieval_summaries(nodes, edges, wanted)
+    return reader.retrieval_summaries(nodes, edges, nodes.filter("node_type = 'File'"))
 
 
-@query(" SELECT 'entity:o' || o_orderkey AS seed, 'file:c' || o_custkey AS id FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'file:s3', 'file:s3'", star=True)
+@query(" SELECT 'entity:o' || o_orderkey AS seed, 'file:c' || o_custkey AS id FROM orders UNION ALL SELECT 'file:s' || s_suppkey, 'file:s' || s_suppkey FROM supplier", star=True)
 def E8_E18_source_file_of_node(spark, sf):
     nodes, edges = star(spark, sf)
-    seeds = table(spark, sf, "orders").filter("o_orderkey % 50 = 0").selectExpr("concat('entity:o', o_orderkey) AS id").unionByName(ids(spark, "file:s3", "module:n1"))
+    seeds = table(spark, sf, "orders").selectExpr("concat('entity:o', o_orderkey) AS id")
+    seeds = seeds.unionByName(table(spark, sf, "supplier").selectExpr("concat('file:s', s_suppkey) AS id")).unionByName(table(spark, sf, "nation").selectExpr("concat('module:n', n_nationkey) AS id"))
     return traversal.source_files_of(nodes, edges, seeds)
 
 
@@ -270,23 +277,20 @@ def E10_H5_nearest(spark, sf):
 @query("""WITH s AS (SELECT o_custkey AS scope, o_orderkey AS owner, min(l_shipdate) AS f, max(l_shipdate) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 p AS (SELECT DISTINCT o_custkey AS scope, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT p.scope, l_orderkey, l_linenumber, l_shipdate AS at, arg_min(owner, (l - f, owner)) AS owner FROM p JOIN s ON s.scope = p.scope AND l_shipdate BETWEEN f AND l GROUP BY ALL""")
-def E11_E12_innermost_span(spark, sf):
+def E11_innermost_time(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("scope")), "l_orderkey")
     spans = lines.groupBy("scope", F.col("l_orderkey").alias("owner")).agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
     points = lines.select("scope", "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at")).distinct()
     return intervals.innermost_time(points, spans)
 
 
-SUPER = """ups AS (SELECT c.c_custkey AS child, max(p.c_custkey) AS parent FROM customer c JOIN customer p ON c.c_nationkey = p.c_nationkey AND c.c_mktsegment = p.c_mktsegment AND p.c_custkey < c.c_custkey GROUP BY ALL)"""
-
-
-@query(f"WITH {SUPER} SELECT a.o_orderkey AS method, b.o_orderkey AS overridden FROM orders a JOIN ups ON a.o_custkey = child JOIN orders b ON b.o_custkey = parent AND a.o_orderpriority = b.o_orderpriority")
+@query("WITH ups AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 1) SELECT a.o_orderkey AS method, b.o_orderkey AS overridden FROM orders a JOIN ups ON a.o_custkey = child JOIN orders b ON b.o_custkey = parent AND a.o_orderpriority = b.o_orderpriority")
 def E15_F10_F11_overrides(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    p = c.select(F.col("c_custkey").alias("up"), "c_nationkey", "c_mktsegment")
-    ups = c.join(p, ["c_nationkey", "c_mktsegment"]).filter("up < c_custkey").select(F.col("c_custkey").alias("source_id"), F.col("up").alias("target_id"), F.lit("SPECIALIZES").alias("edge_type"), F.lit("extends").alias("kind"), F.col("up").alias("ord"), F.col("up").alias("id"))
+    """Each customer has two supertypes, of a third and of half its number; the later one counts."""
+    c = table(spark, sf, "customer").filter("c_custkey > 1").select("c_custkey", F.explode(F.array(F.lit(3), F.lit(2))).alias("part"))
+    up = c.select(F.col("c_custkey").alias("source_id"), F.expr("c_custkey div part").alias("target_id"), F.lit("SPECIALIZES").alias("edge_type"), F.lit("extends").alias("kind"), (-F.col("part")).alias("ord"), F.col("part").alias("id"))
     owned = table(spark, sf, "orders").select(F.col("o_orderkey").alias("method"), F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("owner"))
-    return semantics.override_pairs(owned, semantics.last_supertypes(ups))
+    return semantics.override_pairs(owned, semantics.last_supertypes(up))
 
 
 @query("WITH c AS (SELECT doc_id, first_value(doc_id) OVER w AS canon FROM documents WINDOW w AS (PARTITION BY text ORDER BY source, doc_id)) SELECT doc_id AS source_id, canon AS target_id, 'duplicate-entity' AS kind FROM c WHERE doc_id <> canon AND (SELECT text FROM documents d WHERE d.doc_id = c.doc_id) <> ''")
@@ -296,10 +300,14 @@ def E16_aliases(spark, sf):
     return out.select(F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"), "kind")
 
 
-@query("SELECT l_orderkey, l_linenumber, arg_max(l_partkey, (l_shipdate, l_suppkey, l_partkey)) AS last_part FROM lineitem GROUP BY ALL")
-def E17_last_wins(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", F.struct("l_shipdate", "l_suppkey", "l_partkey")).alias("last_part"))
+@query("SELECT l_orderkey AS owner, CAST(l_linenumber AS VARCHAR) AS role, CAST(arg_max(l_partkey, (epoch_us(l_shipdate), l_suppkey || ':' || l_partkey)) AS INTEGER) AS start_line FROM lineitem GROUP BY ALL")
+def E17_last_anchor(spark, sf):
+    """Of the lines with one order and number, as anchors of one role, the last shipped one counts."""
+    name = F.concat_ws(":", "l_suppkey", "l_partkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("role"), F.col("l_partkey").cast("int").alias("start_line"), name.alias("id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ord"))
+    edges = lines.select(F.lit("HAS_ANCHOR").alias("edge_type"), F.col("l_orderkey").alias("source_id"), F.col("id").alias("target_id"), "role", "ord")
+    nodes = lines.select("id", F.lit("Anchor").alias("node_type"), "start_line", *(F.lit(1).alias(c) for c in ("start_col", "end_line", "end_col"))).dropDuplicates(["id"])
+    return intervals.entity_anchors(nodes, edges).select("owner", "role", "start_line")
 
 
 OLD_NEW = "c AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 5 <> 0), p AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0)"
@@ -331,18 +339,28 @@ def E21_query_relation(spark, sf):
     return reader.expand(nodes, edges, ids(spark, "entity:p1"), "incoming", ("SPECIALIZES",)).select("origin", "neighbor", "direction")
 
 
-@query(", seeds AS (SELECT 'entity:o' || o_orderkey AS id FROM orders WHERE o_orderkey % 40 = 1)" + HOPS + " SELECT origin, edge_id, neighbor, direction FROM hops WHERE edge_type IN ('DEPENDS_ON', 'CONTAINS')", star=True)
+@query(", seeds AS (SELECT 'entity:o' || o_orderkey AS id FROM orders)" + HOPS + " SELECT origin, edge_id, neighbor, direction FROM hops WHERE edge_type IN ('DEPENDS_ON', 'CONTAINS')", star=True)
 def E22_expand_neighbors(spark, sf):
     nodes, edges = star(spark, sf)
-    seeds = table(spark, sf, "orders").filter("o_orderkey % 40 = 1").selectExpr("concat('entity:o', o_orderkey) AS id")
+    seeds = table(spark, sf, "orders").selectExpr("concat('entity:o', o_orderkey) AS id")
     return reader.expand(nodes, edges, seeds, "both", ("DEPENDS_ON", "CONTAINS")).select("origin", "edge_id", "neighbor", "direction")
 
 
-@query("SELECT doc_id, CAST(length(split_part(text, chr(10), 1)) AS INTEGER) AS utf16 FROM documents WHERE NOT regexp_matches(split_part(text, chr(10), 1), '[\\x{10000}-\\x{10FFFF}]')")
+# Texts get a character of four bytes before every c, so that each line has columns on all sides of such characters.
+WIDE = "\U0001d11e"
+
+
+@query(f"""WITH w AS (SELECT doc_id, string_split(replace(text, 'c', '{WIDE}c'), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i AS line, lines[i] AS body FROM w, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+h AS (SELECT doc_id, line, k, left(body, CAST(length(body) * k // 3 AS BIGINT)) AS head FROM l, (VALUES (1), (2), (3)) t(k))
+SELECT doc_id, line, strlen(head) AS byte_column, CAST(length(head) + length(head) - length(regexp_replace(head, '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS INTEGER) AS utf16 FROM h""")
 def E25_utf16_column(spark, sf):
-    line = F.split("text", "\n")[0]
-    docs = table(spark, sf, "documents").filter(~F.rlike(line, F.lit("[\\x{10000}-\\x{10FFFF}]")))
-    return docs.select("doc_id", scalar.utf16_column(line, F.octet_length(line)).alias("utf16"))
+    """UTF-16 columns at a third, two thirds and the end of every line of every whole text."""
+    wide = F.split(F.replace("text", F.lit("c"), F.lit(WIDE + "c")), "\n", -1)
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(wide).alias("at", "body"))
+    cut_at = F.expr("left(body, length(body) * k div 3)")
+    heads = lines.select("doc_id", (F.col("at") + 1).alias("line"), "body", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).withColumn("byte_column", F.octet_length(cut_at))
+    return heads.select("doc_id", "line", F.col("byte_column").cast("long").alias("byte_column"), scalar.utf16_column(F.col("body"), F.col("byte_column")).alias("utf16"))
 
 
 # ---- aggregations, order, sets ---------------------------------------------------------------------------------------
@@ -377,7 +395,8 @@ def D14_F8_seed_candidates(spark, sf):
 
 @query("SELECT o_custkey AS file, count(*) AS entities, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS listed FROM orders GROUP BY 1")
 def F9_group_to_list(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("entities"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("listed"))
+    found = merge.grouped_list(table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey"), "file", "o_orderkey")
+    return found.select("file", F.col("n").alias("entities"), F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("listed"))
 
 
 @query("WITH x AS (" + CHANGES + ") SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "modified", "deleted", "unchanged")) + " FROM x")
@@ -444,13 +463,65 @@ def I7_keep_first(spark, sf):
     return merge.keep_first(lines).select("id", "first_part")
 
 
+SUMMARISED = """n AS (SELECT 'file:d' || doc_id AS id, 'sha256:' || sha256(text) AS h, doc_id % 4 AS m, 'File text ' || lang || '/' || source || '/' || doc_id AS about FROM documents)"""
+
+
+def summarised(spark, sf):
+    """The documents as files: a quarter with a current summary, a quarter with one of an old text, a quarter with one of
+    another model, a quarter without one."""
+    from graphmill.model import as_nodes
+
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file:d"), F.col("doc_id").cast("string")).alias("id"), scalar.prefixed_sha256(F.col("text")).alias("content_hash"), F.concat_ws("/", "lang", "source", "doc_id").alias("relative_path"))
+    files = as_nodes(docs.withColumns({"node_type": F.lit("File"), "language": F.lit("text")}))
+    m = F.col("doc_id") % 4
+    held = docs.filter(m < 3).select(
+        F.concat(F.lit("summary:"), "id", F.lit(":retrieval")).alias("id"), F.lit("Summary").alias("node_type"), F.lit("old").alias("text"), F.lit("retrieval").alias("purpose"), F.when(m == 1, "sha256:0").otherwise(F.col("content_hash")).alias("source_hash"),
+        F.when(m == 2, "other").otherwise("local-echo").alias("summary_model"), F.lit("local-hashed").alias("embedding_model"), F.lit(16).alias("embedding_dimensions"), F.array(F.lit(1.0), *[F.lit(0.0)] * 15).cast("array<float>").alias("embedding"),
+    )
+    return files.unionByName(as_nodes(held))
+
+
+@query(f"WITH {SUMMARISED} SELECT id, h AS target_hash, m = 0 AS current FROM n")
+def E23_summary_currency(spark, sf):
+    return summaries.targets(summarised(spark, sf), "local-echo", "local-hashed", 16).select("id", "target_hash", "current")
+
+
+PROMPT_SQL = f"""'{summaries.LEAD} Node: ' || id || ' About: ' || about"""
+
+
+@query(f"WITH {SUMMARISED} SELECT id, replace({PROMPT_SQL}, ' Node: ', chr(10) || 'Node: ').replace(' About: ', chr(10) || 'About: ') AS prompt FROM n")
+def L1_summary_prompts(spark, sf):
+    return summarised(spark, sf).filter("node_type = 'File'").select("id", summaries.summary_prompt().alias("prompt"))
+
+
+@query(f"WITH {SUMMARISED} SELECT 'summary:' || id || ':retrieval' AS id, CASE WHEN m = 0 THEN 'old' ELSE {PROMPT_SQL} END AS text, h AS source_hash, 'local-echo' AS summary_model, CAST(16 AS INTEGER) AS embedding_dimensions, true AS unit FROM n")
+def L2_L3_L4_L7_summaries(spark, sf):
+    """After a refresh every file has a current summary; only those without one went through the models."""
+    nodes, _ = summaries.attach(summarised(spark, sf), star_edges(spark, sf).limit(0), EchoSummaries(), HashedEmbeddings(16), 25)
+    made = nodes.filter("node_type = 'Summary'")
+    return made.select("id", "text", "source_hash", "summary_model", "embedding_dimensions", (F.abs(scalar.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-5).alias("unit"))
+
+
+@query(f"WITH {SUMMARISED} SELECT 'summary:' || id || ':retrieval' AS source_id, id AS target_id, 'retrieval' AS kind FROM n")
+def E24_summary_edges(spark, sf):
+    _, edges = summaries.attach(summarised(spark, sf), star_edges(spark, sf).limit(0), EchoSummaries(), HashedEmbeddings(16), 25)
+    return edges.filter("edge_type = 'DESCRIBES'").select("source_id", "target_id", "kind")
+
+
+@query("SELECT 'file:d' || doc_id AS id, round(len(list_intersect(list_distinct(string_split(lang || ' ' || source, ' ')), ['en', 'src1'])) / 2.0, 6) AS score FROM documents")
+def L5_rerank_scores(spark, sf):
+    """The stand-in reranker over every document's language and source, in batches on the executors."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("file:d"), F.col("doc_id").cast("string")).alias("id"), F.concat_ws(" ", "lang", "source").alias("text"))
+    return retrieval.scored(docs, "en src1", OverlapReranker()).select("id", F.round("score", 6).alias("score"))
+
+
 # ---- traversal -------------------------------------------------------------------------------------------------------
 
 
 @query(""", walk AS (SELECT 'repo:r1' AS spot, 'repo:r1' AS path, 0 AS depth UNION ALL SELECT e.target_id, w.path || '>' || e.target_id, depth + 1 FROM walk w JOIN star_edges e ON e.source_id = w.spot WHERE depth < 4)
-SELECT spot AS target_id, CAST(depth AS INTEGER) AS depth, path FROM walk WHERE depth > 0 AND spot IN (SELECT 'entity:o' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""", star=True)
+SELECT spot AS target_id, CAST(depth AS INTEGER) AS depth, path FROM walk WHERE depth > 0 AND spot IN (SELECT 'entity:o' || o_orderkey FROM orders)""", star=True)
 def J1_trails(spark, sf):
-    targets = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").selectExpr("concat('entity:o', o_orderkey) AS id")
+    targets = table(spark, sf, "orders").selectExpr("concat('entity:o', o_orderkey) AS id")
     return traversal.trails(star_edges(spark, sf), ids(spark, "repo:r1"), targets, 4).select("target_id", "depth", "path")
 
 
@@ -459,10 +530,10 @@ def J2_J4_descendants(spark, sf):
     return traversal.descendants(star_edges(spark, sf), ids(spark, "repo:r2")).select("id")
 
 
-@query(" SELECT 'file:c' || c_custkey AS seed, unnest(['file:c' || c_custkey, 'module:n' || c_nationkey, 'repo:r' || n_regionkey]) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 9 = 0", star=True)
+@query(" SELECT 'file:c' || c_custkey AS seed, unnest(['file:c' || c_custkey, 'module:n' || c_nationkey, 'repo:r' || n_regionkey]) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey", star=True)
 def J3_ancestors(spark, sf):
     nodes, edges = star(spark, sf)
-    seeds = table(spark, sf, "customer").filter("c_custkey % 9 = 0").selectExpr("concat('file:c', c_custkey) AS id")
+    seeds = table(spark, sf, "customer").selectExpr("concat('file:c', c_custkey) AS id")
     return traversal.ancestors(nodes, edges, seeds).select("seed", "id")
 
 
@@ -498,8 +569,8 @@ def K_cosine(spark, sf):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | java_corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | java_corpus.SQL

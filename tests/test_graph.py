@@ -13,7 +13,10 @@ from graphmill.sources.store import GraphStore
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["A3_A9_targets", "A11_read_slice", "E3_expand_graph", "E10_H5_nearest", "E11_E12_innermost_span", "E16_aliases", "E19_I2_file_changes", "I7_keep_first", "J1_trails", "K_one_line"]
+SAMPLE = (
+    "A3_A9_targets A11_read_slice E3_expand_graph E10_H5_nearest E11_innermost_time E16_aliases E19_I2_file_changes I7_keep_first J1_trails K_one_line D1_D3_visible_nodes D12_D13_known_ids E17_last_anchor E25_utf16_column "
+    "C1_C7_C10_C11_code_nodes C6_C8_C9_code_edges C13_C14_candidates C15_request_faults E11_H9_owner_of_use E12_location_targets E13_E14_semantic_edges F12_resolver_counts L2_L3_L4_L7_summaries"
+).split()
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -21,9 +24,9 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = catalog.QUERIES[name](spark, SF)
+    got = catalog.queries()[name](spark, SF)
     quoted = ", ".join(f'"{c}"' for c in got.columns)
-    want = con.execute(f"SELECT {quoted} FROM ({catalog.SQL[name]})").fetchall()
+    want = con.execute(f"SELECT {quoted} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want))) and want
 
 
@@ -34,7 +37,7 @@ def test_closure_stores_deep_levels_and_ends_on_loops(spark):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.SQL) == set(catalog.QUERIES)
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 def nodes_of(spark, rows):
@@ -102,6 +105,29 @@ def test_store_merges_and_deletes(spark, small, tmp_path):
     assert {r.id for r in left.collect()} == {"b", "c"} and held.count() == 0
 
 
+def test_a_refresh_is_one_version(spark, small, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    nodes, edges = small
+    store.overwrite(nodes, edges)
+    version = store.pointer()["version"]
+    assert store.refresh(["a/F.java"], nodes_of(spark, [("f", "File", None, "a/F.java", None), ("n", "Entity", "N", None, "p.N")]), edges_of(spark, [("CONTAINS", "f", "n", "m"), ("SPECIALIZES", "n", "b", "extends")])) == 3
+    assert store.pointer()["version"] == version + 1
+    left, held = store.read()
+    assert {r.id for r in left.collect()} == {"f", "n", "b", "c"} and {r.id for r in held.collect()} == {"CONTAINS:f:n:m", "SPECIALIZES:n:b:extends"}
+
+
+def test_a_document_is_never_without_a_version(spark, tmp_path, monkeypatch):
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    for i in range(5):
+        store.write_text("state", f'{{"n": {i}}}')
+    assert store.read_text("state") == '{"n": 4}' and len(store._versions("state")) == 2
+    # A writer that dies before its rename leaves the version before it.
+    monkeypatch.setattr(store, "_path", lambda name, own=store._path: (_ for _ in ()).throw(OSError()) if name.startswith("_state") else own(name))
+    with pytest.raises(OSError):
+        store.write_text("state", "{}")
+    assert store.read_text("state") == '{"n": 4}' and store.read_text("none") is None
+
+
 def test_vectors_of_two_lengths_are_refused(spark, tmp_path):
     nodes = as_nodes(spark.createDataFrame([("s", "Summary", [1.0]), ("t", "Summary", [1.0, 2.0])], "id string, node_type string, embedding array<float>"))
     with pytest.raises(ValueError):
@@ -152,7 +178,10 @@ def test_paths_stay_inside(tmp_path):
 
 def test_vector_checks():
     assert HashedEmbeddings(8).embed(["a b"])[0] == HashedEmbeddings(8).embed(["a b"])[0]
-    for bad in ([[1.0], [2.0]], [[True]], [[1.0, 2.0]]):
+    assert checked_vectors([[1, 2], [3, 4]], 2, 2).tolist() == [[1.0, 2.0], [3.0, 4.0]] and checked_vectors([[1.5]], 1, None).tolist() == [[1.5]]
+    with pytest.raises(ValueError):
+        checked_vectors([[1.0, 2.0], [3.0]], 2, None)
+    for bad in ([[1.0], [2.0]], [[True]], [[1.0, 2.0]], [["x"]], [[None]], [], [1.0]):
         with pytest.raises(ValueError):
             checked_vectors(bad, 1, 1)
 
