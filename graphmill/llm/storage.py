@@ -12,24 +12,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphmill.sources.shared import shared_folder
 
-_OWN: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder: spark.checkpoint.dir, or a local one, gone at exit, where that is unset (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="graphmill-llm-"))
-            atexit.register(shutil.rmtree, _OWN[0], True)
-        root = f"file://{_OWN[0]}"
-    return (root if "://" in root or root.startswith("file:") else f"file://{root}").rstrip("/")
+#: Names that Hadoop gives to stores which Arrow knows by another.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder; it exists once something is written to it."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +48,8 @@ def opened(uri: str):
     """(file system, path) of a URI, for worker-side reads and writes of plain files."""
     from pyarrow import fs
 
-    found, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    scheme, _, rest = uri.partition("://")
+    found, path = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
     return found, path
 
 

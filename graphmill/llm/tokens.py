@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill.llm.storage import local_copy, new_folder, opened, stored, worker_state
+from graphmill.sources.shared import qualified
 
 SEQUENCE = 1024
 ROWS_PER_BATCH = 64
@@ -236,7 +237,7 @@ def write_token_files(
     import pyarrow as pa
 
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "tokens")
+    folder = qualified(spark, folder) if folder else new_folder(spark, "tokens")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(wanted, "id").sortWithinPartitions("id", "body")
