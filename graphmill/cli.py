@@ -1,4 +1,4 @@
-"""Command line: init, index, and the retrieval tools. Usage errors exit with 2, failures with 1."""
+"""Command line: init, index, web, and the retrieval tools. Usage errors exit with 2, failures with 1."""
 
 from __future__ import annotations
 
@@ -8,39 +8,9 @@ import sys
 from dataclasses import asdict
 from pathlib import Path
 
+from graphmill.config import chat_client, default_config, embedding_model, read_config, rerank_model, text_model
 from graphmill.model import VISIBLE_EDGE_TYPES
 
-# Sections and defaults of the configuration.
-DEFAULT_CONFIG = {
-    "retrieval": {"candidate_limit_per_query": 20, "top_n": 5},
-    "summary": {"model": "local-echo", "concurrent_requests": 10},
-    "embedding": {"model": "local-hashed", "dimensions": 64, "batch_size": 25},
-}
-
-
-def read_config(path: Path) -> dict:
-    try:
-        text = path.read_text(encoding="utf-8")
-    except FileNotFoundError as e:
-        raise RuntimeError(f"no configuration at {path}; run init") from e
-    try:
-        found = json.loads(text)
-    except json.JSONDecodeError as e:
-        raise RuntimeError(f"{path} is not JSON") from e
-    if not isinstance(found, dict):
-        raise RuntimeError(f"{path} is not a JSON object")
-    for section, fields in DEFAULT_CONFIG.items():
-        own = found.get(section)
-        if not isinstance(own, dict):
-            raise RuntimeError(f"{section} is missing")
-        for name, default in fields.items():
-            value = own.get(name)
-            if type(value) is not type(default) or (isinstance(value, int) and value < 1) or value == "":
-                raise RuntimeError(f"{section}.{name} is missing or wrong")
-    if found["embedding"]["batch_size"] > 2048 or found["summary"]["concurrent_requests"] > 32:
-        raise RuntimeError("embedding.batch_size may be 2048 at most, summary.concurrent_requests 32")
-    return found
-
 
 def filled(text: str) -> str:
     if not text.strip():
@@ -51,7 +21,7 @@ def filled(text: str) -> str:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="graphmill")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("init", "index"):
+    for name in ("init", "index", "web"):
         commands.add_parser(name).add_argument("repository", type=filled)
     commands.choices["index"].add_argument("--incremental", action="store_true")
     tools = commands.add_parser("tools").add_subparsers(dest="tool", required=True)
@@ -73,7 +43,7 @@ def run(args: argparse.Namespace, session=None) -> dict:
     if args.command == "init":
         home.mkdir(parents=True, exist_ok=True)
         if not config_path.exists():
-            config_path.write_text(json.dumps(DEFAULT_CONFIG, indent=2) + "\n", encoding="utf-8")
+            config_path.write_text(json.dumps(default_config(), indent=2) + "\n", encoding="utf-8")
         return {"status": "ok", "config": str(config_path)}
     if args.command == "tools":
         if getattr(args, "direction", "both") not in ("outgoing", "incoming", "both"):
@@ -82,21 +52,26 @@ def run(args: argparse.Namespace, session=None) -> dict:
         if wrong := [t for t in asked if t not in VISIBLE_EDGE_TYPES]:
             raise RuntimeError(f"edge type not available: {', '.join(wrong)}")
     config = read_config(config_path)
-    from pyspark.sql import SparkSession
-
-    from graphmill.functions.models import HashedEmbeddings
     from graphmill.plans.agent import Toolbox
     from graphmill.plans.index import index
     from graphmill.sources.store import GraphStore
 
-    spark = session or SparkSession.builder.appName("graphmill").getOrCreate()
+    spark = session or started(config["graphrag"])
+    root = Path(args.repository).resolve()
     store = GraphStore(spark, (home / "graph").resolve().as_uri())
-    model = HashedEmbeddings(config["embedding"]["dimensions"])
+    embedding = embedding_model(config)
+    update = lambda incremental: asdict(index(spark, str(root), store, root.name, incremental, text_model(config), embedding, config["embedding"]["batch_size"]))
     if args.command == "index":
-        return asdict(index(spark, str(Path(args.repository).resolve()), store, Path(args.repository).resolve().name, args.incremental, embedding_model=model))
+        return update(args.incremental)
     if not store.exists():
         raise RuntimeError("no index; run index first")
-    box = Toolbox(spark, store, model, candidates_per_query=config["retrieval"]["candidate_limit_per_query"], top_n=config["retrieval"]["top_n"], enforce=False)
+    box = lambda enforce: Toolbox(spark, store, embedding, rerank_model(config), config["rerank"]["candidate_limit_per_query"], config["rerank"]["top_n"], enforce)
+    if args.command == "web":
+        from graphmill.web import Service, serve
+
+        serve(Service(store, str(root), lambda: box(True), lambda: update(True), chat_client(config), config), config["web"])
+        return {"status": "ok"}
+    box = box(False)
     if args.tool == "vector-search-seeds":
         return box.vector_search_seeds(args.query)
     if args.tool == "expand-neighbors":
@@ -104,6 +79,16 @@ def run(args: argparse.Namespace, session=None) -> dict:
     return box.query_relation(args.node_id, args.relation_type, args.direction)
 
 
+def started(own: dict):
+    """The Spark session that the configuration asks for."""
+    from pyspark.sql import SparkSession
+
+    builder = SparkSession.builder.appName("graphmill")
+    builder = builder.master(own["master"]) if own.get("master") else builder
+    builder = builder.config("spark.sql.shuffle.partitions", own["shuffle_partitions"]) if own.get("shuffle_partitions") else builder
+    return builder.getOrCreate()
+
+
 def main(argv: list[str] | None = None, session=None) -> int:
     args = parser().parse_args(argv)
     try:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.functions.clients import ChatClient
 from graphmill.functions.models import EmbeddingModel, HashedEmbeddings, OverlapReranker, RerankModel
 from graphmill.model import VISIBLE_EDGE_TYPES
 from graphmill.operators import reader, retrieval
@@ -87,6 +88,33 @@ class Toolbox:
         return result(tool, items, warnings)
 
 
+#: What a model is told of the tools: names, parameters, and the values that they take.
+_IDS = {"type": "array", "items": {"type": "string"}, "description": "ids of nodes seen before"}
+_DIRECTION = {"type": "string", "enum": list(reader.DIRECTIONS)}
+TOOLS = [
+    {
+        "name": name, "description": about,
+        "parameters": {"type": "object", "properties": properties, "required": [k for k in properties if k not in ("direction", "edge_types")]},
+    }
+    for name, about, properties in (
+        ("vector_search_seeds", "Finds nodes whose summaries are close to the query texts. Call it first, with two to four wordings.", {"query_texts": {"type": "array", "items": {"type": "string"}}}),
+        ("expand_neighbors", "Gives the relations of known nodes that were not expanded before.", {"node_ids": _IDS, "direction": _DIRECTION, "edge_types": {"type": "array", "items": {"type": "string", "enum": list(VISIBLE_EDGE_TYPES)}}}),
+        ("query_relation", "Gives the relations of one type of known nodes.", {"node_ids": _IDS, "relation_type": {"type": "string", "enum": list(VISIBLE_EDGE_TYPES)}, "direction": _DIRECTION}),
+    )
+]
+PLAN_PROMPT = "You answer questions about a code base from its graph. Gather evidence with the tools until it is enough; then answer without calling one.\nThe graph's tables: "
+ANSWER_PROMPT = "Answer the question from the evidence alone, name the nodes it rests on, and say what the evidence leaves open."
+
+
+def trace(tool: str, args: dict, found: dict) -> dict:
+    """What a reader of the conversation is shown of a call: its arguments as they were used, and what came of it."""
+    kept = {k: v for k, v in args.items() if k in ("query_texts", "node_ids", "relation_type", "edge_types")}
+    if tool != "vector_search_seeds":
+        kept["direction"] = direction_of(args.get("direction"))
+    kept["items" if tool == "vector_search_seeds" else "relations"] = found["items"]
+    return {"name": tool, "args": kept | ({"warnings": found["warnings"]} if found["warnings"] else {})}
+
+
 def result(tool: str, items: list, warnings: list | None = None) -> dict:
     return {"status": "ok", "tool": tool, "items": items, "warnings": warnings or []}
 
@@ -95,7 +123,35 @@ def normalized_call(call: dict) -> tuple[str, dict]:
     """(name, arguments) of a call given as name and args, or as a function with arguments in JSON."""
     inner = call.get("function") or call
     args = inner.get("args", inner.get("arguments", {}))
-    return str(inner.get("name", "")), json.loads(args) if isinstance(args, str) else dict(args or {})
+    if isinstance(args, str):
+        args = json.loads(args) if args.strip() else {}
+    return str(inner.get("name", "")), dict(args) if isinstance(args, dict) else {}
+
+
+@dataclass
+class ModelMind:
+    """plan and answer of a Conversation by a chat model: it is shown the tables, the messages so far and the evidence."""
+
+    client: ChatClient
+    schema: str
+    history: list = field(default_factory=list)
+    last: str = ""
+
+    def payload(self, evidence: list) -> str:
+        return json.dumps({"evidence": evidence, "calls": len(evidence)}, sort_keys=True, ensure_ascii=False, default=str)
+
+    def plan(self, question: str, evidence: list) -> list[dict]:
+        messages = [{"role": "system", "content": PLAN_PROMPT + self.schema}, *self.history, {"role": "user", "content": question}]
+        if evidence:
+            messages.append({"role": "system", "content": f"Evidence so far:\n{self.payload(evidence)}"})
+        reply = self.client.reply(messages, TOOLS)
+        self.last = "" if reply.calls else reply.text
+        return reply.calls
+
+    def answer(self, question: str, evidence: list) -> str:
+        if self.last and not evidence:
+            return self.last
+        return self.client.reply([{"role": "system", "content": ANSWER_PROMPT}, {"role": "user", "content": f"Question: {question}\nEvidence:\n{self.payload(evidence)}"}]).text
 
 
 @dataclass
@@ -109,7 +165,9 @@ class Conversation:
     def ask(self, messages: list[dict]) -> dict:
         if not messages or messages[-1].get("role") != "user" or not 1 <= len(messages) <= 50:
             raise ValueError("1 to 50 messages are needed, the last one from the user")
-        question, evidence, used = messages[-1]["content"].strip(), [], dict.fromkeys(MOST_PER_TOOL, 0)
+        if any(m.get("role") not in ("user", "assistant") or not str(m.get("content", "")).strip() for m in messages):
+            raise ValueError("a message is blank, or from neither the user nor the assistant")
+        question, evidence, shown, used = messages[-1]["content"].strip(), [], [], dict.fromkeys(MOST_PER_TOOL, 0)
         stop = False
         while not stop:
             calls = self.plan(question, evidence)
@@ -126,7 +184,14 @@ class Conversation:
                     stop = True
                     break
                 used[name] += 1
-                if name == "vector_search_seeds":
-                    args.setdefault("question", question)
-                evidence.append(getattr(self.tools, name)(**args))
-        return {"status": "ok", "message": {"role": "assistant", "content": self.answer(question, evidence)}, "traces": evidence}
+                evidence.append(self.run(name, args, question))
+                shown.append(trace(name, args, evidence[-1]))
+        return {"status": "ok", "message": {"role": "assistant", "content": self.answer(question, evidence)}, "traces": evidence, "queries": shown}
+
+    def run(self, name: str, args: dict, question: str) -> dict:
+        """One call with whatever arguments the model gave: what is missing or of a wrong kind counts as empty."""
+        if name == "vector_search_seeds":
+            return self.tools.vector_search_seeds(args.get("query_texts", args.get("queries")), question)
+        if name == "expand_neighbors":
+            return self.tools.expand_neighbors(args.get("node_ids"), args.get("direction", "both"), args.get("edge_types"))
+        return self.tools.query_relation(args.get("node_ids"), args.get("relation_type", ""), args.get("direction", "both"))

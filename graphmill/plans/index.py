@@ -31,7 +31,7 @@ class IndexResult:
     duration_ms: int
 
 
-def index(spark: SparkSession, repository: str, store: GraphStore, name: str, incremental: bool = False, text_model: TextModel | None = None, embedding_model: EmbeddingModel | None = None) -> IndexResult:
+def index(spark: SparkSession, repository: str, store: GraphStore, name: str, incremental: bool = False, text_model: TextModel | None = None, embedding_model: EmbeddingModel | None = None, batch: int = 25) -> IndexResult:
     """Scans, builds, summarises and stores. A refresh re-reads all files for structure, but takes uses only from changed
     files and writes only what belongs to them; inbound uses from unchanged files come back as references alone."""
     began = time.perf_counter()
@@ -46,7 +46,7 @@ def index(spark: SparkSession, repository: str, store: GraphStore, name: str, in
     skipped = changes.filter("status = 'unchanged'").count()
     deleted_nodes = 0
     if not incremental:
-        nodes, edges = summaries.attach(*build(files, name), text_model, embedding_model)
+        nodes, edges = summaries.attach(*build(files, name), text_model, embedding_model, batch)
         store.overwrite(nodes, edges)
     elif any(listed.values()):
         paths = changes.filter("status in ('added', 'modified')").select("path")
@@ -54,7 +54,7 @@ def index(spark: SparkSession, repository: str, store: GraphStore, name: str, in
         if listed["added"] or listed["modified"]:
             nodes, edges = (cut(x) for x in build(files, name, paths))
             ids = cut(merge.incremental_ids(nodes, edges, paths.withColumnRenamed("path", "relative_path")))
-            nodes, edges = (cut(x) for x in summaries.attach(*merge.select_incremental(nodes, edges, ids), text_model, embedding_model))
+            nodes, edges = (cut(x) for x in summaries.attach(*merge.select_incremental(nodes, edges, ids), text_model, embedding_model, batch))
         deleted_nodes = store.refresh(changes.filter("status in ('modified', 'deleted')").select("path"), nodes, edges)
     nodes, edges = store.read()
     result = IndexResult("incremental" if incremental else "full", listed["added"], listed["modified"], listed["deleted"], skipped, deleted_nodes, nodes.count(), edges.count(), round(1000 * (time.perf_counter() - began)))

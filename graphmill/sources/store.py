@@ -70,6 +70,13 @@ class GraphStore:
     def pointer(self) -> dict:
         return json.loads(self.read_text("current") or '{"version": 0}')
 
+    def state(self) -> dict | None:
+        """What the last indexing run left: repository, name, time and result; None before any."""
+        found = json.loads(self.read_text("state") or "null")
+        if found is not None and not (isinstance(found, dict) and str(found.get("name") or "").strip()):
+            raise ValueError("the index state names no graph")
+        return found
+
     def exists(self) -> bool:
         return self.pointer()["version"] > 0
 

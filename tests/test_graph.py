@@ -3,6 +3,7 @@ import json
 import duckdb
 import pytest
 from graphmill import cli
+from graphmill.config import default_config
 from graphmill.functions.models import HashedEmbeddings, checked_vectors
 from graphmill.model import as_edges, as_nodes, checked, edge_faults, node_faults
 from graphmill.operators import merge, reader, retrieval, traversal
@@ -211,7 +212,7 @@ def test_agent_limits(spark, small, tmp_path):
 
 def test_command_line(tmp_path, capsys):
     assert cli.main(["init", str(tmp_path)]) == 0
-    assert json.loads((tmp_path / ".graphmill/config.json").read_text()) == cli.DEFAULT_CONFIG
+    assert json.loads((tmp_path / ".graphmill/config.json").read_text()) == default_config()
     with pytest.raises(SystemExit) as stop:
         cli.main(["tools", "vector-search-seeds", "--query", ""])
     assert stop.value.code == 2
