@@ -13,7 +13,8 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates the large-star and small-star steps. Each is one grouped minimum, which combines before the shuffle,
     and one join back to the edges, which adaptive execution may split; no neighbour list is ever gathered. The
-    number of rounds is logarithmic in practice. Nodes must be orderable and non-null; loops are dropped.
+    number of rounds is logarithmic in practice. Nodes must be orderable and non-null; loops are dropped. The result is a
+    stored table, which discard() removes.
     """
     now = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "stars"
@@ -33,5 +34,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         discard(now)
         now = after
         if new_mark == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found.graphmill_folder = now.graphmill_folder
+            return found
         mark = new_mark

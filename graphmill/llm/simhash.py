@@ -175,8 +175,8 @@ def leaf_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return values[child], values[label[child]]
 
 
-def cells_of(points: DataFrame, tree: list, radius: int, leaf_most: int = LEAF_MOST) -> DataFrame:
-    """(leaf, low, high, fp): the points (fp) dealt to cells such that every pair within `radius` meets in one, and no cell
+def cells_of(points: DataFrame, tree: list, radius: int, leaf_most: int = LEAF_MOST) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, low, high, fp), and the stored tables it reads: the points (fp) dealt to cells such that every pair within `radius` meets in one, and no cell
     has many more than leaf_most points.
 
     The given tree deals first. Leaves that are too large get trees of their own, built on the executors from samples of
@@ -216,7 +216,7 @@ def cells_of(points: DataFrame, tree: list, radius: int, leaf_most: int = LEAF_M
         return pa.table({"leaf": table.column("leaf")[:1], "tree": [json.dumps(build_tree(sample, depth, radius, 11))]})
 
     now = stored(points.select("fp").mapInArrow(first, "leaf long, above long, fp long"), "simhash-leaves")
-    done = None
+    done, made = None, [now]
     while True:
         sizes = now.groupBy("leaf").agg(F.count("*").alias("n"), F.max("above").alias("above")).filter(F.col("n") > leaf_most)
         sizes = stored(sizes.select("leaf", "n", ((F.col("above") > 0) & (F.col("n") > STUCK * F.col("above"))).alias("stuck")), "large-leaves")
@@ -227,13 +227,15 @@ def cells_of(points: DataFrame, tree: list, radius: int, leaf_most: int = LEAF_M
         split = now.join(sizes.filter("stuck"), "leaf").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).filter("block != other")
         split = split.select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp")
         done = small.unionByName(split) if done is None else done.unionByName(small).unionByName(split)
+        made.append(sizes)
         open_ = sizes.filter("not stuck").select("leaf", "n")
         if open_.isEmpty():
-            return done
+            return done, made
         chosen = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(LEAF_SAMPLE)) / F.col("n")) * (1 << 30)
         trees = stored(now.join(open_, "leaf").filter(chosen).select("leaf", "n", "fp").groupBy("leaf").applyInArrow(plant, "leaf long, tree string"), "leaf-trees")
         planted = open_.join(trees, "leaf", "left").select("leaf", "n", F.coalesce("tree", F.lit("[]")).alias("tree"))
         now = stored(now.drop("above").join(planted, "leaf").mapInArrow(again, "leaf long, above long, fp long"), "simhash-leaves")
+        made += [trees, now]
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2, leaf_most: int = LEAF_MOST) -> DataFrame:
@@ -262,13 +264,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2, le
         a, b = leaf_links(table.column("fp").to_numpy().view(np.uint64), radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    links = cells_of(classes, tree, radius, leaf_most).groupBy("leaf", "low", "high").applyInArrow(solve, "a long, b long")
-    stars = connected(stored(links.distinct(), "simhash-links"), "a", "b")
+    cells, made = cells_of(classes, tree, radius, leaf_most)
+    links = stored(cells.groupBy("leaf", "low", "high").applyInArrow(solve, "a long, b long").distinct(), "simhash-links")
+    stars = connected(links, "a", "b")
     roots = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     linked = classes.join(roots, "fp", "left")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.drop("component_id").join(stored(named, "simhash-components"), "fp")
+    named = stored(named, "simhash-components")
+    for table in (*made, links, classes, stars):
+        discard(table)
+    return rows.drop("component_id").join(named, "fp")
 
 
 # The rest serves near-copies that differ in more than a few bits. At a Jaccard similarity of 0.8 two texts' fingerprints
@@ -521,24 +527,28 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = first.select("a").unionByName(first.select(F.col("b").alias("a"))).select(F.col("a").alias("s_set")).distinct()
     sets = shingle_sets(ends, rows, classes, "d_row", body, shingle)
     named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
-    stars = stored(connected(truly_linked(first, sets, similarity).unionByName(named), "a", "b"), "first-groups")
-    discard(sets)
+    true = truly_linked(first, sets, similarity)
+    stars = connected(true.unionByName(named), "a", "b")
+    discard(sets), discard(true)
 
     # Shards within one group are done; the others' blocks meet each with each.
     labelled = members.join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set")).drop("root")
     labelled = stored(labelled, "labelled-members")
     mixed = labelled.groupBy("band").agg(F.min("s_group").alias("low"), F.max("s_group").alias("high")).filter("low != high").select("band")
     open_ = stored(labelled.join(mixed, "band", "left_semi"), "mixed-members")
+    discard(members), discard(shared), discard(first)
     sets = shingle_sets(open_.select("s_set").distinct(), rows, classes, "d_row", body, shingle)
     cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(classes.select("s_set", "mins", "size", "bands"), "s_set").join(sets, "s_set")
     second = stored(solved(cells, ["band", "low", "high"], ["size", "s_group", "block", "at", "bands", "hashes"], lambda *x: shard_decided(*x, similarity)).select("a", "b").distinct(), "second-links")
-    discard(sets)
-    stars = connected(second.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+    discard(sets), discard(labelled), discard(open_)
+    before, stars = stars, connected(second.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
     grouped = rows.select("s_set", "d_row", F.col(names[others.index(id_col)]).alias("id")).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
     best = stored(
         grouped.groupBy("s_group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups"
     )
-    losers = grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best")
-    out = rows.select(*names, "d_row").join(stored(losers, "near-losers"), "d_row", "left")
+    losers = stored(grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best"), "near-losers")
+    for table in (classes, before, second, stars, best):
+        discard(table)
+    out = rows.select(*names, "d_row").join(losers, "d_row", "left")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, others)), "d_row", F.coalesce("d_best", "d_row").alias("d_group"), F.col("d_best").isNull().alias("d_kept"))

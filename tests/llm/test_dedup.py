@@ -118,7 +118,7 @@ def test_large_leaves_are_split_without_loss(spark):
     frame = spark.createDataFrame([(k, int(np.uint64(v).view(np.int64)), "x") for k, v in prints.items()], "doc_id long, fp long, component_id string")
     got = near_duplicates(frame, leaf_most=60)
     assert got.columns.count("component_id") == 1 and {r.doc_id: r.component_id for r in got.collect()} == brute_components(prints)
-    sizes = [x["count"] for x in cells_of(frame.select("fp").distinct(), [], 2, 60).groupBy("leaf", "low", "high").count().collect()]
+    sizes = [x["count"] for x in cells_of(frame.select("fp").distinct(), [], 2, 60)[0].groupBy("leaf", "low", "high").count().collect()]
     assert max(sizes) < 100 and len(sizes) > 30
 
 
