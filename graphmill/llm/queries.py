@@ -31,11 +31,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document what its ids, read back from the token files, are and where they lie; null texts are the end id alone."""
     index = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return read_documents(index)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its group of identical texts, whose largest doc_id stays; null counts as empty."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
@@ -50,6 +52,7 @@ FROM documents
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words inside ten-word windows of benchmark items; null texts have no words."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -80,6 +83,7 @@ FROM words LEFT JOIN hits h USING (r) LEFT JOIN items i USING (r)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the language by text, label and source; texts without letters are `und` and not accepted."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs, "text", "lang"), "text", declared="lang", host="source", keep=["doc_id"])
     return found.select("doc_id", "identified.*")
@@ -94,12 +98,14 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fingerprint and component; texts without words have fingerprint zero, linked like any other."""
     prints = with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", shingle=3)
     found = near_duplicates(stored(prints, "prints"), "doc_id", radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its cell, the probability raked to the source, language and topic marginals, and whether it is kept."""
     found = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "mix.source", "mix.lang", "mix.topic", F.col("mix.tokens").alias("n_tokens"), F.round("mix.probability", 6).alias("probability"), "mix.kept")
 
@@ -108,12 +114,14 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, and for one that is made of control strings, digests of what is read back; null text is empty."""
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return read_back(format_chats(chained(rows))).withColumnRenamed("tree", "conv_id")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its main text, empty where there is none; null html is empty."""
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
@@ -124,10 +132,12 @@ URL_RULES = [
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its host and path, the host and path rule that decides, and the verdict; null addresses are empty."""
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its score by a model of the documents outside the held-out seventh; null text is one end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id") == 2).alias("held_out"))
     model = fit(docs.filter("not held_out"))
     return score(docs, model, ["doc_id", "held_out"])

@@ -50,6 +50,46 @@ DEFAULT_RULES = (
 )
 
 
+#: Parts of a filter-list pattern that stand for something: a separator or the address's end, and any text.
+PATTERN_PARTS = re.compile(r"(\^|\*+)")
+SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|$)"
+
+
+def parse_filter_list(text: str) -> list[Rule]:
+    """Rules of a list in the widespread ad-block syntax, as pattern rules over whole addresses, letter case aside.
+
+    `||` stands for the start of a host or of a part of it, `|` for the address's start or end, `^` for a separator or the
+    end, `*` for any text; `/.../` is a regular expression, `@@` makes an exception that allows. Comments, headers, and
+    rules for parts of pages or kinds of requests (`##`, `$`) concern no address of a page and are left out.
+    """
+    rules = []
+    for line in map(str.strip, text.splitlines()):
+        if not line or line[0] in "![" or re.search(r"#[@?$%]?#", line):
+            continue
+        verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        if len(body) > 2 and body[0] == body[-1] == "/":
+            rules.append(Rule(verdict, pattern=f"(?i){body[1:-1]}"))
+            continue
+        if "$" in body:
+            continue
+        host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
+        inner = body.strip("|")
+        if not inner.strip("*^"):
+            continue
+        pieces = [p for p in PATTERN_PARTS.split(inner) if p]
+        written = "".join(SEPARATOR if p == "^" else ".*" if p[0] == "*" else re.escape(p) for p in pieces)
+        pattern = "(?i)" + (r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?" if host else "^" if start else "") + written + ("$" if end else "")
+        # A token counts only where nothing can lengthen it: something of the pattern itself bounds it on both sides.
+        literals = []
+        for k, piece in enumerate(pieces):
+            left = pieces[k - 1] == "^" if k else host or start
+            right = pieces[k + 1] == "^" if k + 1 < len(pieces) else end
+            tokens = list(re.finditer("[a-z0-9]+", piece.lower())) if piece[0] not in "*^" else []
+            literals += [m[0] for m in tokens if (m.start() > 0 or left) and (m.end() < len(piece) or right)]
+        rules.append(Rule(verdict, pattern=pattern, literals=tuple(literals)))
+    return rules
+
+
 def host_of(url: str) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lowered; empty without ://."""
     return F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,13 +132,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     that decides, else null. An address that no rule fits gets `default`; a null one, or one without ://, has an empty
     host and path. Repeated pages are judged apart; other columns are not read; empty input gives no rows.
     """
-    spark = pages.sparkSession
-    rows = stored(pages.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url")), "urls")
-    seen = rows.select("r", "id", host_of("url").alias("host"), path_of("url").alias("path"), "url")
-    lowered = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = seen.select("r", "host", "path", "url", F.explode(F.array_distinct(F.filter(F.split(lowered, SPLIT), lambda t: t != ""))).alias("token"))
-    index = rule_index(spark, rules, words.groupBy("token").agg(F.count("*").alias("n")))
-    tried = words.join(index, "token").filter(fits(*(F.col(c) for c in ("host", "path", "url", "rule_host", "rule_path", "pattern", "explicit"))))
+    seen, candidates = rule_candidates(pages, rules, id_col, url_col)
+    tried = candidates.filter(fits(*(F.col(c) for c in ("host", "path", "url", "rule_host", "rule_path", "pattern", "explicit"))))
     best = tried.groupBy("r").agg(F.min(rank(F.col("explicit"), F.col("size"), F.col("name"), F.col("verdict"))).alias("indexed"))
     bare = [
         F.when(fits(F.col("host"), F.col("path"), F.col("url"), F.lit(r.host), F.lit(r.path), F.lit(r.pattern), F.lit(r.explicit)), rank(F.lit(r.explicit), F.lit(len(r.name)), F.lit(r.name), F.lit(r.verdict)))
@@ -112,6 +147,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     )
 
 
+def rule_candidates(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(rows, candidates): the addresses (r, id, host, path, url), and each with the rules that its tokens fetch."""
+    spark = pages.sparkSession
+    rows = stored(pages.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url")), "urls")
+    seen = rows.select("r", "id", host_of("url").alias("host"), path_of("url").alias("path"), "url")
+    lowered = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = seen.select("r", "host", "path", "url", F.explode(F.array_distinct(F.filter(F.split(lowered, SPLIT), lambda t: t != ""))).alias("token"))
+    index = rule_index(spark, rules, words.groupBy("token").agg(F.count("*").alias("n")))
+    return seen, words.join(index, "token")
+
+
 def filter_sql(rules: list[Rule], default: str = "allow") -> str:
     """The same verdicts over `pages` for DuckDB, every rule tried on every address."""
     text = lambda x: "'" + x.replace("'", "''") + "'"

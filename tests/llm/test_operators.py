@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -9,7 +10,7 @@ import pytest
 from graphmill.llm import chat, html_text, lm
 from graphmill.llm.language import html_language, identify, train
 from graphmill.llm.mixing import mix, mix_sql, rake
-from graphmill.llm.url_filter import Rule, filter_sql, filter_urls
+from graphmill.llm.url_filter import Rule, filter_sql, filter_urls, parse_filter_list, rule_candidates
 from pyspark.sql import functions as F
 
 
@@ -179,6 +180,50 @@ def test_url_filter_equals_sql(spark):
     assert filter_urls(pages.limit(0), rules).collect() == []
 
 
+LIST = r"""
+[Adblock Plus 2.0]
+! a comment
+||ads.example.com^
+||tracker.net/pixel*.gif|
+|http://start.org/
+/banner/ads-
+@@||good.ads.example.com^
+adserver
+/^https?:..evil[0-9]+\.com/
+##.ad-box
+example.org##.banner
+||cdn.net^$script
+*^*
+"""
+
+
+def test_filter_list(spark):
+    rules = parse_filter_list(LIST)
+    assert [r.verdict for r in rules] == ["block"] * 4 + ["allow"] + ["block"] * 2
+    assert [r.tokens() for r in rules] == [["ads", "example", "com"], ["tracker", "net", "gif"], ["http", "start", "org"], ["banner", "ads"], ["good", "ads", "example", "com"], [], []]
+    cases = {
+        "http://ads.example.com/x": "block", "https://x.ADS.example.com": "block", "http://badads.example.com/": "allow", "http://good.ads.example.com/a": "allow", "http://a.tracker.net/pixel7.gif": "block",
+        "http://tracker.net/pixel7.gifx": "allow", "http://start.org/": "block", "http://x.org/?u=http://start.org/": "allow", "http://x.org/banner/ads-1": "block", "http://x.org/banner/ads": "allow",
+        "http://myadservers.org/": "block", "https://evil12.com/": "block", "http://x.com/evil12.com": "allow", "": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    assert {r.page_id: r.verdict for r in filter_urls(pages, rules).collect()} == dict(enumerate(cases.values()))
+
+
+def test_few_rules_are_tried_of_many(spark):
+    r = random.Random(6)
+    names = [f"site{i}" for i in range(400)]
+    rules = parse_filter_list("\n".join([f"||{n}.example.{r.choice(['com', 'net'])}^" for n in names] + [f"/path{i}/{r.choice(names)}/" for i in range(400)]))
+    urls = [f"http://www.{r.choice(names)}.example.{r.choice(['com', 'net'])}/path{r.randrange(400)}/{r.choice(names)}/{r.randrange(9)}" for _ in range(100)] + ["x" * 50_000, "http://" + "a/" * 20_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want, compiled = {}, [(re.compile(x.pattern), x) for x in rules]
+    for i, u in enumerate(urls):
+        fit = [x for c, x in compiled if c.search(u)]
+        want[i] = min(fit, key=lambda x: (-len(x.name), x.name)).verdict if fit else "allow"
+    assert {x.page_id: x.verdict for x in filter_urls(pages, rules).collect()} == want and set(want.values()) == {"allow", "block"}
+    assert rule_candidates(pages, rules)[1].count() / len(urls) < 10
+
+
 # ---- language model ----------------------------------------------------------------------------------------------------
 
 
