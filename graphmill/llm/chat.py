@@ -86,7 +86,8 @@ def format_chats(messages: DataFrame, keep_branches: int = 1, loss_role: str = "
     messages: tree, node, parent, score, role, text. A turn is written as <|im_start|>role, a line feed, the text,
     <|im_end|> and a line feed; texts and roles are escaped so that parsed() gives them back exactly. loss lists
     (first, end) characters of `formatted`, counted in code points, of every text of loss_role. Null role or text is empty; a tree without
-    a root-to-leaf path has no row.
+    a root-to-leaf path has no row; an empty table gives none. Other columns are not read. A conversation is one row, so it
+    has to fit a task.
     """
     paths = branches(messages, keep_branches)
     said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -94,21 +95,16 @@ def format_chats(messages: DataFrame, keep_branches: int = 1, loss_role: str = "
         "tree", "branch", "rank", "depth", (F.col("role") == loss_role).alias("learned"),
         F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit("\n")).alias("head"), escaped(F.col("text")).alias("body"),
     )
-    gathered = turns.groupBy("tree", "branch", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "learned", "head", "body"))).alias("turns"))
     tail = F.lit(CLOSE + "\n")
-    empty = F.array().cast("array<struct<first:int,end:int>>")
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), empty.alias("loss")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(CLOSE) + 1).alias("at"),
-            F.when(
-                t["learned"],
-                F.concat(acc["loss"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("first"), (acc["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end")))),
-            ).otherwise(acc["loss"]).alias("loss"),
-        ),
-    )["loss"]
-    return gathered.select("tree", "branch", "rank", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail)), "").alias("formatted"), spans.alias("loss"))
+    # Places are running sums, so a conversation of any length takes one sort.
+    placed = turns.withColumn("size", F.length("head") + F.length("body") + len(CLOSE) + 1)
+    before = Window.partitionBy("tree", "branch", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("first", (F.coalesce(F.sum("size").over(before), F.lit(0)) + F.length("head")).cast("int"))
+    span = F.struct("first", (F.col("first") + F.length("body")).alias("end"))
+    gathered = placed.groupBy("tree", "branch", "rank").agg(
+        F.array_sort(F.collect_list(F.struct("depth", F.concat("head", "body", tail).alias("turn")))).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("learned"), span))).alias("loss")
+    )
+    return gathered.select("tree", "branch", "rank", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"), "loss")
 
 
 def chained(rows: DataFrame, tree: str = "conv_id", turn: str = "turn") -> DataFrame:
