@@ -127,9 +127,9 @@ def mix(
     below its cell's probability. Documents of a cell share it, and rows of one id share their fate. Null source,
     lang or topic is a value of its own; null or empty text has no tokens and is kept with the plain budget's
     probability; empty input gives no rows. The cells' table is joined back by key, and Spark broadcasts it only if
-    its stored size is under the session's limit.
+    its stored size is under the session's limit. A column named `mix` is replaced.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c != "mix"] if keep is None else keep
     words = F.regexp_count(F.coalesce(F.col("m_text"), F.lit("")), F.lit(WORD)).cast("long")
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     rows = docs.select(

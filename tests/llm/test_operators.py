@@ -7,7 +7,7 @@ from hashlib import sha256
 
 import duckdb
 import pytest
-from graphmill.llm import chat, html_text, lm
+from graphmill.llm import chat, html_text, lm, mixing
 from graphmill.llm.language import html_language, identify, train
 from graphmill.llm.mixing import mix, mix_sql, rake
 from graphmill.llm.url_filter import Rule, filter_sql, filter_urls, parse_filter_list, rule_candidates
@@ -85,6 +85,21 @@ def test_fitting_goes_on_until_marginals_are_met(spark):
             assert math.isclose(sum(r.w for r in rows if r[d] == f"{d[0]}{i}") / total, x, rel_tol=1e-5)
 
 
+def test_many_cells_are_fitted_alike(spark, monkeypatch):
+    r = random.Random(7)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", r.randint(0, 50)) for i in range(3) for j in range(2) for k in range(2)]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    plain = {tuple(x)[:4]: x.w for x in rake(frame, cycles=2).collect()}
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 0)
+    split = {tuple(x)[:4]: x.w for x in rake(frame, cycles=2).collect()}
+    assert plain.keys() == split.keys() and all(math.isclose(plain[k], split[k], rel_tol=1e-9) for k in plain)
+
+
+def test_mixture_replaces_its_own_column(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", "own")], "doc_id long, text string, lang string, source string, mix string")
+    assert mix(docs).columns == ["doc_id", "text", "lang", "source", "mix"] and mix(docs).first().mix.tokens == 2
+
+
 def test_targets_that_cannot_be_met_are_reported(spark, caplog):
     frame = spark.createDataFrame([("a", "en", "prose", 10), ("b", "fr", "prose", 10)], "source string, lang string, topic string, tokens long")
     targets = {d: spark.createDataFrame([(v[0], 0.9), (v[1], 0.1)], "value string, share double") for d, v in (("source", "ab"), ("lang", ("fr", "en")))}
@@ -118,6 +133,13 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chats(chat.chained(frame.limit(0)))).collect() == []
 
 
+def test_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} <|") for t in range(20_000)]
+    got = chat.read_back(chat.format_chats(chat.chained(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).first()
+    learned = "".join(x for _, _, r, x in rows if r == "assistant")
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (20_000, len(learned), sha256(learned.encode()).hexdigest())
+
+
 def test_reply_trees(spark):
     rows = [(1, "r", None, 1.0), (1, "a", "r", 5.0), (1, "b", "r", 1.0), (1, "a1", "a", 1.0), (1, "b1", "b", 9.0), (1, "lost", "gone", 99.0), (1, "x", "y", 9.0), (1, "y", "x", 9.0), (1, "z", "y", 9.0)]
     rows += [(2, f"n{i}", f"n{i - 1}" if i else None, None) for i in range(100)]
