@@ -46,28 +46,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id",
     return reduce(DataFrame.unionByName, [found(asked.filter(number == b)) for b in range(blocks)])
 
 
-def nearest_in_buckets(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", column: str = "embedding", planes: int = 8, probes: int = 3, seed: int = 11) -> DataFrame:
-    """nearest() over buckets of random half-spaces, for very many vectors: a query looks at its own bucket and those
-    that differ in its `probes` least certain planes. Approximate; it skips vectors in other buckets."""
-    import random
-
-    size = vectors.select(F.size(column).alias("n")).first()
-    if size is None:
-        return nearest(queries, vectors, k, id_col, column)
-    r = random.Random(seed)
-    normals = [[r.gauss(0, 1) for _ in range(size.n)] for _ in range(planes)]
-    sides = lambda c: F.array(*(dot(F.col(c), F.array(*map(F.lit, n))) for n in normals))
-    code = lambda s: F.aggregate(F.transform(s, lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b).cast("int")
-    asked = unit(queries.select("query", "vector"), "vector").withColumn("side", sides("vector"))
-    flips = F.slice(F.transform(F.array_sort(F.transform("side", lambda x, i: F.struct(F.abs(x).alias("d"), i.alias("i")))), lambda x: x["i"]), 1, probes)
-    near = F.concat(F.array(code(F.col("side"))), F.transform(flips, lambda i: F.col("base").bitwiseXOR(F.pow(F.lit(2.0), i).cast("int"))))
-    asked = asked.withColumn("base", code(F.col("side"))).withColumn("bucket", F.explode(F.array_distinct(near))).select("query", "vector", "bucket")
-    base = unit(vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v")), "v").withColumn("bucket", code(sides("v")))
-    scored = base.join(asked, "bucket").select("query", "id", dot(F.col("v"), F.col("vector")).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def seed_candidates(hits: DataFrame, nodes: DataFrame, edges: DataFrame, embedding_model: str | None = None, dimensions: int | None = None, query_order: str = "query") -> DataFrame:
     """Candidates for reranking: (id, type, label, text, summary_id, vector_score, first_seen), one row per described node.
 

@@ -156,13 +156,6 @@ def test_nearest_takes_any_number_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.nearest(asked, base, 3, "vec_id").collect())) == want and len(want) == 120
 
 
-def test_nearest_in_buckets_finds_the_same_vector(spark):
-    base = spark.read.parquet(f"{SF}/embeddings.parquet")
-    asked = base.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    got = retrieval.nearest_in_buckets(asked, base, 3, "vec_id")
-    assert {r.query: r.id for r in got.filter("rank = 1").collect()} == {i: i for i in range(20)}
-
-
 def test_ignore_rules(spark):
     paths = ["a/B.java", "target/X.java", "build/generated/X.java", "build/node_modules/generated/X.java", ".git/x", "Out/generated-sources/Y.java", "src/outs/Z.java"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(repository.is_ignored(F.col("p")).alias("x")).collect()
