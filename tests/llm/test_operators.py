@@ -86,12 +86,12 @@ def test_fitting_goes_on_until_marginals_are_met(spark):
 
 
 def test_many_cells_are_fitted_alike(spark, monkeypatch):
-    r = random.Random(7)
-    cells = [(f"s{i}", f"l{j}", f"t{k}", r.randint(0, 50)) for i in range(3) for j in range(2) for k in range(2)]
+    # Independent marginals are met after one cycle.
+    cells = [(f"s{i}", f"l{j}", f"t{k}", (i + 1) * (j + 2) * (3 * k + 1)) for i in range(3) for j in range(2) for k in range(2)]
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    plain = {tuple(x)[:4]: x.w for x in rake(frame, cycles=2).collect()}
+    plain = {tuple(x)[:4]: x.w for x in rake(frame, cycles=1).collect()}
     monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 0)
-    split = {tuple(x)[:4]: x.w for x in rake(frame, cycles=2).collect()}
+    split = {tuple(x)[:4]: x.w for x in rake(frame, cycles=1).collect()}
     assert plain.keys() == split.keys() and all(math.isclose(plain[k], split[k], rel_tol=1e-9) for k in plain)
 
 
