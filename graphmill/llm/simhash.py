@@ -15,8 +15,9 @@ LEAF_ROWS = 2048
 PIVOT_SAMPLE = 65536
 BRUTE = 512
 #: A leaf of more fingerprints is split again on the executors, by a tree over about LEAF_SAMPLE of them; one that no
-#: vantage point cuts is compared block with block, each pair of blocks as large as such a leaf.
-LEAF_MOST = 4 * LEAF_ROWS
+#: vantage point cuts is compared block with block, each pair of blocks as large as such a leaf. A leaf of this size takes
+#: a task a second or two, while each further level copies about a fifth of the points over its cut.
+LEAF_MOST = 16 * LEAF_ROWS
 LEAF_SAMPLE = 4096
 #: A cut that leaves more than this share of a leaf on one side is none.
 STUCK = 0.9
