@@ -19,7 +19,7 @@ from graphmill.llm.language import identify, train
 from graphmill.llm.mixing import mix
 from graphmill.llm.queries import END_ID, tokenizer_path
 from graphmill.llm.simhash import near_duplicate_rows
-from graphmill.llm.storage import stored
+from graphmill.llm.storage import discard, stored
 from graphmill.llm.tokens import read_documents, write_token_files
 
 
@@ -51,8 +51,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows, n = renamed(docs)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = contamination(rows, items, "row", n["text"]).filter("contaminated").select("row")
-    return restored(rows.join(stored(hit, "contaminated"), "row", "left_anti"), n)
+    found = contamination(rows, items, "row", n["text"])
+    hit = stored(found.filter("contaminated").select("row"), "contaminated")
+    discard(found.graphmill_index)
+    return restored(rows.join(hit, "row", "left_anti"), n)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

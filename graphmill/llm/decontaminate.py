@@ -292,9 +292,12 @@ def contamination(
         rows = index.select(F.explode(F.arrays_zip("ids", "n_words")).alias("x")).select(F.col("x.ids.id").alias(id_col), F.col("x.ids.row").alias("row"), F.col("x.n_words").alias("n_words"))
         judged = rows.join(merged, "row", "left").select(id_col, "n_words", F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     listed = F.array_join(F.array_sort("items"), ",")
-    return judged.select(
+    out = judged.select(
         id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+    # Whoever has stored the result may discard the index.
+    out.graphmill_index = index
+    return out
 
 
 def proximity_matches(docs: DataFrame, phrases: list[str], slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
