@@ -21,6 +21,7 @@ MEMO_ENTRIES = 800_000
 
 TWO_SPACES = re.compile(r"\s\s")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+LINE = re.compile(r" ?\S(?:[^\n]*\S)?")
 
 
 class PieceEncoder:
@@ -67,21 +68,26 @@ class PieceEncoder:
     def literal(key: str) -> str:
         return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
+    def apart(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def fresh(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces end to end, ids per piece). Pieces without a line feed are encoded as lines of one text:
-        a line feed between two of them is always a piece, and an id, of its own."""
+        """(ids of all pieces end to end, ids per piece). Pieces without a line feed that neither start nor end with white space, but for one
+        space before another character, are encoded as lines of one text: a line feed between two of them is an id of its own. Should
+        there be another number of line feeds than of ends of lines, they are encoded apart as well."""
         texts = [self.literal(k) for k in keys]
-        alone = [k for k, t in enumerate(texts) if self.line is None or "\n" in t or t[-1].isspace()]
-        found = dict(zip(alone, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False))))
-        lines = [k for k in range(len(texts)) if k not in found] if alone else range(len(texts))
-        if not len(lines):
-            ids, ends = np.empty(0, np.uint32), np.empty(0, np.int64)
-        else:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([texts[k] for k in lines] if alone else texts)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
-        if not alone:
-            return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
-        found |= zip(lines, np.split(ids[ids != self.line], np.cumsum(np.diff(ends, prepend=-1) - 1)[:-1]) if len(lines) else [])
+        lines = [k for k, t in enumerate(texts) if self.line is not None and t and LINE.fullmatch(t)]
+        found: dict[int, np.ndarray] = {}
+        if lines:
+            ids = self.apart(["\n".join(texts[k] for k in lines)])[0]
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(lines) - 1:
+                sizes = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+                if len(lines) == len(texts):
+                    return ids[ids != self.line], sizes
+                found = dict(zip(lines, np.split(ids[ids != self.line], np.cumsum(sizes)[:-1])))
+        rest = [k for k in range(len(texts)) if k not in found]
+        found |= zip(rest, self.apart([texts[k] for k in rest]))
         parts = [found[k] for k in range(len(texts))]
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 

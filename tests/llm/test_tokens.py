@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -31,6 +32,28 @@ def test_piece_encoder_equals_plain(most):
         assert [x.tolist() for x in code.encode(texts[at : at + 100])] == want[at : at + 100]
 
 
+WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+
+
+@pytest.mark.parametrize("size,most", [(7, 5), (5000, 500_000)])
+def test_any_white_space_at_the_start(size, most):
+    r = random.Random(4)
+    texts = ["".join(x) + r.choice(["a", "word b", "", ".x"]) for n in (1, 2, 3) for x in itertools.product(WHITE, repeat=n)] + ["q"] * 50
+    r.shuffle(texts)
+    code, want = PieceEncoder(BPE, most), [e.ids for e in Tokenizer.from_file(BPE).encode_batch_fast(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), size):
+        assert [x.tolist() for x in code.encode(texts[at : at + size])] == want[at : at + size]
+
+
+def test_random_unicode():
+    r = random.Random(5)
+    letters = [*WHITE, *"ab c'.,1 \n\t", "é", "ß", "中", "\u0301", "\u200b", "'s", "\0", "𝒳", *["\u00a0"] * 3, "the", "ing"]
+    texts = ["".join(r.choices(letters, k=r.randint(0, 14))) for _ in range(100_000)]
+    code, want = PieceEncoder(BPE, 1000), [e.ids for e in Tokenizer.from_file(BPE).encode_batch_fast(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 512):
+        assert [x.tolist() for x in code.encode(texts[at : at + 512])] == want[at : at + 512]
+
+
 def test_other_tokenizers_go_whole():
     code = PieceEncoder(P.path("word_bpe_49k.json"))
     assert not code.by_piece and len(code.encode(["a b"])[0])
