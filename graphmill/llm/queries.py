@@ -12,8 +12,11 @@ from graphmill.llm.html_text import extract
 from graphmill.llm.language import html_language, identify, train, url_host, url_suffix
 from graphmill.llm.lm import fit, fold, score
 from graphmill.llm.mixing import mix, mix_sql
+from graphmill.llm.repair import digests, repair
+from graphmill.llm.runs import word_runs
 from graphmill.llm.simhash import near_duplicates, with_fingerprints
 from graphmill.llm.storage import stored
+from graphmill.llm.topk import top_products
 from graphmill.llm.tokens import read_documents, write_token_files
 from graphmill.llm.url_filter import DEFAULT_RULES, Rule, filter_sql, filter_urls
 
@@ -143,13 +146,149 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, ["doc_id", "held_out"])
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector whose id is divisible by 20 its 20 highest inner products with all other vectors, components as floor(64 x); vectors that are
+    null or hold a null, a NaN or an infinity take no part."""
+    rows = table(spark, sf_dir, "embeddings")
+    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = rows.filter(F.col("embedding").isNotNull() & sound).select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("embedding"))
+    return top_products(whole, "vec_id % 20 = 0", 20)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with faults put in by crc32(`conv_id:turn`) % 20: 0 drops a row, 1 empties its text, 2 takes out .!?, 3 repeats it, 4 makes it
+    the user's. Null role and text are one space, as is a null conv_id or turn in that string."""
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(named.cast("binary")) % 20
+    given = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), fault.alias("fault")).filter("fault != 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return given.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation the faults found after the damage, the cheapest repair, its cost and the digest of the repaired turns."""
+    rows = table(spark, sf_dir, "conversations")
+    report, turns = repair(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = rows.select("conv_id").distinct().join(report.withColumnRenamed("conv", "r"), F.col("conv_id").eqNullSafe(F.col("r")), "left").drop("r")
+    found = found.join(digests(turns).withColumnRenamed("conv", "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left").drop("d")
+    return found.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    )
+
+
+def repair_sql() -> str:
+    """A recursive walk over the turns of each conversation: for each state the cheapest cost, audit and lines so far."""
+
+    def then(state: str, cost: str, audit: str, lines: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{audit}', 'o': {state}.o || {lines}}} END"
+
+    def edited(state: str, initial: str) -> str:
+        """The turn as it is, or as a user's or an assistant's."""
+        kept = then(state, "more", "K", "chr(10) || role || ':' || text")
+        given = {"u": "user", "a": "assistant"}.get(initial)
+        other = then(state, "2 + more", "R", f"chr(10) || '{given}:' || text") if given else "NULL"
+        return f"CASE WHEN fault NOT IN (1, 2) THEN CASE WHEN left(role, 1) = '{initial}' THEN {kept} ELSE {other} END END"
+
+    gone = [then(f"s{j}", "3", "D", "''") for j in range(4)]
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    turned = [gone[0], f"least({gone[1]}, {edited('s0', 's')})", f"least({gone[2]}, {', '.join(edited(f's{j}', 'u') for j in (0, 1, 3))})", f"least({gone[3]}, {edited('s2', 'a')})"]
+    return rf"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS t FROM range(256) AS r(i)),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name, dense_rank() OVER (ORDER BY conv_id) AS v FROM conversations),
+coded AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda x, b: xor(x >> 8, t[1 + xor(x, b) % 256]), 4294967295), 4294967295) % 20 AS f
+  FROM named, bytes),
+damaged AS (
+  SELECT v, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM coded, LATERAL (SELECT unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END))) WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+trimmed AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, row_number() OVER (PARTITION BY v, role, text ORDER BY k) AS nth FROM placed),
+marked AS (
+  SELECT *, CASE WHEN said = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         CASE WHEN said <> '' AND nth = 1 AND right(said, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS more,
+         left(lag(role) OVER (PARTITION BY v ORDER BY k), 1) || left(role, 1) AS pair
+  FROM trimmed),
+counts AS (
+  SELECT v, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+         count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE k > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY v),
+walk AS (
+  SELECT v, CAST(0 AS BIGINT) AS k, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS s0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS s1,
+         {{'c': CAST(2 AS BIGINT), 'a': 'I', 'o': {user}}} AS s2, {{'c': CAST(4 AS BIGINT), 'a': 'II', 'o': {user} || {assistant}}} AS s3
+  FROM counts
+  UNION ALL
+  SELECT v, k, s0, s1, s2, least(s3, {then('s2', '2', 'I', assistant)}) FROM (
+    SELECT v, k, s0, s1, least(s2, {then('s0', '2', 'I', user)}, {then('s1', '2', 'I', user)}, {then('s3', '2', 'I', user)}) AS s2, s3 FROM (
+      SELECT v, m.k, {', '.join(f"{x} AS s{j}" for j, x in enumerate(turned))} FROM walk w JOIN marked m USING (v) WHERE m.k = w.k + 1))),
+ended AS (SELECT w.v, least(s0, s3) AS s FROM walk w JOIN counts c ON w.v = c.v AND w.k = c.n)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s.c, 0) AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(s.o[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, v FROM named) LEFT JOIN counts USING (v) LEFT JOIN ended USING (v)
+"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with periodic passages put in: where h = crc32(doc_id as text) % 10 is 0, the words from one of them on repeat a stretch
+    of words; all other texts, and those without an id, are left as they are."""
+    import pyarrow as pa
+
+    def work(batches):
+        from zlib import crc32
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
+                h = crc32(str(doc).encode())
+                if doc is None or h % 10 or not texts[k]:
+                    continue
+                words, g = texts[k].split(), h // 10
+                if n := len(words):
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    texts[k] = b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(work, rows.schema)
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, after the planting, its periodic runs, the strongest of them, and digests of all runs and of the collapsed text."""
+    found = word_runs(planted(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     found = (
         op1_token_files, op2_exact_dedup, op3_decontaminate, op4_language_id, language_id_pages, op5_simhash, op6_mixture, op7_chat_format, op8_html_text,
-        op9_url_filter, op10_lm_score,
+        op9_url_filter, op10_lm_score, op11_top_products, op12_conversation_repair, op13_word_runs,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op6_mixture": mix_sql(), "op9_url_filter": filter_sql(URL_RULES)}
+    return {"op2_exact_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op6_mixture": mix_sql(), "op9_url_filter": filter_sql(URL_RULES), "op11_top_products": OP11_SQL, "op12_conversation_repair": repair_sql()}
