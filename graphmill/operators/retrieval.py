@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,13 @@ from graphmill.functions.models import RerankModel, checked_scores
 from graphmill.functions.scalar import dot, similarity
 from graphmill.operators.reader import VISIBLE_NODE_TYPES, node_label
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: About so many queries are searched at once: a block of them is sent to all workers.
 MOST_QUERIES = 1000
+#: A product of matrices may be off by so much; so many candidates are scored again at once.
+SLACK, CHECKED = 1e-9, 1 << 16
 
 
 def unit(vectors: DataFrame, column: str) -> DataFrame:
@@ -24,20 +31,78 @@ def unit(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.withColumn("norm", norm).filter("norm > 0").withColumn(column, F.expr(f"transform({column}, x -> cast(x as double) / norm)")).drop("norm")
 
 
+class TopScores:
+    """The k highest products of each query with the vectors seen so far, ties to the smaller id. Candidates come from one product of
+    matrices and are scored again one by one, so equal vectors have equal scores wherever they stand."""
+
+    def __init__(self, names: pa.Array, vectors: np.ndarray, k: int):
+        self.names, self.vectors, self.k, self.held = names, vectors, k, None
+
+    def add(self, ids: pa.Array, rows: np.ndarray) -> None:
+        import pyarrow as pa
+
+        if not len(rows) or not len(self.vectors):
+            return
+        score = self.vectors @ rows.T
+        if score.shape[1] > self.k:
+            least = np.partition(score, -self.k, axis=1)[:, -self.k]
+        else:
+            least = np.full(len(score), -np.inf)
+        query, at = np.nonzero(score >= least[:, None] - SLACK)
+        exact = np.concatenate([(self.vectors[query[i : i + CHECKED]] * rows[at[i : i + CHECKED]]).sum(axis=1) for i in range(0, len(query), CHECKED)])
+        found = pa.table({"query": pa.array(query), "id": ids.take(pa.array(at)), "score": exact})
+        both = found if self.held is None else pa.concat_tables([self.held, found])
+        both = both.take(pa.compute.sort_indices(both, sort_keys=[("query", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        query = both.column("query").to_numpy()
+        self.held = both.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < self.k))
+
+    def rows(self) -> pa.Table | None:
+        """(query, id, score)."""
+        return None if self.held is None else self.held.set_column(0, "query", self.names.take(self.held.column("query").combine_chunks()))
+
+
+def matrix_of(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the lists of that length, their values as rows)."""
+    at = np.flatnonzero(np.diff(column.offsets.to_numpy()) == width)
+    held = column.take(at)
+    return at, held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
     """(query, id, score, rank): the k vectors nearest to each query by cosine, ties by id.
 
     queries: query, vector; any number. They are dealt to blocks of about MOST_QUERIES by a hash of `query`, and each block
-    is sent to every worker in turn. Each partition keeps k rows per query before the shuffle (a window group limit), so
-    what moves is k rows for each query and partition.
+    goes to every task, which multiplies it with its vectors batch by batch and keeps k rows a query; so what moves is k rows for
+    each query and partition.
     """
+    import pyarrow as pa
+
     asked = unit(queries.select("query", "vector"), "vector")
     blocks = math.ceil(asked.count() / MOST_QUERIES)
     base = unit(vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v")), "v")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("id", vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def found(block: DataFrame) -> DataFrame:
-        scored = base.join(F.broadcast(block), F.size("v") == F.size("vector")).select("query", "id", dot(F.col("v"), F.col("vector")).alias("score"))
+        # A block of a bounded number of queries; vectors of several lengths are products of their own.
+        table = block.toArrow()
+        column = table.column("vector").combine_chunks()
+        parts = []
+        for width in np.unique(np.diff(column.offsets.to_numpy())).tolist():
+            at, rows = matrix_of(column, width)
+            parts.append((width, table.column("query").combine_chunks().take(pa.array(at)), rows))
+
+        def score(batches):
+            tops = [(width, TopScores(names, rows, k)) for width, names, rows in parts]
+            for batch in batches:
+                for width, top in tops:
+                    at, rows = matrix_of(batch.column("v"), width)
+                    top.add(batch.column("id").take(pa.array(at)), rows)
+            for _, top in tops:
+                if (out := top.rows()) is not None:
+                    yield from out.to_batches()
+
+        scored = base.mapInArrow(score, schema)
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     if blocks <= 1:

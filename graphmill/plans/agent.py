@@ -80,8 +80,8 @@ class Toolbox:
             asked = [x for x in asked if x in self.known and not (unvisited and x in self.visited)]
         if not asked or not kinds:
             return result(tool, [], warnings)
-        nodes, edges = self.store.read()
-        hops = reader.expand(nodes, edges, self.spark.createDataFrame([(x,) for x in asked], "id string"), direction, tuple(kinds))
+        ids = self.spark.createDataFrame([(x,) for x in asked], "id string")
+        hops = reader.expand(*self.store.around(ids, direction), ids, direction, tuple(kinds))
         items = [r.asDict() for r in hops.orderBy("origin", "edge_id").collect()]
         self.known |= {x["neighbor"] for x in items}
         self.visited |= set(asked)

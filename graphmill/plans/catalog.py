@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import scalar
 from graphmill.functions.models import EchoSummaries, HashedEmbeddings, OverlapReranker
-from graphmill.operators import intervals, merge, reader, retrieval, semantics, summaries, traversal
+from graphmill.operators import intervals, merge, reader, retrieval, semantics, summaries, traversal, vector_index
 from graphmill.plans import java_corpus
 from graphmill.plans.projection import STAR_SQL, corpus_edges, corpus_nodes, line_anchors, star_edges, star_nodes, table
 from graphmill.sources import repository, store
+from graphmill.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +117,22 @@ def reader_nodes(df):
     return as_nodes(df)
 
 
+def stored(spark, sf):
+    """The star graph in a store of its own."""
+    held = store.GraphStore(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    held.overwrite(*star(spark, sf))
+    return held
+
+
+@query(f", new AS ({CHANGED_FILES}), down AS (SELECT 'file:c' || c_custkey AS id FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 'entity:o' || o_orderkey FROM orders WHERE o_custkey % 7 = 0) SELECT id, coalesce(n.node_type, o.node_type) AS node_type, coalesce(n.name, o.name) AS name, coalesce(n.relative_path, o.relative_path) AS relative_path, o.display_name FROM (SELECT * FROM star_nodes WHERE id NOT IN (SELECT id FROM down)) o FULL JOIN new n USING (id)", star=True)
+def A18_B1_B4_B6_stored_nodes(spark, sf):
+    """A stored graph that loses every seventh customer's file and gets the changed files, as two changes beside its base."""
+    held = stored(spark, sf)
+    held.delete_files(table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_name").alias("path")))
+    held.upsert(changed_files(spark, sf), star_edges(spark, sf).limit(0))
+    return held.read()[0].select("id", "node_type", "name", "relative_path", "display_name")
+
+
 @query(f", new AS ({CHANGED_FILES}) SELECT id, coalesce(n.node_type, o.node_type) AS node_type, coalesce(n.name, o.name) AS name, coalesce(n.relative_path, o.relative_path) AS relative_path, o.display_name FROM star_nodes o FULL JOIN new n USING (id)", star=True)
 def B2_upsert_nodes(spark, sf):
     return merge.merge_nodes(star_nodes(spark, sf), changed_files(spark, sf)).select("id", "node_type", "name", "relative_path", "display_name")
@@ -228,6 +246,13 @@ def E3_expand_graph(spark, sf):
     return reader.expand(nodes, edges, ids(spark, "entity:p1"))
 
 
+@query(", seeds AS (SELECT 'entity:p1' AS id UNION ALL SELECT 'file:s1')" + HOPS + " SELECT * FROM hops", star=True)
+def E3_J6_stored_neighbors(spark, sf):
+    """Expansion over a stored graph, of which only the buckets of the ids and their neighbours are opened."""
+    seeds = ids(spark, "entity:p1", "file:s1")
+    return reader.expand(*stored(spark, sf).around(seeds), seeds)
+
+
 @query(", seeds AS (SELECT 'entity:p' || p_partkey AS id FROM part)" + HOPS + " SELECT DISTINCT neighbor AS id, neighbor_type AS type, neighbor_label AS label FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY edge_id) AS n FROM hops) WHERE n <= 5", star=True)
 def E4_neighbors(spark, sf):
     nodes, edges = star(spark, sf)
@@ -274,6 +299,14 @@ def E10_H5_nearest(spark, sf):
     return retrieval.nearest(embedding_queries(spark, sf), table(spark, sf, "embeddings"), 10, "vec_id").select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"SELECT query, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({NEAREST}) WHERE rank <= 10")
+def B5_H5_indexed_nearest(spark, sf):
+    """The inverted-file index, built over all vectors and asked in all of its cells, where it has to equal the exact search."""
+    index = vector_index.build_index(table(spark, sf, "embeddings"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "vec_id")
+    found = vector_index.search_index(index, embedding_queries(spark, sf), 10, probes=len(index.centres))
+    return found.select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""WITH s AS (SELECT o_custkey AS scope, o_orderkey AS owner, min(l_shipdate) AS f, max(l_shipdate) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 p AS (SELECT DISTINCT o_custkey AS scope, l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT p.scope, l_orderkey, l_linenumber, l_shipdate AS at, arg_min(owner, (l - f, owner)) AS owner FROM p JOIN s ON s.scope = p.scope AND l_shipdate BETWEEN f AND l GROUP BY ALL""")

@@ -1,4 +1,4 @@
-"""A graph in versioned Parquet tables: snapshots are written whole, then a pointer names the current one."""
+"""A graph in versioned Parquet tables: bucketed base files, small changes beside them, and a pointer that names what counts."""
 
 from __future__ import annotations
 
@@ -6,33 +6,53 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphmill.model import EDGES, NODES, as_edges, as_nodes
-from graphmill.operators.merge import delete_nodes, dimension_check, file_subgraph_ids, merge_edges, merge_nodes
+from graphmill.operators.merge import dimension_check, file_subgraph_ids
 from graphmill.operators.traversal import cut
 
+#: Changes that may lie beside the base before they are merged into it.
+MOST_CHANGES = 8
+#: Stored tables: schema, the column whose hash places a row, and the column that the files of a bucket are split by. Edges are there twice, by
+#: either end, so that those of a node lie in one bucket.
+TABLES = {"nodes": (NODES, "id", "node_type"), "sources": (EDGES, "source_id", "edge_type"), "targets": (EDGES, "target_id", "edge_type")}
+USES = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "sort", "key")])
+
 
 class GraphStore:
-    """Nodes partitioned by node_type and edges by edge_type, so a read of one type prunes the rest.
+    """Merge-on-read tables of nodes and edges.
 
-    A version is a folder, and the newest `current` document names the one that counts. Writers never touch a version that
-    can be read, and what is published at once is seen at once. Any store that Spark's Hadoop file systems reach will do.
+    The base of a table lies in buckets by a hash of a node's id, each in files by node or edge type and sorted by that id. A change
+    is a folder of the rows it writes and the ids it removes; readers merge the changes since into the rows of the base that they touch,
+    all other rows are read as they are. Beyond MOST_CHANGES changes the buckets that they touch are written anew, and only those.
+    A version is what the newest `current` document lists: for each bucket the version that wrote it, and the changes. Writers
+    never touch what a version that can be read lists, and what is published at once is seen at once. Any store that Spark's
+    Hadoop file systems reach will do.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """buckets: of a base that is written from now on, by default as many as shuffles have partitions."""
         self.spark, self.root = spark, root.rstrip("/")
+        self.wanted = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    # ---- documents ---------------------------------------------------------------------------------------------------
 
     def _path(self, name: str):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _listed(self, pattern: str) -> list[str]:
+        """The last parts of the paths that match, in order."""
+        files, path = self._path(pattern)
+        return sorted(x.getPath().getName() for x in files.globStatus(path) or ())
+
     def _versions(self, name: str) -> list[str]:
         """The stored versions of a document, oldest first."""
-        files, path = self._path(f"{name}-*.json")
-        return sorted(x.getPath().getName() for x in files.globStatus(path) or ())
+        return self._listed(f"{name}-*.json")
 
     def read_text(self, name: str) -> str | None:
         """The newest version of a document; one that a writer removes meanwhile has a newer one beside it."""
@@ -40,16 +60,21 @@ class GraphStore:
             found = self._versions(name)
             if not found:
                 return None
-            files, path = self._path(found[-1])
-            if not files.exists(path):
-                continue
-            stream = files.open(path)
-            try:
-                return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
+            text = self._text(found[-1])
+            if text is not None:
+                return text
         raise OSError(f"{name} changes faster than it can be read")
 
+    def _text(self, file: str) -> str | None:
+        files, path = self._path(file)
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def write_text(self, name: str, text: str) -> None:
         """Written whole under a new name, then renamed to be the newest version. There is no time without one: older
         versions go after that, the last one but one excepted."""
@@ -80,41 +105,187 @@ class GraphStore:
     def exists(self) -> bool:
         return self.pointer()["version"] > 0
 
+    # ---- reading -----------------------------------------------------------------------------------------------------
+
     def read(self) -> tuple[DataFrame, DataFrame]:
-        version = self.pointer()["version"]
-        if not version:
-            return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-        at = f"{self.root}/v{version}"
-        return self.spark.read.schema(NODES).parquet(f"{at}/nodes").select(*NODES.names), self.spark.read.schema(EDGES).parquet(f"{at}/edges").select(*EDGES.names)
+        at = self.pointer()
+        return self._table(at, "nodes"), self._table(at, "sources")
+
+    def around(self, ids: DataFrame, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) that expanding the ids needs: edges with such an end, and nodes from the buckets of both ends. Only those
+        buckets' files are opened; a bucket's number is all that the driver sees of an id."""
+        at = self.pointer()
+        if not at["version"]:
+            return self.read()
+        own = self._buckets_of(at, ids.select("id"))
+        edges = []
+        for name, column in (("sources", "source_id"), ("targets", "target_id")):
+            if direction == "both" or direction == {"sources": "outgoing", "targets": "incoming"}[name]:
+                edges.append(self._table(at, name, own).join(ids.select(F.col("id").alias(column)), column, "left_semi").select(*EDGES.names))
+        # A loop, or an edge between two of the ids, is found from either end.
+        held = cut(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]).dropDuplicates(["id"]))
+        ends = held.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+        return self._table(at, "nodes", sorted({*own, *self._buckets_of(at, ends)})), held
+
+    def nodes_of(self, ids: DataFrame) -> DataFrame:
+        """Nodes by id, from their buckets alone."""
+        at = self.pointer()
+        return self._table(at, "nodes", self._buckets_of(at, ids) if at["version"] else None).join(ids.select("id"), "id", "left_semi").select(*NODES.names)
+
+    def uses(self) -> DataFrame:
+        """What the files' uses rest on (path, sort, key), as the last build of each file left it."""
+        found = self.spark.createDataFrame([], USES)
+        for version in self.pointer().get("uses", []):
+            at = f"{self.root}/v{version}"
+            again = self.spark.read.schema("path string").parquet(f"{at}/again")
+            found = found.join(again, "path", "left_anti").unionByName(self.spark.read.schema(USES).parquet(f"{at}/uses"))
+        return found
+
+    def _buckets_of(self, at: dict, ids: DataFrame) -> list[int]:
+        return sorted(r[0] for r in ids.select(bucket("id", at["buckets"])).distinct().collect())
+
+    def _base(self, at: dict, name: str, only: list[int] | None) -> DataFrame:
+        schema, _, kind = TABLES[name]
+        by_version: dict[int, list[int]] = {}
+        for k, version in at.get(name, {}).items():
+            if only is None or int(k) in only:
+                by_version.setdefault(version, []).append(int(k))
+        found = self.spark.createDataFrame([], schema)
+        held = None
+        for version, buckets in sorted(by_version.items()):
+            where = f"{self.root}/v{version}/{name}"
+            whole = T.StructType([*(f for f in schema.fields if f.name != kind), T.StructField("bucket", T.IntegerType()), schema[kind]])
+            part = self.spark.read.schema(whole).option("basePath", where).parquet(*(f"{where}/bucket={k}" for k in sorted(buckets))).select(*schema.names)
+            held = part if held is None else held.unionByName(part)
+        return found if held is None else held
+
+    def _changes(self, at: dict, name: str) -> DataFrame | None:
+        """Rows and removed ids of all changes: seq (order), gone, and the table's columns."""
+        schema, key, _ = TABLES[name]
+        what, found = "nodes" if name == "nodes" else "edges", None
+        keyed = ["id"] if name == "nodes" else ["id", "source_id", "target_id"]
+        for version in at.get("changes", []):
+            where = f"{self.root}/v{version}/change"
+            gone = self.spark.read.schema(T.StructType([schema[c] for c in keyed])).parquet(f"{where}/gone_{what}").withColumns({"seq": F.lit(2 * version), "gone": F.lit(True)})
+            rows = self.spark.read.schema(schema).parquet(f"{where}/{what}").withColumns({"seq": F.lit(2 * version + 1), "gone": F.lit(False)})
+            both = rows.unionByName(gone, allowMissingColumns=True)
+            found = both if found is None else found.unionByName(both)
+        return found
+
+    def _table(self, at: dict, name: str, only: list[int] | None = None) -> DataFrame:
+        """The table of a version, or what of it lies in some buckets."""
+        schema, key, _ = TABLES[name]
+        base, changes = self._base(at, name, only), self._changes(at, name)
+        if changes is None:
+            return base
+        if only is not None:
+            changes = changes.filter(bucket(key, at["buckets"]).isin(only))
+        touched = changes.select("id").distinct()
+        rows = base.join(touched, "id", "left_semi").withColumns({"seq": F.lit(0), "gone": F.lit(False)}).unionByName(changes.select(*schema.names, "seq", "gone"))
+        return base.join(touched, "id", "left_anti").select(*schema.names).unionByName(folded(rows, schema.names))
+
+    # ---- writing -----------------------------------------------------------------------------------------------------
+
+    def _publish(self, pointer: dict) -> int:
+        self.write_text("current", json.dumps(pointer, sort_keys=True))
+        # Folders go that neither this version nor the one before it, which readers may hold, lists.
+        kept = {f"v{v}" for file in self._versions("current") for v in listed_versions(json.loads(self._text(file) or "{}"))}
+        for folder in self._listed("v*"):
+            if folder not in kept and int(folder[1:]) <= pointer["version"]:
+                files, gone = self._path(folder)
+                files.delete(gone, True)
+        return pointer["version"]
 
-    def write(self, nodes: DataFrame, edges: DataFrame) -> int:
+    def _write_buckets(self, version: int, name: str, rows: DataFrame, buckets: int) -> dict[str, int]:
+        """Writes a table's rows by bucket; {bucket: version} of those that hold any."""
+        _, key, kind = TABLES[name]
+        where = f"v{version}/{name}"
+        placed = rows.withColumn("bucket", bucket(key, buckets))
+        placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", kind, key).write.mode("overwrite").partitionBy("bucket", kind).parquet(f"{self.root}/{where}")
+        return {x.removeprefix("bucket="): version for x in self._listed(f"{where}/bucket=*")}
+
+    def _vectors(self, nodes: DataFrame, before: dict | None = None) -> dict | None:
+        """What the pointer says of the vectors, those of new nodes included; refuses a second length."""
+        held = vector_catalog(nodes).first()
+        if dimension_check(nodes).first()[0] > 1 or (before and held.vectors and held.dimension != before["dimension"]):
+            raise ValueError("more than one embedding dimension in one graph")
+        return {"label": held.label, "property": held.property, "dimension": held.dimension, "similarity": "cosine"} if held.vectors else before
+
+    def write(self, nodes: DataFrame, edges: DataFrame, uses: DataFrame | None = None) -> int:
         """A new version of the whole graph; the one before it stays for readers that hold it, older ones go."""
-        dimensions = dimension_check(nodes).first()[0]
-        if dimensions > 1:
-            raise ValueError(f"{dimensions} embedding dimensions in one graph")
         old = self.pointer()
         version = old["version"] + 1
-        at = f"{self.root}/v{version}"
-        as_nodes(nodes).write.mode("overwrite").partitionBy("node_type").parquet(f"{at}/nodes")
-        as_edges(edges).write.mode("overwrite").partitionBy("edge_type").parquet(f"{at}/edges")
-        held = vector_catalog(self.spark.read.schema(NODES).parquet(f"{at}/nodes")).first()
-        pointer = {"version": version, "vector_index": {"label": held.label, "property": held.property, "dimension": held.dimension, "similarity": "cosine"} if held.vectors else None}
-        self.write_text("current", json.dumps(pointer, sort_keys=True))
-        files, gone = self._path(f"v{version - 2}")
-        if version > 2 and files.exists(gone):
-            files.delete(gone, True)
-        return version
+        nodes, edges = as_nodes(nodes), as_edges(edges)
+        pointer = {"version": version, "buckets": self.wanted, "changes": [], "nodes": self._write_buckets(version, "nodes", nodes, self.wanted)}
+        pointer["vector_index"] = self._vectors(self._base(pointer, "nodes", None))
+        pointer["sources"] = self._write_buckets(version, "sources", edges, self.wanted)
+        # The second copy is made of the first, so edges are computed once.
+        pointer["targets"] = self._write_buckets(version, "targets", self._base(pointer, "sources", None), self.wanted)
+        pointer["uses"] = self._write_uses(version, uses, None)
+        return self._publish(pointer)
 
-    def overwrite(self, nodes: DataFrame, edges: DataFrame) -> int:
+    def _write_uses(self, version: int, uses: DataFrame | None, again: DataFrame | None) -> list[int]:
+        if uses is None:
+            return []
+        uses.select(*USES.names).write.mode("overwrite").parquet(f"{self.root}/v{version}/uses")
+        (again if again is not None else self.spark.createDataFrame([], "path string")).select("path").distinct().write.mode("overwrite").parquet(f"{self.root}/v{version}/again")
+        return [version]
+
+    def overwrite(self, nodes: DataFrame, edges: DataFrame, uses: DataFrame | None = None) -> int:
         """Full rebuild: edges without both ends are left out, as in an upsert into an empty graph."""
-        empty = self.spark.createDataFrame([], EDGES)
-        return self.write(nodes, merge_edges(empty, as_edges(edges), nodes))
+        nodes, edges = as_nodes(nodes), as_edges(edges)
+        return self.write(nodes, with_both_ends(edges, nodes.select("id")), uses)
+
+    def change(self, nodes: DataFrame, edges: DataFrame, gone_nodes: DataFrame | None = None, gone_edges: DataFrame | None = None, uses: DataFrame | None = None, again: DataFrame | None = None) -> int:
+        """One version on: removes nodes (id) and edges (id, source_id, target_id), then upserts nodes and edges: a filled property of a new row
+        wins, one it lacks keeps its value. An edge without both ends is left out, silently. Writes as much as it is given.
+
+        uses replaces what the files in again (path) rest on.
+        """
+        old = self.pointer()
+        if not old["version"]:
+            return self.overwrite(nodes, edges, uses)
+        version = old["version"] + 1
+        where = f"{self.root}/v{version}/change"
+        gone_nodes = gone_nodes if gone_nodes is not None else self.spark.createDataFrame([], "id string")
+        gone_edges = gone_edges if gone_edges is not None else self.spark.createDataFrame([], "id string, source_id string, target_id string")
+        as_nodes(nodes).write.mode("overwrite").parquet(f"{where}/nodes")
+        gone_nodes.select("id").distinct().write.mode("overwrite").parquet(f"{where}/gone_nodes")
+        gone_edges.select("id", "source_id", "target_id").distinct().write.mode("overwrite").parquet(f"{where}/gone_edges")
+        new = self.spark.read.schema(NODES).parquet(f"{where}/nodes")
+        vectors = self._vectors(new, old.get("vector_index"))
+        lost = self.spark.read.schema("id string").parquet(f"{where}/gone_nodes")
+        alive = self._table(old, "nodes").select("id").join(lost, "id", "left_anti").unionByName(new.select("id"))
+        with_both_ends(as_edges(edges), alive).write.mode("overwrite").parquet(f"{where}/edges")
+        # Once there are many, the changes so far go into the base in the same step, so readers lose no version early.
+        held = self._compacted(old, version) if len(old.get("changes", [])) >= MOST_CHANGES else old
+        pointer = held | {"version": version, "changes": [*held.get("changes", []), version], "vector_index": vectors}
+        if uses is not None:
+            pointer["uses"] = [*held.get("uses", []), *self._write_uses(version, uses, again)]
+        return self._publish(pointer)
+
+    def _compacted(self, old: dict, version: int) -> dict:
+        """A pointer to the same rows without changes: the buckets that these touch are written anew, under a version."""
+        pointer = old | {"changes": []}
+        for name, (_, key, _) in TABLES.items():
+            changes = self._changes(old, name)
+            touched = self._buckets_of(old, changes.select(F.col(key).alias("id"))) if changes is not None else []
+            if touched:
+                written = self._write_buckets(version, name, self._table(old, name, touched), old["buckets"])
+                pointer[name] = {k: v for k, v in old[name].items() if int(k) not in touched} | written
+        return pointer
+
+    def compact(self) -> int:
+        """A version with the same rows and no changes beside the base."""
+        old = self.pointer()
+        pointer = self._compacted(old, old["version"] + 1) | {"version": old["version"] + 1}
+        if len(old.get("uses", [])) > 1:
+            pointer["uses"] = self._write_uses(pointer["version"], self.uses(), None)
+        return self._publish(pointer)
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> int:
         """All nodes, then the edges whose ends are there after that."""
-        old_nodes, old_edges = self.read()
-        merged = cut(merge_nodes(old_nodes, as_nodes(nodes)))
-        return self.write(merged, merge_edges(old_edges, as_edges(edges), merged))
+        return self.change(nodes, edges)
 
     def _held(self, nodes: DataFrame, edges: DataFrame, paths: DataFrame | list[str]) -> DataFrame:
         """Ids of the files with these paths and of all that belongs to them."""
@@ -130,16 +301,17 @@ class GraphStore:
         ids = self._held(nodes, edges, paths)
         n = ids.count()
         if n:
-            self.write(*delete_nodes(nodes, edges, ids))
+            self.change(nodes.limit(0), edges.limit(0), ids, edges_at(edges, ids))
         return n
 
-    def refresh(self, gone: DataFrame | list[str], nodes: DataFrame, edges: DataFrame) -> int:
-        """delete_files(gone) and upsert(nodes, edges) as one version: readers see both or neither."""
+    def refresh(self, gone: DataFrame | list[str], nodes: DataFrame, edges: DataFrame, gone_edges: DataFrame | None = None, uses: DataFrame | None = None, again: DataFrame | None = None) -> int:
+        """delete_files(gone) and upsert(nodes, edges) as one version: readers see both or neither. gone_edges (id): edges that go besides."""
         old_nodes, old_edges = self.read()
         ids = self._held(old_nodes, old_edges, gone)
-        kept_nodes, kept_edges = delete_nodes(old_nodes, old_edges, ids)
-        merged = cut(merge_nodes(kept_nodes, as_nodes(nodes)))
-        self.write(merged, merge_edges(kept_edges, as_edges(edges), merged))
+        lost = edges_at(old_edges, ids)
+        if gone_edges is not None:
+            lost = lost.unionByName(old_edges.join(gone_edges.select("id"), "id", "left_semi").select("id", "source_id", "target_id"))
+        self.change(nodes, edges, ids, lost, uses, again)
         return ids.count()
 
     def file_hashes(self, language: str = "java") -> DataFrame:
@@ -151,6 +323,35 @@ class GraphStore:
         return {"nodes": {f.name: f.dataType.simpleString() for f in nodes.schema}, "edges": {f.name: f.dataType.simpleString() for f in edges.schema}, "vector_index": self.pointer().get("vector_index")}
 
 
+def bucket(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def listed_versions(pointer: dict) -> set[int]:
+    """The versions whose folders a pointer needs."""
+    return {*pointer.get("changes", []), *pointer.get("uses", []), *(v for name in TABLES for v in pointer.get(name, {}).values())}
+
+
+def folded(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of one id as one, in order of seq: each column's last filled value since the id was last removed; none if that came last."""
+    since = rows.filter("gone").groupBy("id").agg(F.max("seq").alias("since"))
+    alive = rows.filter("not gone").join(since, "id", "left").filter("since is null or seq > since")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return alive.groupBy("id").agg(*(last(c) for c in columns if c != "id")).select(*columns)
+
+
+def with_both_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    for end in ("source_id", "target_id"):
+        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    return edges.select(*EDGES.names)
+
+
+def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, source_id, target_id) of the edges with either end among the ids."""
+    parts = [edges.join(ids.select(F.col("id").alias(end)), end, "left_semi").select("id", "source_id", "target_id") for end in ("source_id", "target_id")]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def file_hashes(nodes: DataFrame, language: str = "java") -> DataFrame:
     """(path, content_hash) of the files of a language."""
     return nodes.filter((F.col("node_type") == "File") & (F.col("language") == language)).select(F.col("relative_path").alias("path"), "content_hash")
