@@ -68,7 +68,8 @@ def source_files_of(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> Dat
 def trails(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int, limit: int | None = None) -> DataFrame:
     """(source_id, target_id, depth, path, edge_ids): directed trails of 1 to max_depth edges; no edge occurs twice in one.
 
-    One equi-join per level, over the edges that still can reach a target, which a backward semi-join pass finds first.
+    One equi-join per level, over the edges that still can reach a target, which a backward semi-join pass finds first. With a limit the
+    first trails by depth, path and edges are given, and no level is entered after those before it have given enough.
     """
     if max_depth < 1:
         raise ValueError("max_depth must be at least 1")
@@ -81,11 +82,13 @@ def trails(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth:
         useful.append(reach)
         frontier = cut(frontier.unionByName(reach.select(F.col("source_id").alias("node"))).distinct())
     walk = sources.select(F.col("id").alias("source_id"), F.col("id").alias("at"), F.col("id").alias("path"), F.array().cast("array<string>").alias("seen")).distinct()
-    found = []
+    found, n = [], 0
     for depth in range(1, max_depth + 1):
         step = useful[max_depth - depth].select(F.col("id").alias("edge"), F.col("source_id").alias("at"), F.col("target_id").alias("to"))
         walk = walk.join(step, "at").filter(~F.array_contains("seen", F.col("edge")))
         walk = cut(walk.select("source_id", F.col("to").alias("at"), F.concat_ws(">", "path", "to").alias("path"), F.array_append("seen", F.col("edge")).alias("seen")))
         found.append(walk.join(ends, F.col("at") == F.col("target_id"), "left_semi").withColumn("depth", F.lit(depth)))
+        if limit is not None and (n := n + found[-1].limit(limit).count()) >= limit:
+            break
     out = reduce(DataFrame.unionByName, found).select("source_id", F.col("at").alias("target_id"), "depth", "path", F.array_join("seen", "|").alias("edge_ids"))
     return out if limit is None else out.orderBy("depth", "path", "edge_ids").limit(limit)

@@ -15,6 +15,7 @@ from graphmill.plans import java_corpus
 from graphmill.plans.projection import STAR_SQL, corpus_edges, corpus_nodes, line_anchors, star_edges, star_nodes, table
 from graphmill.sources import repository, store
 from graphmill.sources.shared import shared_folder
+from graphmill.streaming import changes
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -361,6 +362,22 @@ def E19_I2_file_changes(spark, sf):
     return merge.file_changes(*versions(spark, sf))
 
 
+@query(f"{CHANGES.replace('SELECT doc_id AS path', 'SELECT CAST(doc_id AS VARCHAR) AS path')} WHERE p.h IS NULL OR c.h IS NULL OR c.h <> p.h")
+def E19_M_change_stream(spark, sf):
+    """The same changes as a stream with state: all first versions, then the second ones, deletions and late first ones in another run."""
+    current, before = versions(spark, sf)
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    first = before.select(F.col("path").cast("string").alias("path"), F.lit(1).cast("long").alias("version"), "content_hash")
+    gone = before.join(current, "path", "left_anti").select(F.col("path").cast("string").alias("path"), F.lit(2).cast("long").alias("version"), F.lit(None).cast("string").alias("content_hash"))
+    second = current.select(F.col("path").cast("string").alias("path"), F.lit(2).cast("long").alias("version"), "content_hash").unionByName(gone)
+    for rows in (first, second.unionByName(first)):
+        rows.write.mode("append").parquet(f"{where}/in")
+        changed = changes.file_change_stream(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+        changed.writeStream.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out", format="parquet", outputMode="append").awaitTermination()
+    return spark.read.schema(changes.CHANGED).parquet(f"{where}/out").filter("version = 2").select("path", "status")
+
+
+
 @query("SELECT p_brand || p_type || p_size AS qualified_name, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1")
 def E20_unique_name(spark, sf):
     return semantics.unique_by_qualified_name(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("qualified_name")))

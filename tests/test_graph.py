@@ -76,6 +76,10 @@ def test_trails_repeat_no_edge(spark):
     edges = edges_of(spark, [("DEPENDS_ON", "a", "b", "k"), ("DEPENDS_ON", "b", "a", "k"), ("DEPENDS_ON", "b", "c", "k")])
     got = [r.path for r in traversal.trails(edges, catalog.ids(spark, "a"), catalog.ids(spark, "c", "a"), 4).orderBy("depth", "path").collect()]
     assert got == ["a>b>a", "a>b>c"]
+    ends = catalog.ids(spark, "a"), catalog.ids(spark, "c", "a")
+    for limit in (1, 2, 3):
+        whole = [tuple(r) for r in traversal.trails(edges, *ends, 4).orderBy("depth", "path", "edge_ids").collect()]
+        assert sorted(map(tuple, traversal.trails(edges, *ends, 4, limit).collect()), key=lambda r: r[2:]) == whole[:limit]
     with pytest.raises(ValueError):
         traversal.trails(edges, catalog.ids(spark, "a"), catalog.ids(spark, "c"), 0)
 

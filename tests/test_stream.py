@@ -1,5 +1,6 @@
 from graphmill.model import NODES, as_edges, as_nodes
 from graphmill.sources.store import GraphStore
+from graphmill.streaming.changes import file_change_stream
 from graphmill.streaming.refresh import merge_stream
 
 
@@ -17,3 +18,21 @@ def test_a_stream_is_merged_once(spark, tmp_path):
     nodes, edges = store.read()
     assert {r.id: r.display_name for r in nodes.collect()} == {"a": "A", "b": "New", "c": "C"}
     assert {r.source_id for r in edges.collect()} == {"b", "c"} and store.pointer()["version"] == version
+
+
+def test_versions_become_changes_across_runs(spark, tmp_path):
+    schema = "path string, version long, content_hash string"
+    runs = [
+        ([("a", 1, "x"), ("b", 2, "y"), ("b", 1, "x"), ("c", 1, None), ("d", 1, "q"), (None, 1, "x"), ("e", None, "x")], [("a", 1, "added"), ("b", 1, "added"), ("b", 2, "modified"), ("d", 1, "added")]),
+        # Late and repeated versions, an unchanged one, a deletion and what comes late after it.
+        ([("b", 1, "z"), ("a", 1, "x"), ("a", 2, "x"), ("d", 3, None), ("d", 2, "w"), ("c", 2, "n")], [("c", 2, "added"), ("d", 2, "modified"), ("d", 3, "deleted")]),
+        ([("d", 2, "late"), ("d", 4, "q"), ("a", 3, None)], [("a", 3, "deleted"), ("d", 4, "added")]),
+    ]
+    before = set()
+    for rows, want in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        changed = file_change_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        changed.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet", outputMode="append").awaitTermination()
+        got = {tuple(r) for r in spark.read.schema(changed.schema).parquet(f"{tmp_path}/out").collect()}
+        assert sorted(got - before) == want and before <= got
+        before = got
