@@ -45,9 +45,9 @@ BOILERPLATE_WORDS = frozenset(
     """ad ads adsense advert advertisement adverts banner bottombar breadcrumb breadcrumbs comment comments consent cookie
     cookies copyright disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay
     pager pagination popup promo promoted promotion recommended replies respond sidebar signup sponsor sponsored subscribe
-    subscription toolbar topbar widget""".split()
+    subscription toolbar topbar""".split()
 )
-SUSPECT_WORDS = frozenset("alert disclaimer header links login related reply search share sharing skip social tags teaser warning".split())
+SUSPECT_WORDS = frozenset("alert disclaimer header links login related reply search share sharing skip social tags teaser warning widget".split())
 #: An element of the first kind ends when one of its own starts, unless a list or table has begun in between.
 CLOSED_BY = {"li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
 WALLS = ("ul", "ol", "table", "dl", "select")
@@ -57,6 +57,9 @@ STOP_LOW, STOP_HIGH = 0.15, 0.30
 MOST_LINKS, MOST_LINKS_INSIDE = 0.33, 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 WORDS = re.compile(r"[a-z]+")
+#: Marks that end sentences in many scripts, and scripts that are written without spaces.
+SENTENCE_MARK = re.compile("[.!?…。！？｡؟۔।॥።]")
+DENSE_SCRIPTS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 # A comment, a declaration, or a tag and its attributes. No alternative gives back what it has read, and a tag that never
 # ends reads the rest of the page, so any page is read in linear time.
@@ -192,18 +195,33 @@ def finished(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if b.text]
 
 
-def first_label(block: Block) -> str:
+def stop_density(text: str) -> float:
+    words = LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def reads_known(blocks: list[Block]) -> bool:
+    """Whether any block of some length has the function words of a language at hand; else they say nothing about the page."""
+    return any(not b.shunned and len(b.text) >= SHORT and stop_density(b.text) >= STOP_LOW for b in blocks)
+
+
+def first_label(block: Block, known: bool = True) -> str:
     """good, bad or short, by the block's link density, length and stop-word density. What its elements say shifts the
     rules: an element that is never the article is bad, a suspect one must read like prose, and in a content container
-    text without stop words is left to its neighbours."""
+    text without stop words is left to its neighbours. Where the page's language is not known, sentence marks stand in for stop words,
+    and letters of scripts that need no spaces count threefold."""
     text, inside = block.text, bool(block.zone)
     links = block.linked / max(1, len(text.replace(" ", "")))
     if block.shunned or links > (MOST_LINKS_INSIDE if inside else MOST_LINKS) or (block.suspect and not inside):
         return "bad"
     if not inside and len(text) < LONG and text.startswith("©"):
         return "bad"
-    words = LETTERS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = stop_density(text)
+    if not known:
+        size = len(text) + 2 * len(DENSE_SCRIPTS.findall(text))
+        if not block.heading and size >= SHORT and SENTENCE_MARK.search(text):
+            return "good"
+        return "bad" if block.suspect else "short" if inside or block.heading or size < SHORT else "bad"
     prose = not block.heading and len(text) >= SHORT and (stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) > LONG))
     if prose:
         return "good"
@@ -217,7 +235,8 @@ def label(blocks: list[Block]) -> None:
     content container, or outside of any. In a container, blocks of elements that are never the article are passed over.
     Of two at equal distance that differ, the good one counts in a container, the bad one outside. A heading belongs to
     what follows it, in any zone. A short block without a decided neighbour is good in a container, else bad."""
-    firsts = [first_label(b) for b in blocks]
+    known = reads_known(blocks)
+    firsts = [first_label(b, known) for b in blocks]
     n = len(blocks)
 
     def neighbours(order):

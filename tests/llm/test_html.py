@@ -133,3 +133,19 @@ def test_long_page_and_empty_table(spark):
     got = html_text.extract(rows).collect()
     assert sorted((r.page_id, r.k0, r.n_chars) for r in got) == [(1, 7, 100_000 * (len(PROSE) + 1) - 2)] * 2 + [(2, 8, 0)]
     assert html_text.extract(rows.limit(0)).collect() == []
+
+
+def test_other_languages_are_read_by_sentences():
+    story = "这是一个很长的中文段落，讲述了一个故事。" * 12
+    page = f"<html><body><div><p>{story}</p></div><div class=menu><p>{'菜单。' * 40}</p></div><div><a href=x>{'链接。' * 40}</a></div></body></html>"
+    assert html_text.main_text(page) == story
+    polish = "Dawno temu w małym domu pod lasem mieszkał stary młynarz. Miał trzech synów, którzy pracowali razem z nim."
+    assert html_text.main_text(f"<div><p>{polish}</p><p>Cena 12,99 zł Nowość</p><p>{polish}</p></div><footer>{polish}</footer>") == f"{polish}\n\nCena 12,99 zł Nowość\n\n{polish}"
+    # One block in a language at hand, and function words decide again.
+    assert html_text.main_text(f"<p>{polish}</p><p>It was the best of all the houses that he had been in with his family and the other man.</p>").startswith("It was")
+
+
+def test_a_widget_in_an_article_has_to_read_like_prose():
+    said = "The man went to the house and it was the best of all that he had seen in the world."
+    assert html_text.main_text(f"<article><p class='widget-text'>{said}</p><p class='widget'>Top 10</p></article>") == said
+    assert html_text.main_text(f"<div><p class='widget-text'>{said}</p></div>") == ""
