@@ -17,7 +17,7 @@ from graphmill.llm.text import pieces
 LEAST_LENGTH = 24
 LEAST_POWER = 3
 #: Words of texts that are refined together.
-WORDS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 1_000_000
 #: A third of the least length: a run holds two equal factors of so many words.
 FACTOR = LEAST_LENGTH // LEAST_POWER
 
