@@ -20,7 +20,7 @@ def _closure(seeds: DataFrame, step: DataFrame, levels_a_plan: int = LEVELS_A_PL
 
     Level by level: only what is new goes on, so loops end. Each level is one equi-join, stored to cut lineage.
     """
-    reached = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct()
+    reached = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
     front = reached
     for depth in count(1):
         found = front.select("seed", "id").join(step, "id").select("seed", F.col("next").alias("id")).distinct()

@@ -68,7 +68,7 @@ def index(
         old_nodes, old_edges = store.read()
         before = Built(old_nodes, old_edges, store.uses()) if repair_inbound else None
         made = build_all(files, name, paths, before=before, gone=gone)
-        nodes, edges = cut(made.nodes), cut(made.edges)
+        nodes, edges = made.nodes, made.edges
         ids = cut(merge.incremental_ids(nodes, edges, paths.withColumnRenamed("path", "relative_path")))
         own_nodes, own_edges = (cut(x) for x in summaries.attach(*merge.select_incremental(nodes, edges, ids), text_model, embedding_model, batch))
         again = changes.filter("status != 'unchanged'").select("path") if made.again is None else made.again
