@@ -176,13 +176,20 @@ def anchors_of(nodes: DataFrame, edges: DataFrame, owners: DataFrame) -> DataFra
     return held.join(places, "id").select("owner", "id", "role", "start_line", "start_col", "end_line", "end_col").orderBy("owner", position_in("role", ROLE_ORDER), "start_line", "id")
 
 
+#: The columns that a prefix search looks into.
+SEARCHED = ("name", "display_name", "qualified_name", "relative_path")
+
+
+def search_order() -> Column:
+    return F.coalesce("display_name", "qualified_name", "relative_path", "name", "id")
+
+
 def auto_complete(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     """Visible nodes with a name, display name, qualified name or path that starts with the query, case aside."""
     wanted = query.strip().lower()
     if not wanted:
         return nodes.limit(0).select("id", F.col("node_type").alias("type"), F.lit("").alias("label"))
     hit = F.lit(False)
-    for c in ("name", "display_name", "qualified_name", "relative_path"):
+    for c in SEARCHED:
         hit = hit | F.startswith(F.lower(F.coalesce(c, F.lit(""))), F.lit(wanted))
-    order = F.coalesce("display_name", "qualified_name", "relative_path", "name", "id")
-    return visible_nodes(nodes).filter(hit).orderBy(order, "id").limit(limit).select("id", F.col("node_type").alias("type"), node_label().alias("label"))
+    return visible_nodes(nodes).filter(hit).orderBy(search_order(), "id").limit(limit).select("id", F.col("node_type").alias("type"), node_label().alias("label"))

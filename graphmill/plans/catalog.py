@@ -487,6 +487,15 @@ def H8_auto_complete(spark, sf):
     return reader.auto_complete(star_nodes(spark, sf), " Customer#00000001", 20)
 
 
+@query(f", new AS ({CHANGED_FILES}), star_now AS (SELECT id, coalesce(n.node_type, o.node_type) AS node_type, coalesce(n.name, o.name) AS name, coalesce(n.relative_path, o.relative_path) AS relative_path, o.display_name, o.qualified_name FROM star_nodes o FULL JOIN new n USING (id)) SELECT id, node_type AS type, {LABEL_SQL} AS label FROM star_now WHERE starts_with(lower(name), 'customer#00000001') OR starts_with(lower(relative_path), 'customer#00000001') OR starts_with(lower(display_name), 'customer#00000001') OR starts_with(lower(qualified_name), 'customer#00000001') ORDER BY coalesce(display_name, qualified_name, relative_path, name, id), id LIMIT 50", star=True)
+def H8_stored_prefix(spark, sf):
+    """Prefix search over the sorted terms of a stored graph, after a change of it."""
+    held = stored(spark, sf)
+    held.index_terms()
+    held.upsert(changed_files(spark, sf), star_edges(spark, sf).limit(0))
+    return held.auto_complete(" Customer#00000001", 50)
+
+
 @query(" SELECT id, node_type, name, relative_path FROM star_nodes UNION ALL SELECT 'file:x' || s_suppkey, 'File', NULL, s_name FROM supplier", star=True)
 def I1_union_keep_first(spark, sf):
     return merge.union_keep_first([star_nodes(spark, sf), changed_files(spark, sf)]).select("id", "node_type", "name", "relative_path")

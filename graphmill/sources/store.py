@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill.model import EDGES, NODES, as_edges, as_nodes
+from graphmill.operators import reader, term_index
 from graphmill.operators.merge import dimension_check, file_subgraph_ids
 from graphmill.operators.traversal import cut
 
@@ -132,6 +133,20 @@ class GraphStore:
         at = self.pointer()
         return self._table(at, "nodes", self._buckets_of(at, ids) if at["version"] else None).join(ids.select("id"), "id", "left_semi").select(*NODES.names)
 
+    def auto_complete(self, query: str, limit: int) -> DataFrame:
+        """reader.auto_complete() over the graph. Where the version has sorted terms, only their files that can hold the prefix are opened."""
+        at, wanted = self.pointer(), query.strip().lower()
+        if not at.get("terms") or not wanted:
+            return reader.auto_complete(self._table(at, "nodes"), query, limit)
+        found = term_index.newest([(term_index.with_prefix(self.spark, self._terms_at(v), wanted), self._touched(v)) for v in at["terms"]])
+        return found.dropDuplicates(["id"]).orderBy("place", "id").limit(limit).select("id", "type", "label")
+
+    def _terms_at(self, version: int) -> str:
+        return f"{self.root}/v{version}/prefix"
+
+    def _touched(self, version: int) -> DataFrame:
+        return self.spark.read.schema("id string").parquet(f"{self._terms_at(version)}/touched")
+
     def uses(self) -> DataFrame:
         """What the files' uses rest on (path, sort, key), as the last build of each file left it."""
         found = self.spark.createDataFrame([], USES)
@@ -222,6 +237,8 @@ class GraphStore:
         # The second copy is made of the first, so edges are computed once.
         pointer["targets"] = self._write_buckets(version, "targets", self._base(pointer, "sources", None), self.wanted)
         pointer["uses"] = self._write_uses(version, uses, None)
+        if old.get("terms"):
+            pointer["terms"] = self._write_terms(version, term_index.terms(self._base(pointer, "nodes", None)))
         return self._publish(pointer)
 
     def _write_uses(self, version: int, uses: DataFrame | None, again: DataFrame | None) -> list[int]:
@@ -231,6 +248,37 @@ class GraphStore:
         (again if again is not None else self.spark.createDataFrame([], "path string")).select("path").distinct().write.mode("overwrite").parquet(f"{self.root}/v{version}/again")
         return [version]
 
+    def _write_terms(self, version: int, rows: DataFrame, touched: DataFrame | None = None) -> list[int]:
+        """Sorted terms under a version, and the ids whose terms in older ones no longer count."""
+        where = self._terms_at(version)
+        term_index.write_terms(rows, where, self.wanted)
+        (touched if touched is not None else self.spark.createDataFrame([], "id string")).select("id").distinct().write.mode("overwrite").parquet(f"{where}/touched")
+        return [version]
+
+    def index_terms(self) -> int:
+        """A version with the same rows and sorted terms for auto_complete(); versions after it keep them up."""
+        old = self.pointer()
+        version = old["version"] + 1
+        return self._publish(old | {"version": version, "terms": self._write_terms(version, term_index.terms(self._table(old, "nodes")))})
+
+    def _changed_terms(self, pointer: dict, touched: DataFrame) -> list[int]:
+        """The layers of terms once a change, which the pointer lists already, touched nodes (id). A change adds a layer of its own
+        size. Beyond MOST_CHANGES of them they become one, or, where that one is over a quarter of the oldest, all become one."""
+        version, layers = pointer["version"], pointer["terms"]
+        touched = cut(touched.select("id").distinct())
+        rows = term_index.terms(self._table(pointer, "nodes", self._buckets_of(pointer, touched)).join(touched, "id", "left_semi"))
+        if len(layers) <= MOST_CHANGES:
+            return [*layers, *self._write_terms(version, rows, touched)]
+        sizes = [term_index.size_of(self.spark, self._terms_at(v)) for v in layers]
+        merged = layers if 4 * sum(sizes[1:]) > sizes[0] else layers[1:]
+        read = lambda v: self.spark.read.schema(term_index.TERMS).parquet(f"{self._terms_at(v)}/terms")
+        whole = term_index.newest([*((read(v), self._touched(v)) for v in merged), (rows, touched)])
+        if merged is layers:
+            return self._write_terms(version, whole)
+        for v in merged:
+            touched = touched.unionByName(self._touched(v))
+        return [layers[0], *self._write_terms(version, whole, touched)]
+
     def overwrite(self, nodes: DataFrame, edges: DataFrame, uses: DataFrame | None = None) -> int:
         """Full rebuild: edges without both ends are left out, as in an upsert into an empty graph."""
         nodes, edges = as_nodes(nodes), as_edges(edges)
@@ -262,6 +310,8 @@ class GraphStore:
         pointer = held | {"version": version, "changes": [*held.get("changes", []), version], "vector_index": vectors}
         if uses is not None:
             pointer["uses"] = [*held.get("uses", []), *self._write_uses(version, uses, again)]
+        if pointer.get("terms"):
+            pointer["terms"] = self._changed_terms(pointer, new.select("id").unionByName(lost))
         return self._publish(pointer)
 
     def _compacted(self, old: dict, version: int) -> dict:
@@ -281,6 +331,8 @@ class GraphStore:
         pointer = self._compacted(old, old["version"] + 1) | {"version": old["version"] + 1}
         if len(old.get("uses", [])) > 1:
             pointer["uses"] = self._write_uses(pointer["version"], self.uses(), None)
+        if len(old.get("terms", [])) > 1:
+            pointer["terms"] = self._write_terms(pointer["version"], term_index.terms(self._table(pointer, "nodes")))
         return self._publish(pointer)
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> int:
@@ -329,7 +381,7 @@ def bucket(column: str, buckets: int) -> Column:
 
 def listed_versions(pointer: dict) -> set[int]:
     """The versions whose folders a pointer needs."""
-    return {*pointer.get("changes", []), *pointer.get("uses", []), *(v for name in TABLES for v in pointer.get(name, {}).values())}
+    return {*pointer.get("changes", []), *pointer.get("uses", []), *pointer.get("terms", []), *(v for name in TABLES for v in pointer.get(name, {}).values())}
 
 
 def folded(rows: DataFrame, columns: list[str]) -> DataFrame:
