@@ -153,9 +153,10 @@ def rule_candidates(pages: DataFrame, rules: list[Rule], id_col: str = "page_id"
     rows = stored(pages.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url")), "urls")
     seen = rows.select("r", "id", host_of("url").alias("host"), path_of("url").alias("path"), "url")
     lowered = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = seen.select("r", "host", "path", "url", F.explode(F.array_distinct(F.filter(F.split(lowered, SPLIT), lambda t: t != ""))).alias("token"))
+    words = rows.select("r", F.explode(F.array_distinct(F.filter(F.split(lowered, SPLIT), lambda t: t != ""))).alias("token"))
     index = rule_index(spark, rules, words.groupBy("token").agg(F.count("*").alias("n")))
-    return seen, words.join(index, "token")
+    # Only a row's number goes with its tokens; the address is fetched once for each rule that they find.
+    return seen, words.join(index, "token").drop("token").join(seen.select("r", "host", "path", "url"), "r")
 
 
 def filter_sql(rules: list[Rule], default: str = "allow") -> str:
