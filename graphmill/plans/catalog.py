@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import scalar
 from graphmill.functions.models import EchoSummaries, HashedEmbeddings, OverlapReranker
-from graphmill.operators import intervals, merge, reader, retrieval, semantics, summaries, traversal, vector_index
+from graphmill.operators import intervals, labels, merge, reader, retrieval, semantics, summaries, traversal, vector_index
 from graphmill.plans import java_corpus
 from graphmill.plans.projection import STAR_SQL, corpus_edges, corpus_nodes, line_anchors, star_edges, star_nodes, table
 from graphmill.sources import repository, store
@@ -589,6 +589,18 @@ def J2_J4_descendants(spark, sf):
     return traversal.descendants(star_edges(spark, sf), ids(spark, "repo:r2")).select("id")
 
 
+@query(""", c AS (SELECT source_id, target_id FROM star_edges WHERE edge_type = 'CONTAINS'),
+down AS (SELECT id AS seed, id, 0 AS depth FROM star_nodes WHERE node_type IN ('Repository', 'Module') UNION ALL SELECT seed, target_id, depth + 1 FROM down JOIN c ON source_id = id),
+up AS (SELECT id AS seed, id, 0 AS depth FROM star_nodes WHERE node_type = 'Entity' UNION ALL SELECT seed, source_id, depth + 1 FROM up JOIN c ON target_id = id)
+SELECT 'down' AS way, seed, id, depth FROM down UNION ALL SELECT 'up', seed, id, depth FROM up WHERE id IN (SELECT id FROM star_nodes WHERE node_type <> 'Entity')""", star=True)
+def J2_J3_J4_labelled_closures(spark, sf):
+    """What lies below every repository and module, and above every entity, by interval labels of the containment forest."""
+    nodes, held = star_nodes(spark, sf), labels.forest_labels(star_edges(spark, sf))
+    seeds = lambda *kinds: nodes.filter(F.col("node_type").isin(*kinds)).select("id")
+    down = labels.descendants(held, seeds("Repository", "Module")).select(F.lit("down").alias("way"), "seed", "id", "depth")
+    return down.unionByName(labels.ancestors(nodes, held, seeds("Entity")).select(F.lit("up").alias("way"), "seed", "id", "depth"))
+
+
 @query(" SELECT 'file:c' || c_custkey AS seed, unnest(['file:c' || c_custkey, 'module:n' || c_nationkey, 'repo:r' || n_regionkey]) AS id FROM customer JOIN nation ON n_nationkey = c_nationkey", star=True)
 def J3_ancestors(spark, sf):
     nodes, edges = star(spark, sf)

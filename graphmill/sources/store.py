@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill.model import EDGES, NODES, as_edges, as_nodes
-from graphmill.operators import reader, term_index
+from graphmill.operators import labels, reader, term_index, traversal
 from graphmill.operators.merge import dimension_check, file_subgraph_ids
 from graphmill.operators.traversal import cut
 
@@ -141,6 +141,25 @@ class GraphStore:
         found = term_index.newest([(term_index.with_prefix(self.spark, self._terms_at(v), wanted), self._touched(v)) for v in at["terms"]])
         return found.dropDuplicates(["id"]).orderBy("place", "id").limit(limit).select("id", "type", "label")
 
+    def _labels(self, at: dict) -> DataFrame | None:
+        return self.spark.read.schema(labels.LABELS).parquet(f"{self.root}/v{at['labels'][0]}/labels") if at.get("labels") else None
+
+    def descendants(self, seeds: DataFrame) -> DataFrame:
+        """traversal.descendants() of the graph: by interval labels where the version has them, else level by level."""
+        at = self.pointer()
+        held = self._labels(at)
+        return traversal.descendants(self._table(at, "sources"), seeds) if held is None else labels.descendants(held, seeds)
+
+    def ancestors(self, seeds: DataFrame) -> DataFrame:
+        at = self.pointer()
+        nodes, held = self._table(at, "nodes"), self._labels(at)
+        return traversal.ancestors(nodes, self._table(at, "sources"), seeds) if held is None else labels.ancestors(nodes, held, seeds)
+
+    def source_files_of(self, seeds: DataFrame) -> DataFrame:
+        at = self.pointer()
+        nodes, held = self._table(at, "nodes"), self._labels(at)
+        return traversal.source_files_of(nodes, self._table(at, "sources"), seeds) if held is None else labels.source_files_of(nodes, held, seeds)
+
     def _terms_at(self, version: int) -> str:
         return f"{self.root}/v{version}/prefix"
 
@@ -261,6 +280,18 @@ class GraphStore:
         version = old["version"] + 1
         return self._publish(old | {"version": version, "terms": self._write_terms(version, term_index.terms(self._table(old, "nodes")))})
 
+    def label_forest(self) -> bool:
+        """A version with the same rows and interval labels of its containment forest, which stay until a change removes an edge or
+        writes one of containment; False, and no version, where containment is no forest."""
+        old = self.pointer()
+        found = labels.forest_labels(self._table(old, "sources"))
+        if found is None:
+            return False
+        version = old["version"] + 1
+        found.select(*labels.LABELS.names).write.mode("overwrite").parquet(f"{self.root}/v{version}/labels")
+        self._publish(old | {"version": version, "labels": [version]})
+        return True
+
     def _changed_terms(self, pointer: dict, touched: DataFrame) -> list[int]:
         """The layers of terms once a change, which the pointer lists already, touched nodes (id). A change adds a layer of its own
         size. Beyond MOST_CHANGES of them they become one, or, where that one is over a quarter of the oldest, all become one."""
@@ -310,6 +341,10 @@ class GraphStore:
         pointer = held | {"version": version, "changes": [*held.get("changes", []), version], "vector_index": vectors}
         if uses is not None:
             pointer["uses"] = [*held.get("uses", []), *self._write_uses(version, uses, again)]
+        if pointer.get("labels"):
+            read = lambda name: self.spark.read.parquet(f"{where}/{name}")
+            if not (read("gone_edges").isEmpty() and read("edges").filter("edge_type = 'CONTAINS'").isEmpty()):
+                del pointer["labels"]
         if pointer.get("terms"):
             pointer["terms"] = self._changed_terms(pointer, new.select("id").unionByName(lost))
         return self._publish(pointer)
@@ -381,7 +416,7 @@ def bucket(column: str, buckets: int) -> Column:
 
 def listed_versions(pointer: dict) -> set[int]:
     """The versions whose folders a pointer needs."""
-    return {*pointer.get("changes", []), *pointer.get("uses", []), *pointer.get("terms", []), *(v for name in TABLES for v in pointer.get(name, {}).values())}
+    return {*pointer.get("changes", []), *pointer.get("uses", []), *pointer.get("terms", []), *pointer.get("labels", []), *(v for name in TABLES for v in pointer.get(name, {}).values())}
 
 
 def folded(rows: DataFrame, columns: list[str]) -> DataFrame:
