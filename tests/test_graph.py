@@ -219,3 +219,13 @@ def test_command_line(tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["tools", "query-relation", "--node-id", "a", "--relation-type", "CONTAINS", "--repository", str(tmp_path)]) == 1
     assert capsys.readouterr().out == ""
+
+
+def test_trails_keep_only_edges_between_sources_and_targets(spark):
+    """Edges that no source reaches, or that reach no target in the edges that are left, are gone before the walk."""
+    pairs = [("s", "a"), ("a", "t"), ("a", "b"), ("b", "c"), ("c", "t"), ("x", "t"), ("t", "y"), ("s", "t"), ("b", "a")]
+    edges = spark.createDataFrame([(f"{a}{b}", a, b) for a, b in pairs], "id string, source_id string, target_id string")
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    kept = edges.join(traversal.useful_pairs(edges, one("s"), one("t").withColumnRenamed("id", "target_id"), 3), (F.xxhash64("source_id") == F.col("a")) & (F.xxhash64("target_id") == F.col("b")))
+    assert sorted((r.id, r.left) for r in kept.collect()) == [("at", 0), ("sa", 1), ("st", 0)]
+    assert sorted(r.path for r in traversal.trails(edges, one("s"), one("t"), 4).collect()) == ["s>a>b>a>t", "s>a>b>c>t", "s>a>t", "s>t"]
