@@ -99,3 +99,29 @@ def test_index_whole_and_by_changes(spark, tmp_path):
     assert (len(third.added), len(third.deleted), third.skipped) == (1, 1, 1) and third.deleted_nodes > 0
     paths = {r.path for r in store.file_hashes().collect()}
     assert paths == {"src/main/java/a/b/Cart.java", "src/main/java/a/b/Helper.java"}
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_resolver_reads_stored_names(spark):
+    """Its five ways each read the symbols and the names; a plan that derives them anew each time fills the driver."""
+    from graphmill.java import graph
+    from graphmill.operators import semantics
+    from graphmill.operators.traversal import cut
+    from graphmill.plans import java_corpus
+
+    files = java_corpus.java_files(spark, "/root/testdata/sf0.001", java_corpus.RECEIVERS)
+    found = cut(graph.scanned(files))
+    each = cut(graph.entities(found, files, "r"))
+    asked, symbols = graph.placed_uses(found, each), graph.symbols_of(each, found)
+    asked_of = []
+
+    class Recording(semantics.SymbolResolver):
+        def resolve(self, candidates, symbols):
+            asked_of.append(candidates)
+            return super().resolve(candidates, symbols)
+
+    graph.typed_calls(found, found, each, asked, symbols, Recording())
+    assert len(asked_of) == 2 and not any("Join" in optimized(df) or "Aggregate" in optimized(df) for df in (symbols, *asked_of[:1]))
