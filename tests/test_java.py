@@ -101,6 +101,18 @@ def test_index_whole_and_by_changes(spark, tmp_path):
     assert paths == {"src/main/java/a/b/Cart.java", "src/main/java/a/b/Helper.java"}
 
 
+def test_a_task_holds_few_files_at_once():
+    import pyarrow as pa
+    from graphmill.java.graph import HELD_BYTES, HELD_FILES, scanned_batches
+
+    kind = pa.schema([("path", pa.string()), ("lines", pa.int32()), ("fault", pa.string())])
+    n, long = 2 * HELD_FILES + 5, b"class A { }" + b"\n" * HELD_BYTES
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(n)], "content": pa.array([long if i == 3 else HELPER for i in range(n)], pa.binary())})
+    made = list(scanned_batches([batch], kind))
+    assert [p for b in made for p in b.column("path").to_pylist()] == [str(i) for i in range(n)]
+    assert made[0].num_rows == 4 and max(b.num_rows for b in made) == HELD_FILES
+
+
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
