@@ -117,6 +117,19 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_type_of_node_is_computed_by_itself(spark):
+    """Files need no entity taken apart, and entities no anchors; nothing is looked up by a join of entities with themselves."""
+    from graphmill.java import graph
+    from graphmill.plans import java_corpus
+    from graphmill.operators.traversal import cut
+
+    files = cut(java_corpus.java_files(spark, "/root/testdata/sf0.001"))
+    nodes, edges = graph.structure(files, cut(graph.scanned(files)), "r")
+    assert "Generate" not in optimized(nodes.filter("node_type = 'File'"))
+    assert optimized(nodes.filter("node_type = 'Entity'")).count("Generate") == 1
+    assert optimized(edges.filter("edge_type = 'HAS_ANCHOR'")).count("Join") <= 1
+
+
 def test_a_resolver_reads_stored_names(spark):
     """Its five ways each read the symbols and the names; a plan that derives them anew each time fills the driver."""
     from graphmill.java import graph
