@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -23,21 +24,23 @@ def file_change_stream(versions: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[Any], state: GroupState) -> Iterator[Any]:
-        import pandas as pd
-
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("version", kind="stable")
+        # Most paths have a row or two in a batch, where a table's own sort and joining cost far more than the rows.
+        rows = sorted((row for batch in batches for row in zip(batch["version"].tolist(), batch["content_hash"].tolist())), key=itemgetter(0))
         last, held = state.get if state.exists else (None, None)
         out = []
-        for version, content in zip(rows["version"], rows["content_hash"]):
-            content = None if pd.isna(content) else content
+        for version, content in rows:
+            content = content if isinstance(content, str) else None
             if last is not None and version <= last:
                 continue
             if held != content:
-                out.append((key[0], int(version), "added" if held is None else "deleted" if content is None else "modified"))
-            last, held = int(version), content
-        if last is not None:
+                out.append((version, "added" if held is None else "deleted" if content is None else "modified"))
+            last, held = version, content
+        if rows and last == rows[-1][0]:
             state.update((last, held))
-        yield pd.DataFrame(out, columns=CHANGED.names).astype({"version": "int64"})
+        if out:
+            import pandas as pd
+
+            yield pd.DataFrame({"path": [key[0]] * len(out), "version": [v for v, _ in out], "status": [s for _, s in out]})
 
     known = versions.filter("path is not null and version is not null").select("path", "version", "content_hash")
     return known.groupBy("path").applyInPandasWithState(step, CHANGED, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -36,3 +36,30 @@ def test_versions_become_changes_across_runs(spark, tmp_path):
         got = {tuple(r) for r in spark.read.schema(changed.schema).parquet(f"{tmp_path}/out").collect()}
         assert sorted(got - before) == want and before <= got
         before = got
+
+
+def test_a_path_makes_no_table_where_nothing_changes():
+    """A path whose versions are late or repeated gives no output and leaves its state as it is."""
+    import pandas as pd
+
+    class Held:
+        exists, get, updates = True, (3, "x"), 0
+
+        def update(self, value):
+            self.get, self.updates = value, self.updates + 1
+
+    class Grouped:
+        def groupBy(self, *_):
+            return self
+
+        filter = select = groupBy
+
+        def applyInPandasWithState(self, step, *_):
+            return step
+
+    step, state = file_change_stream(Grouped()), Held()
+    late = pd.DataFrame({"version": [2, 1], "content_hash": ["a", None]})
+    assert list(step(("p",), iter([late]), state)) == [] and state.updates == 0
+    new = pd.DataFrame({"version": [5, 4], "content_hash": [None, "x"]})
+    assert [tuple(r) for out in step(("p",), iter([new, late]), state) for r in out.itertuples(index=False)] == [("p", 5, "deleted")]
+    assert state.get == (5, None)
