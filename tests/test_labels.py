@@ -75,3 +75,14 @@ def test_labels_stay_with_the_store(spark, tmp_path):
     store.upsert(as_nodes(spark.createDataFrame([("g", "Entity")], "id string, node_type string")), held(spark, [("e", "g"), ("g", "f")]))
     assert "labels" not in store.pointer() and ("e", "g", 1) in closures()[0]
     assert not store.label_forest()
+
+
+def test_a_bushy_forest_is_ranked_without_doubling(spark, monkeypatch):
+    """Leaves are taken off while they are half of the nodes, so that nothing is left to double; a chain is left to it whole."""
+    doubled, core = [], labels.core_labels
+    monkeypatch.setattr(labels, "core_labels", lambda children, weights: doubled.append(children.count()) or core(children, weights))
+    bushy = [("r", f"m{i}") for i in range(3)] + [(f"m{i}", f"f{i}{k}") for i in range(3) for k in range(4)] + [("f00", f"e{k}") for k in range(30)] + [("q", "m9")]
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(9)]
+    for pairs, left in ((bushy, 0), (chain, 9)):
+        got = {x.id: (x.root, x.first, x.last, x.depth) for x in labels.forest_labels(held(spark, pairs)).collect()}
+        assert got == brute_labels(pairs) and doubled.pop() == left
