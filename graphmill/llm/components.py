@@ -19,16 +19,16 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "stars"
     )
-    mark = None
+    mark, n = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u != v").distinct(), "stars")
+        large = stored(large.filter("u != v").distinct(), "stars", n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = stored(small.filter("u != v").distinct(), "stars")
+        after = stored(small.filter("u != v").distinct(), "stars", n)
         new_mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(large)
         discard(now)
@@ -37,4 +37,4 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
             found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             found.graphmill_folder = now.graphmill_folder
             return found
-        mark = new_mark
+        mark, n = new_mark, new_mark[0]

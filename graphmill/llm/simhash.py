@@ -266,13 +266,13 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", radius: int = 2, le
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     cells, made = cells_of(classes, tree, radius, leaf_most)
-    links = stored(cells.groupBy("leaf", "low", "high").applyInArrow(solve, "a long, b long").distinct(), "simhash-links")
+    links = stored(cells.groupBy("leaf", "low", "high").applyInArrow(solve, "a long, b long").distinct(), "simhash-links", 2 * n)
     stars = connected(links, "a", "b")
     roots = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     linked = classes.join(roots, "fp", "left")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    named = stored(named, "simhash-components")
+    named = stored(named, "simhash-components", n)
     for table in (*made, links, classes, stars):
         discard(table)
     return rows.drop("component_id").join(named, "fp")
@@ -517,14 +517,15 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("s_fp").alias("fp"), F.min("s_mins").alias("mins"), F.min("s_bands").alias("bands"), F.min("s_size").alias("size"), F.min("d_row").alias("first_row")
     )
     classes = stored(classes, "sketch-classes")
+    n = classes.count()
     bands = classes.select("s_set", "size", F.posexplode("bands").alias("at", "band"))
     parts = F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.ceil(F.sum("size") * 8 / SHARD_BYTES)).cast("int")
-    shared = stored(bands.groupBy("band").agg(parts.alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-bands")
-    members = stored(bands.drop("size").join(shared, "band").withColumn("block", F.pmod(F.xxhash64("band", "s_set"), "blocks").cast("int")), "band-members")
+    shared = stored(bands.groupBy("band").agg(parts.alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-bands", BANDS * n // 2)
+    members = stored(bands.drop("size").join(shared, "band").withColumn("block", F.pmod(F.xxhash64("band", "s_set"), "blocks").cast("int")), "band-members", BANDS * n)
     sketches = classes.select("s_set", "mins", "size")
 
     likely = solved(members.join(sketches, "s_set"), ["band", "block"], ["size"], lambda *x: shard_links(*x, similarity))
-    first = stored(likely.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")), "likely-links")
+    first = stored(likely.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")), "likely-links", n)
     ends = first.select("a").unionByName(first.select(F.col("b").alias("a"))).select(F.col("a").alias("s_set")).distinct()
     sets = shingle_sets(ends, rows, classes, "d_row", body, shingle)
     named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
@@ -534,21 +535,21 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Shards within one group are done; the others' blocks meet each with each.
     labelled = members.join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set")).drop("root")
-    labelled = stored(labelled, "labelled-members")
+    labelled = stored(labelled, "labelled-members", BANDS * n)
     mixed = labelled.groupBy("band").agg(F.min("s_group").alias("low"), F.max("s_group").alias("high")).filter("low != high").select("band")
-    open_ = stored(labelled.join(mixed, "band", "left_semi"), "mixed-members")
+    open_ = stored(labelled.join(mixed, "band", "left_semi"), "mixed-members", BANDS * n)
     discard(members), discard(shared), discard(first)
     sets = shingle_sets(open_.select("s_set").distinct(), rows, classes, "d_row", body, shingle)
     cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(classes.select("s_set", "mins", "size", "bands"), "s_set").join(sets, "s_set")
-    second = stored(solved(cells, ["band", "low", "high"], ["size", "s_group", "block", "at", "bands", "hashes"], lambda *x: shard_decided(*x, similarity)).select("a", "b").distinct(), "second-links")
+    second = stored(solved(cells, ["band", "low", "high"], ["size", "s_group", "block", "at", "bands", "hashes"], lambda *x: shard_decided(*x, similarity)).select("a", "b").distinct(), "second-links", n)
     discard(sets), discard(labelled), discard(open_)
     before, stars = stars, connected(second.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
     grouped = rows.select("s_set", "d_row", F.col(names[others.index(id_col)]).alias("id")).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
     best = stored(
-        grouped.groupBy("s_group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups"
+        grouped.groupBy("s_group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "d_row")).alias("best"), F.count("*").alias("n")).filter("n > 1"), "near-groups", n
     )
-    losers = stored(grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best"), "near-losers")
+    losers = stored(grouped.join(best, "s_group").select("d_row", F.col("best.d_row").alias("d_best")).filter("d_row != d_best"), "near-losers", rows.count())
     for table in (classes, before, second, stars, best):
         discard(table)
     out = rows.select(*names, "d_row").join(losers, "d_row", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import sys
@@ -16,6 +17,9 @@ from graphmill.sources.shared import shared_folder
 
 #: Names that Hadoop gives to stores which Arrow knows by another.
 ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: Narrow rows that are worth a file of their own. Each file of a table costs round trips to its store, and on a local one without native code
+#: a process that the executor forks.
+FILE_ROWS = 1 << 18
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -23,9 +27,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage is cut, and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: lineage is cut, and a lost executor costs nothing.
+
+    rows: about how many narrow rows it has at most, where that is known; then it is written by a task for each core, or for each FILE_ROWS if
+    these are more, however many partitions shuffles have. Only for plans whose last step is a cheap one after a shuffle.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(rows / FILE_ROWS)))
     where = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(where)
     back = spark.read.schema(df.schema).parquet(where)

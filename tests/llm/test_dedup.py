@@ -130,3 +130,27 @@ def test_fingerprints_of_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(with_fingerprints(empty, "text")).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_small_tables_take_few_files_however_many_partitions(spark, monkeypatch):
+    from graphmill.llm import components, storage
+
+    made = []
+
+    def counted(*args):
+        out = storage.stored(*args)
+        made.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "stored", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
+        got = {r.node: r.root for r in components.connected(chain, "a", "b").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(1, 61)}
+    assert len(made) > 3 and max(made[1:]) <= spark.sparkContext.defaultParallelism
