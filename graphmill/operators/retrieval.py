@@ -23,6 +23,8 @@ if TYPE_CHECKING:
 MOST_QUERIES = 1000
 #: A product of matrices may be off by so much; so many candidates are scored again at once.
 SLACK, CHECKED = 1e-9, 1 << 16
+#: So many products, 8 bytes each, are held at once, however many rows an Arrow batch has.
+HELD_SCORES = 1 << 20
 
 
 def unit(vectors: DataFrame, column: str) -> DataFrame:
@@ -39,10 +41,15 @@ class TopScores:
         self.names, self.vectors, self.k, self.held = names, vectors, k, None
 
     def add(self, ids: pa.Array, rows: np.ndarray) -> None:
+        if not len(self.vectors):
+            return
+        step = max(1, HELD_SCORES // len(self.vectors))
+        for at in range(0, len(rows), step):
+            self._add(ids[at : at + step], rows[at : at + step])
+
+    def _add(self, ids: pa.Array, rows: np.ndarray) -> None:
         import pyarrow as pa
 
-        if not len(rows) or not len(self.vectors):
-            return
         score = self.vectors @ rows.T
         if score.shape[1] > self.k:
             least = np.partition(score, -self.k, axis=1)[:, -self.k]

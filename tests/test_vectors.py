@@ -42,3 +42,20 @@ def test_hot_cell_is_split(spark, tmp_path, monkeypatch):
     assert whole(vector_index.search_index(index, asked, 8, probes=5)) == whole(retrieval.nearest(asked, base, 8))
     with pytest.raises(ValueError):
         vector_index.build_index(base.limit(0), f"file://{tmp_path}/j")
+
+
+def test_products_are_held_in_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    asked, rows = r.normal(size=(1000, 8)), r.normal(size=(10000, 8))
+    top = retrieval.TopScores(pa.array(range(1000)), asked, 5)
+    tracemalloc.start()
+    top.add(pa.array(range(10000)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = top.rows()
+    best = np.argsort(-(asked @ rows.T), axis=1)[:, :5]
+    assert got.column("id").to_pylist() == best.ravel().tolist() and peak < 40 << 20
