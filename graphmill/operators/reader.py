@@ -148,15 +148,19 @@ def expand(
         raise ValueError(f"unknown direction: {direction}")
     kinds = [t for t in dict.fromkeys(edge_types) if t in VISIBLE_EDGE_TYPES]
     shown = edges.filter(F.col("edge_type").isin(*kinds) if kinds else F.lit(False)).select("id", "edge_type", "kind", "source_id", "target_id")
-    seeds = origins.select(F.col("id").alias("origin")).distinct()
+    shown_nodes = visible_nodes(nodes)
+    # Origins that are not shown go before any edge moves, and an edge moves as origin and neighbour, which say its ends.
+    seeds = origins.select(F.col("id").alias("origin")).distinct().join(shown_nodes.select(F.col("id").alias("origin")), "origin", "left_semi")
     # A loop leaves its origin, so it is outgoing even where only incoming edges are asked for.
     away = F.when(F.col("source_id") == F.col("origin"), "outgoing").otherwise("incoming")
     ends = {"outgoing": F.array("source_id"), "incoming": F.array("target_id"), "both": F.array_distinct(F.array("source_id", "target_id"))}[direction]
-    hops = shown.withColumn("origin", F.explode(ends)).join(seeds, "origin")
+    hops = shown.withColumn("origin", F.explode(ends))
     hops = hops.withColumns({"direction": away, "neighbor": F.when(F.col("source_id") == F.col("origin"), F.col("target_id")).otherwise(F.col("source_id"))})
-    ends = visible_nodes(nodes)
-    named = ends.select(F.col("id").alias("neighbor"), F.col("node_type").alias("neighbor_type"), node_label().alias("neighbor_label"))
-    hops = hops.join(named, "neighbor").join(ends.select(F.col("id").alias("origin")), "origin", "left_semi")
+    hops = hops.select("id", "edge_type", "kind", "origin", "neighbor", "direction").join(seeds, "origin")
+    named = shown_nodes.select(F.col("id").alias("neighbor"), F.col("node_type").alias("neighbor_type"), node_label().alias("neighbor_label"))
+    hops = hops.join(named, "neighbor")
+    outgoing = F.col("direction") == "outgoing"
+    hops = hops.withColumns({"source_id": F.when(outgoing, F.col("origin")).otherwise(F.col("neighbor")), "target_id": F.when(outgoing, F.col("neighbor")).otherwise(F.col("origin"))})
     if limit is not None:
         hops = hops.withColumn("place", F.row_number().over(Window.partitionBy("origin").orderBy("id"))).filter(F.col("place") <= limit).drop("place")
     return hops.select("origin", F.col("id").alias("edge_id"), "edge_type", "kind", "source_id", "target_id", "direction", "neighbor", "neighbor_type", "neighbor_label")

@@ -229,3 +229,25 @@ def test_trails_keep_only_edges_between_sources_and_targets(spark):
     kept = edges.join(traversal.useful_pairs(edges, one("s"), one("t").withColumnRenamed("id", "target_id"), 3), (F.xxhash64("source_id") == F.col("a")) & (F.xxhash64("target_id") == F.col("b")))
     assert sorted((r.id, r.left) for r in kept.collect()) == [("at", 0), ("sa", 1), ("st", 0)]
     assert sorted(r.path for r in traversal.trails(edges, one("s"), one("t"), 4).collect()) == ["s>a>b>a>t", "s>a>b>c>t", "s>a>t", "s>t"]
+
+
+def test_expanding_moves_an_edge_as_origin_and_neighbour(spark):
+    from graphmill.model import as_edges, as_nodes
+    from graphmill.operators import reader
+
+    nodes = as_nodes(spark.createDataFrame([("a", "File"), ("b", "File"), ("h", "Anchor")], "id string, node_type string"))
+    ends = [("1", "a", "b"), ("2", "b", "a"), ("3", "a", "a"), ("4", "h", "a"), ("5", "b", "h")]
+    edges = as_edges(spark.createDataFrame([(*e, "CONTAINS", "k") for e in ends], "id string, source_id string, target_id string, edge_type string, kind string"))
+    seeds = spark.createDataFrame([("a",), ("h",)], "id string")
+    got = {way: sorted((r.edge_id[-1:], r.source_id, r.target_id, r.direction, r.neighbor) for r in reader.expand(nodes, edges, seeds, way).collect()) for way in reader.DIRECTIONS}
+    out, back, loop = ("a", "b", "outgoing", "b"), ("b", "a", "incoming", "b"), ("a", "a", "outgoing", "a")
+    assert {k: sorted(x[1:] for x in v) for k, v in got.items()} == {"outgoing": sorted([out, loop]), "incoming": sorted([back, loop]), "both": sorted([out, back, loop])}
+
+    def joined(plan):
+        if plan.nodeName() == "Join":
+            yield plan.output().toString()
+        for i in range(plan.children().size()):
+            yield from joined(plan.children().apply(i))
+
+    found = list(joined(reader.neighbors(nodes, edges, seeds, limit=5)._jdf.queryExecution().optimizedPlan()))
+    assert found and not any("source_id" in x or "target_id" in x for x in found)
