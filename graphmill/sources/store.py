@@ -245,13 +245,16 @@ class GraphStore:
             raise ValueError("more than one embedding dimension in one graph")
         return {"label": held.label, "property": held.property, "dimension": held.dimension, "similarity": "cosine"} if held.vectors else before
 
-    def write(self, nodes: DataFrame, edges: DataFrame, uses: DataFrame | None = None) -> int:
-        """A new version of the whole graph; the one before it stays for readers that hold it, older ones go."""
+    def write(self, nodes: DataFrame, edges: DataFrame, uses: DataFrame | None = None, only_whole: bool = False) -> int:
+        """A new version of the whole graph; the one before it stays for readers that hold it, older ones go. only_whole: edges without both
+        ends among the nodes are left out."""
         old = self.pointer()
         version = old["version"] + 1
         nodes, edges = as_nodes(nodes), as_edges(edges)
         pointer = {"version": version, "buckets": self.wanted, "changes": [], "nodes": self._write_buckets(version, "nodes", nodes, self.wanted)}
         pointer["vector_index"] = self._vectors(self._base(pointer, "nodes", None))
+        if only_whole:
+            edges = without_open_ends(edges, self._base(pointer, "nodes", None).select("id"))
         pointer["sources"] = self._write_buckets(version, "sources", edges, self.wanted)
         # The second copy is made of the first, so edges are computed once.
         pointer["targets"] = self._write_buckets(version, "targets", self._base(pointer, "sources", None), self.wanted)
@@ -312,8 +315,7 @@ class GraphStore:
 
     def overwrite(self, nodes: DataFrame, edges: DataFrame, uses: DataFrame | None = None) -> int:
         """Full rebuild: edges without both ends are left out, as in an upsert into an empty graph."""
-        nodes, edges = as_nodes(nodes), as_edges(edges)
-        return self.write(nodes, with_both_ends(edges, nodes.select("id")), uses)
+        return self.write(nodes, edges, uses, only_whole=True)
 
     def change(self, nodes: DataFrame, edges: DataFrame, gone_nodes: DataFrame | None = None, gone_edges: DataFrame | None = None, uses: DataFrame | None = None, again: DataFrame | None = None) -> int:
         """One version on: removes nodes (id) and edges (id, source_id, target_id), then upserts nodes and edges: a filled property of a new row
@@ -433,6 +435,19 @@ def with_both_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.select(*EDGES.names)
 
 
+def without_open_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """with_both_ends() for a whole graph, of which few edges lack an end: they are stored once, ends that are no node are found among the
+    different ones, and only these meet the edges again. Where there are none, no edge moves."""
+    edges = cut(edges.filter("source_id is not null and target_id is not null"))
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    lost = cut(ends.join(ids, "id", "left_anti"))
+    if lost.isEmpty():
+        return edges
+    for end in ("source_id", "target_id"):
+        edges = edges.join(lost.select(F.col("id").alias(end)), end, "left_anti")
+    return edges.select(*EDGES.names)
+
+
 def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, source_id, target_id) of the edges with either end among the ids."""
     parts = [edges.join(ids.select(F.col("id").alias(end)), end, "left_semi").select("id", "source_id", "target_id") for end in ("source_id", "target_id")]

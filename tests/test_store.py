@@ -97,3 +97,16 @@ def test_changes_equal_a_dictionary(spark, tmp_path, monkeypatch):
         assert {(x.source_id, x.target_id) for x in found[1].collect()} == edges, step
         other = store._table(store.pointer(), "targets")
         assert {(x.source_id, x.target_id) for x in other.collect()} == edges
+
+
+def test_edges_with_open_ends_are_found_without_moving_the_others(spark):
+    from graphmill.model import as_edges
+    from graphmill.sources.store import with_both_ends, without_open_ends
+
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = [("a", "b"), ("b", "b"), ("a", "x"), ("y", "b"), (None, "a"), ("a", None)]
+    edges = as_edges(spark.createDataFrame([(s, t, "CALLS", "k") for s, t in rows], "source_id string, target_id string, edge_type string, kind string"))
+    ends = lambda df: sorted((r.source_id, r.target_id) for r in df.collect())
+    assert ends(without_open_ends(edges, ids)) == ends(with_both_ends(edges, ids)) == [("a", "b"), ("b", "b")]
+    whole = without_open_ends(edges.filter("source_id in ('a', 'b') and target_id = 'b'"), ids)
+    assert len(whole.collect()) == 2 and "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
