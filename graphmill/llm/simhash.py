@@ -294,6 +294,8 @@ GATHERED = 1 << 22
 SLACK = 5.0
 #: Pairs that a task sends on at a time.
 PAIRS = 1 << 16
+#: Bits of the table that texts meet before they move, of which the wanted ones set one each: 1 MB at most, however many they are.
+FILTER_BITS = 1 << 23
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
@@ -381,6 +383,29 @@ def sizes_allow(sizes, size, similarity: float):
     return np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9
 
 
+def comparable(row: int, mins, sizes, group, blocks, band, bands, two: bool, need: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The later rows of other groups (and, of two blocks, of the other one) that the estimate doesn't rule out for a row, and how many hashes agree:
+    pairs count in the first band that they share."""
+    other = row + 1 + np.flatnonzero((group[row + 1 :] != group[row]) & sizes_allow(sizes[row + 1 :], sizes[row], similarity))
+    if two:
+        other = other[blocks[other] != blocks[row]]
+    same = (mins[other] == mins[row]).sum(1)
+    other, same = other[same >= need], same[same >= need]
+    first = (bands[other] == bands[row]).argmax(1) == band[row]
+    return other[first], same[first]
+
+
+def shard_candidates(ids, mins, sizes, groups, blocks, band, bands, similarity: float):
+    """(id, id, 1) of each row of one shard, or of two blocks of it, that shard_decided would have to compare with another."""
+    need, bands = agreeing(similarity, SLACK), np.array(bands, np.int64)
+    two, hit = len(np.unique(blocks)) > 1, np.zeros(len(ids), bool)
+    for row in range(len(ids) - 1):
+        other, _ = comparable(row, mins, sizes, groups, blocks, band, bands, two, need, similarity)
+        hit[other] = True
+        hit[row] |= len(other) > 0
+    yield ids[hit], ids[hit], np.ones(int(hit.sum()), np.int64)
+
+
 def shard_decided(ids, mins, sizes, groups, blocks, band, bands, hashes, similarity: float):
     """(id, id, agreeing hashes) that link the groups of one shard, or of two blocks of it, by true similarity.
 
@@ -397,13 +422,7 @@ def shard_decided(ids, mins, sizes, groups, blocks, band, bands, hashes, similar
     mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
     two = len(np.unique(blocks)) > 1
     for row in range(n - 1):
-        other = row + 1 + np.flatnonzero((group[row + 1 :] != group[row]) & sizes_allow(sizes[row + 1 :], sizes[row], similarity))
-        if two:
-            other = other[blocks[other] != blocks[row]]
-        same = (mins[other] == mins[row]).sum(1)
-        other, same = other[same >= need], same[same >= need]
-        first = (bands[other] == bands[row]).argmax(1) == band[row]
-        other, same = other[first], same[first]
+        other, same = comparable(row, mins, sizes, group, blocks, band, bands, two, need, similarity)
         mark[codes[begin[row] : begin[row + 1]]] = True
         for part in np.split(np.arange(len(other)), np.flatnonzero(np.diff(np.cumsum(counts[other]) // GATHERED)) + 1):
             part = part[group[other[part]] != group[row]]
@@ -463,8 +482,17 @@ def solved(rows: DataFrame, keys: list[str], columns: list[str], solve) -> DataF
     return rows.select(*keys, "s_set", "mins", *columns).repartition(*keys).sortWithinPartitions(*keys, "s_set").mapInArrow(each, "a long, b long, same long")
 
 
-def shingle_sets(wanted: DataFrame, rows: DataFrame, classes: DataFrame, row_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(s_set, hashes): the sorted hashes of all shingles of the wanted classes (s_set), from one text of each."""
+def hash_filtered(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key none of the wanted has: a key passes where the bit of its hash is set. So few rows that an exact join
+    would drop have to move to it, as long as the wanted are few beside FILTER_BITS."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    place = [F.floor(bit / 64).alias("_word"), (bit % 64).cast("int").alias("_bit")]
+    words = wanted.select(*place).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return rows.select("*", *place).join(F.broadcast(words), "_word").filter("shiftright(_bits, _bit) & 1 = 1").select(*rows.columns)
+
+
+def shingle_sets(wanted: DataFrame, rows: DataFrame, classes: DataFrame, row_col: str, text_col: str, shingle: int, n: int) -> DataFrame:
+    """(s_set, hashes): the sorted hashes of all shingles of the wanted ones (s_set) of n classes, from one text of each."""
     import pyarrow as pa
 
     from graphmill.llm.text import space_words
@@ -474,8 +502,11 @@ def shingle_sets(wanted: DataFrame, rows: DataFrame, classes: DataFrame, row_col
             found = [np.unique(shingle_hashes(space_words(t.as_py() or b""), shingle)).tobytes() for t in batch.column("body").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("s_set"), pa.array(found, pa.binary())], ["s_set", "hashes"])
 
-    texts = rows.select(F.col(row_col).alias("first_row"), F.col(text_col).alias("body")).join(classes.select("s_set", "first_row").join(wanted.select("s_set"), "s_set", "left_semi"), "first_row")
-    return stored(texts.select("s_set", "body").mapInArrow(sets, "s_set long, hashes binary"), "shingle-sets")
+    firsts = stored(classes.select("s_set", "first_row").join(wanted.select("s_set"), "s_set", "left_semi"), "wanted-sets", n)
+    texts = hash_filtered(rows.select(F.col(row_col).alias("first_row"), F.col(text_col).alias("body")), firsts, "first_row").join(firsts, "first_row")
+    found = stored(texts.select("s_set", "body").mapInArrow(sets, "s_set long, hashes binary"), "shingle-sets")
+    discard(firsts)
+    return found
 
 
 def truly_linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -527,7 +558,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     likely = solved(members.join(sketches, "s_set"), ["band", "block"], ["size"], lambda *x: shard_links(*x, similarity))
     first = stored(likely.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")), "likely-links", n)
     ends = first.select("a").unionByName(first.select(F.col("b").alias("a"))).select(F.col("a").alias("s_set")).distinct()
-    sets = shingle_sets(ends, rows, classes, "d_row", body, shingle)
+    sets = shingle_sets(ends, rows, classes, "d_row", body, shingle, n)
     named = near_duplicates(classes.select("s_set", "fp"), "s_set", radius).filter("s_set != component_id").select(F.col("s_set").alias("a"), F.col("component_id").alias("b"))
     true = truly_linked(first, sets, similarity)
     stars = connected(true.unionByName(named), "a", "b")
@@ -539,11 +570,13 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = labelled.groupBy("band").agg(F.min("s_group").alias("low"), F.max("s_group").alias("high")).filter("low != high").select("band")
     open_ = stored(labelled.join(mixed, "band", "left_semi"), "mixed-members", BANDS * n)
     discard(members), discard(shared), discard(first)
-    sets = shingle_sets(open_.select("s_set").distinct(), rows, classes, "d_row", body, shingle)
-    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(classes.select("s_set", "mins", "size", "bands"), "s_set").join(sets, "s_set")
-    second = stored(solved(cells, ["band", "low", "high"], ["size", "s_group", "block", "at", "bands", "hashes"], lambda *x: shard_decided(*x, similarity)).select("a", "b").distinct(), "second-links", n)
-    discard(sets), discard(labelled), discard(open_)
+    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    cells, keys, columns = cells.join(classes.select("s_set", "mins", "size", "bands"), "s_set"), ["band", "low", "high"], ["size", "s_group", "block", "at", "bands"]
+    # Whole sets go only to rows that have a candidate at all, which the sketches tell.
+    able = stored(solved(cells, keys, columns, lambda *x: shard_candidates(*x, similarity)).select(F.col("a").alias("s_set")).distinct(), "candidates", n)
+    sets = shingle_sets(able, rows, classes, "d_row", body, shingle, n)
+    second = stored(solved(cells.join(sets, "s_set"), keys, [*columns, "hashes"], lambda *x: shard_decided(*x, similarity)).select("a", "b").distinct(), "second-links", n)
+    discard(sets), discard(able), discard(labelled), discard(open_)
     before, stars = stars, connected(second.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
     grouped = rows.select("s_set", "d_row", F.col(names[others.index(id_col)]).alias("id")).join(stars.select(F.col("node").alias("s_set"), "root"), "s_set", "left").withColumn("s_group", F.coalesce("root", "s_set"))
     best = stored(

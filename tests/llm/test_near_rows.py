@@ -120,3 +120,23 @@ def test_dense_groups_in_small_shards(spark, monkeypatch):
     want = brute_groups(texts)
     assert 20 < len(set(want)) < 140
     assert groups(spark, texts) == want
+
+
+def test_texts_that_are_not_wanted_stay_where_they_are(spark):
+    rows = spark.range(20_000).selectExpr("id", "concat('text ', id) AS body")
+    wanted = spark.range(0, 20_000, 40)
+    got = {x.id for x in simhash.hash_filtered(rows, wanted, "id").collect()}
+    assert set(range(0, 20_000, 40)) <= got and len(got) < 600
+    assert simhash.hash_filtered(rows, wanted.limit(0), "id").count() == 0
+
+
+def test_only_rows_with_a_candidate_get_their_sets():
+    r = random.Random(8)
+    texts = [*family(r, 2, 6), *family(r, 2, 6), *(x for _ in range(40) for x in family(r, 1, 0))]
+    found = [simhash.sketch(x.encode(), 5) for x in texts]
+    ids, n = np.arange(len(texts)), len(texts)
+    mins = np.array([list(x[2]) for x in found], np.uint8)
+    # The second pair is one group already. All meet in the first band.
+    groups = np.array([0, 1, 2, 2, *range(4, n)])
+    shard = (ids, mins, np.array([x[4] for x in found]), groups, np.zeros(n, np.int64), np.zeros(n, np.int64), [[7, *range(k * 100, k * 100 + 24)] for k in range(n)])
+    assert [x.tolist() for x, _, _ in simhash.shard_candidates(*shard, 0.5)] == [[0, 1]]
