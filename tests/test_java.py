@@ -150,3 +150,21 @@ def test_a_resolver_reads_stored_names(spark):
 
     graph.typed_calls(found, found, each, asked, symbols, Recording())
     assert len(asked_of) == 2 and not any("Join" in optimized(df) or "Aggregate" in optimized(df) for df in (symbols, *asked_of[:1]))
+
+
+def test_uses_meet_their_owners_in_their_own_row(spark, monkeypatch):
+    from graphmill.java import graph
+    from graphmill.operators.traversal import cut
+
+    files = spark.createDataFrame([("b/Cart.java", SHOP), ("c/Base.java", BASE), ("b/Helper.java", HELPER)], "path string, content binary")
+    found = cut(graph.scanned(files))
+    each = cut(graph.entities(found, None, "r"))
+    joins, join = [], graph.intervals.innermost_owners
+    monkeypatch.setattr(graph.intervals, "innermost_owners", lambda *x: joins.append(1) or join(*x))
+    got = sorted(map(str, graph.placed_uses(found, each).collect()))
+    assert len(got) == 20 and not joins
+    # The join, which larger files take, says the same; here some files are large and some are not.
+    for most in (0, 40):
+        monkeypatch.setattr(graph, "MOST_IN_ROW", most)
+        assert sorted(map(str, graph.placed_uses(found, each).collect())) == got
+    assert len(joins) == 2
