@@ -168,3 +168,13 @@ def test_uses_meet_their_owners_in_their_own_row(spark, monkeypatch):
         monkeypatch.setattr(graph, "MOST_IN_ROW", most)
         assert sorted(map(str, graph.placed_uses(found, each).collect())) == got
     assert len(joins) == 2
+
+
+def test_only_wanted_columns_leave_the_scan(spark):
+    from graphmill.java import graph
+
+    files = spark.createDataFrame([("b/Cart.java", SHOP), ("c/Base.java", BASE), ("x/Bad.java", b"import a.B; class"), ("e/Empty.java", None)], "path string, content binary")
+    wanted = ("path", "package", "imports", "wildcards")
+    some = graph.scanned(files, wanted)
+    assert some.columns == list(wanted)
+    assert sorted(map(str, some.collect())) == sorted(map(str, graph.scanned(files).select(*wanted).collect()))
