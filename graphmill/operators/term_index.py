@@ -13,8 +13,8 @@ TERMS = T.StructType([T.StructField(c, T.StringType()) for c in ("term", "id", "
 
 def terms(nodes: DataFrame) -> DataFrame:
     """(term, id, place, type, label): each visible node under what a prefix search compares, place being its order in the result."""
-    held = F.array_distinct(F.array_compact(F.array(*(F.lower(c) for c in SEARCHED))))
-    return visible_nodes(nodes).select(F.explode(held).alias("term"), "id", search_order().alias("place"), F.col("node_type").alias("type"), node_label().alias("label"))
+    held = F.array_distinct(F.array(*(F.lower(c) for c in SEARCHED)))
+    return visible_nodes(nodes).select(F.explode(held).alias("term"), "id", search_order().alias("place"), F.col("node_type").alias("type"), node_label().alias("label")).filter("term is not null")
 
 
 def write_terms(rows: DataFrame, where: str, files: int) -> None:

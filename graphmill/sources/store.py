@@ -26,7 +26,7 @@ USES = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "sort",
 class GraphStore:
     """Merge-on-read tables of nodes and edges.
 
-    The base of a table lies in buckets by a hash of a node's id, each in files by node or edge type and sorted by that id. A change
+    The base of a table lies in buckets by a hash of a node's id, each in files by node or edge type. A change
     is a folder of the rows it writes and the ids it removes; readers merge the changes since into the rows of the base that they touch,
     all other rows are read as they are. Beyond MOST_CHANGES changes the buckets that they touch are written anew, and only those.
     A version is what the newest `current` document lists: for each bucket the version that wrote it, and the changes. Writers
@@ -176,7 +176,7 @@ class GraphStore:
         return found
 
     def _buckets_of(self, at: dict, ids: DataFrame) -> list[int]:
-        return sorted(r[0] for r in ids.select(bucket("id", at["buckets"])).distinct().collect())
+        return sorted(r[0] for r in ids.select(bucket("id", at)).distinct().collect())
 
     def _base(self, at: dict, name: str, only: list[int] | None) -> DataFrame:
         schema, _, kind = TABLES[name]
@@ -213,7 +213,7 @@ class GraphStore:
         if changes is None:
             return base
         if only is not None:
-            changes = changes.filter(bucket(key, at["buckets"]).isin(only))
+            changes = changes.filter(bucket(key, at).isin(only))
         touched = changes.select("id").distinct()
         rows = base.join(touched, "id", "left_semi").withColumns({"seq": F.lit(0), "gone": F.lit(False)}).unionByName(changes.select(*schema.names, "seq", "gone"))
         return base.join(touched, "id", "left_anti").select(*schema.names).unionByName(folded(rows, schema.names))
@@ -230,12 +230,21 @@ class GraphStore:
                 files.delete(gone, True)
         return pointer["version"]
 
-    def _write_buckets(self, version: int, name: str, rows: DataFrame, buckets: int) -> dict[str, int]:
-        """Writes a table's rows by bucket; {bucket: version} of those that hold any."""
-        _, key, kind = TABLES[name]
+    def _write_buckets(self, at: dict, version: int, name: str, rows: DataFrame, ids: DataFrame | None = None) -> dict[str, int]:
+        """Writes a table's rows, with ids (id) only those whose key is one, into the buckets of a pointer; {bucket: version}
+        of those that hold any. Rows move once: the shuffle that places them by their key is the join's as well."""
+        schema, key, kind = TABLES[name]
         where = f"v{version}/{name}"
-        placed = rows.withColumn("bucket", bucket(key, buckets))
-        placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", kind, key).write.mode("overwrite").partitionBy("bucket", kind).parquet(f"{self.root}/{where}")
+        if at.get("hash"):
+            placed = rows.repartition(at["buckets"], key)
+        else:
+            placed = rows.withColumn("bucket", bucket(key, at)).repartition(at["buckets"], "bucket")
+        if ids is not None:
+            # Not a semi-join: the optimizer would take that below the shuffle, and rows would move for it too. Ids are placed alike, as
+            # the join would take a number of partitions of its own otherwise.
+            own = ids.select(F.col("id").alias(key)).repartition(at["buckets"], key).distinct()
+            placed = placed.join(own.hint("shuffle_hash"), key).select(*schema.names)
+        placed.withColumn("bucket", bucket(key, at)).sortWithinPartitions("bucket", kind).write.mode("overwrite").partitionBy("bucket", kind).parquet(f"{self.root}/{where}")
         return {x.removeprefix("bucket="): version for x in self._listed(f"{where}/bucket=*")}
 
     def _vectors(self, nodes: DataFrame, before: dict | None = None) -> dict | None:
@@ -251,13 +260,16 @@ class GraphStore:
         old = self.pointer()
         version = old["version"] + 1
         nodes, edges = as_nodes(nodes), as_edges(edges)
-        pointer = {"version": version, "buckets": self.wanted, "changes": [], "nodes": self._write_buckets(version, "nodes", nodes, self.wanted)}
+        pointer = {"version": version, "buckets": self.wanted, "hash": "hash", "changes": []}
+        pointer["nodes"] = self._write_buckets(pointer, version, "nodes", nodes)
         pointer["vector_index"] = self._vectors(self._base(pointer, "nodes", None))
-        if only_whole:
-            edges = without_open_ends(edges, self._base(pointer, "nodes", None).select("id"))
-        pointer["sources"] = self._write_buckets(version, "sources", edges, self.wanted)
+        ids = self._base(pointer, "nodes", None).select("id") if only_whole else None
+        pointer["sources"] = self._write_buckets(pointer, version, "sources", edges, ids)
         # The second copy is made of the first, so edges are computed once.
-        pointer["targets"] = self._write_buckets(version, "targets", self._base(pointer, "sources", None), self.wanted)
+        pointer["targets"] = self._write_buckets(pointer, version, "targets", self._base(pointer, "sources", None), ids)
+        # Each copy lacks the edges whose own end is no node. Where the second lost some, the first is made again of it.
+        if only_whole and self._base(pointer, "targets", None).count() < self._base(pointer, "sources", None).count():
+            pointer["sources"] = self._write_buckets(pointer, version, "sources", self._base(pointer, "targets", None))
         pointer["uses"] = self._write_uses(version, uses, None)
         if old.get("terms"):
             pointer["terms"] = self._write_terms(version, term_index.terms(self._base(pointer, "nodes", None)))
@@ -300,7 +312,10 @@ class GraphStore:
         size. Beyond MOST_CHANGES of them they become one, or, where that one is over a quarter of the oldest, all become one."""
         version, layers = pointer["version"], pointer["terms"]
         touched = cut(touched.select("id").distinct())
-        rows = term_index.terms(self._table(pointer, "nodes", self._buckets_of(pointer, touched)).join(touched, "id", "left_semi"))
+        # The newest change touched all of them, so all that is read of them is folded. The terms are stored, as sorting them by range reads them twice.
+        base = self._base(pointer, "nodes", self._buckets_of(pointer, touched)).withColumns({"seq": F.lit(0), "gone": F.lit(False)})
+        both = base.unionByName(self._changes(pointer, "nodes").select(*base.columns))
+        rows = cut(term_index.terms(folded(both.join(touched.hint("shuffle_hash"), "id", "left_semi"), NODES.names)))
         if len(layers) <= MOST_CHANGES:
             return [*layers, *self._write_terms(version, rows, touched)]
         sizes = [term_index.size_of(self.spark, self._terms_at(v)) for v in layers]
@@ -358,7 +373,7 @@ class GraphStore:
             changes = self._changes(old, name)
             touched = self._buckets_of(old, changes.select(F.col(key).alias("id"))) if changes is not None else []
             if touched:
-                written = self._write_buckets(version, name, self._table(old, name, touched), old["buckets"])
+                written = self._write_buckets(old, version, name, self._table(old, name, touched))
                 pointer[name] = {k: v for k, v in old[name].items() if int(k) not in touched} | written
         return pointer
 
@@ -412,8 +427,10 @@ class GraphStore:
         return {"nodes": {f.name: f.dataType.simpleString() for f in nodes.schema}, "edges": {f.name: f.dataType.simpleString() for f in edges.schema}, "vector_index": self.pointer().get("vector_index")}
 
 
-def bucket(column: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int").alias("bucket")
+def bucket(column: str, at: dict) -> Column:
+    """The bucket of a key in a pointer's base: since pointers name it, by the hash that Spark's shuffles place rows by, so that a task writes
+    one bucket; an older base is placed by another one and keeps it."""
+    return F.pmod(F.hash(column) if at.get("hash") else F.xxhash64(column), F.lit(at["buckets"])).cast("int").alias("bucket")
 
 
 def listed_versions(pointer: dict) -> set[int]:

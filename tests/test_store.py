@@ -110,3 +110,37 @@ def test_edges_with_open_ends_are_found_without_moving_the_others(spark):
     assert ends(without_open_ends(edges, ids)) == ends(with_both_ends(edges, ids)) == [("a", "b"), ("b", "b")]
     whole = without_open_ends(edges.filter("source_id in ('a', 'b') and target_id = 'b'"), ids)
     assert len(whole.collect()) == 2 and "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_graph_is_stored_without_a_copy_beside_its_tables(spark, tmp_path, monkeypatch):
+    """Open ends are found as edges are placed: nothing is cut, a task writes one bucket, and both copies lack such edges."""
+    monkeypatch.setattr(stores, "cut", lambda df: pytest.fail("edges were stored beside the tables"))
+    store = GraphStore(spark, f"file://{tmp_path}/g", buckets=7)
+    nodes = nodes_of(spark, [(f"n{k}", "Entity", None, None) for k in range(60)] + [("n0", "Entity", "again", None)])
+    rows = [("DEPENDS_ON", f"n{k}", f"n{k * 7 % 60}", "calls") for k in range(60)]
+    opened = [("DEPENDS_ON", "n1", "x", "calls"), ("DEPENDS_ON", "y", "n2", "calls"), ("DEPENDS_ON", None, "n3", "calls"), ("DEPENDS_ON", "n4", None, "calls")]
+    for given in (rows, rows + opened, opened[1:3], opened, []):
+        store.overwrite(nodes, edges_of(spark, given))
+        at = store.pointer()
+        for name in ("sources", "targets"):
+            found = sorted((r.edge_type, r.source_id, r.target_id, r.kind) for r in store._table(at, name).collect())
+            assert found == (sorted(rows) if rows[0] in given else []), name
+            assert all(len(list(Path(f"{tmp_path}/g/v{v}/{name}/bucket={k}").rglob("*.parquet"))) == 1 for k, v in at[name].items())
+    store.write(nodes, edges_of(spark, rows + opened))
+    assert store.read()[1].count() == len(rows + opened)
+
+
+def test_a_base_of_an_older_placement_keeps_it(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/g", buckets=5)
+    nodes = nodes_of(spark, [(f"n{k}", "Entity", f"name {k}", None) for k in range(40)])
+    edges = edges_of(spark, [("DEPENDS_ON", f"n{k}", f"n{k * 7 % 40}", "calls") for k in range(40)])
+    old = {"version": 1, "buckets": 5, "changes": []}
+    store._publish(old | {name: store._write_buckets(old, 1, name, rows) for name, rows in (("nodes", nodes), ("sources", edges), ("targets", edges))})
+    store.upsert(nodes_of(spark, [("n3", "Entity", "new", None)]), edges_of(spark, []))
+    store.compact()
+    assert "hash" not in store.pointer()
+    ids = spark.createDataFrame([(f"n{k}",) for k in range(40)], "id string")
+    for k in (3, 4, 17):
+        one = ids.filter(f"id = 'n{k}'")
+        assert [r.display_name for r in store.nodes_of(one).collect()] == ["new" if k == 3 else f"name {k}"]
+        assert store.around(one)[1].count() == (2 if k * 7 % 40 != k else 1)

@@ -71,3 +71,18 @@ def test_small_layers_merge_beside_a_large_base(spark, tmp_path, monkeypatch):
     assert [x.id for x in store.auto_complete("y", 9).collect()] == ["n0", "n1", "n2"]
     assert [x.id for x in store.auto_complete("z", 9).collect()] == [x.id for x in store.auto_complete("z2", 9).collect()] == ["n9"]
     assert store.auto_complete("x", 500).count() == 196
+
+
+def test_a_change_folds_only_the_nodes_that_it_touches(spark, tmp_path, monkeypatch):
+    """Their terms are computed once, from rows that are touched, before they are sorted by range."""
+    store = GraphStore(spark, f"file://{tmp_path}/g", buckets=2)
+    nodes = lambda rows: as_nodes(spark.createDataFrame(rows, COLUMNS))
+    store.overwrite(nodes([(f"n{k}", "Entity", f"x{k}", None, None, None) for k in range(50)]), no_edges(spark))
+    store.index_terms()
+    plans, write = [], term_index.write_terms
+    monkeypatch.setattr(term_index, "write_terms", lambda rows, *more: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, *more)))
+    store.change(nodes([("n1", "Entity", None, "y", "X1", None), ("m", "File", "x1", None, None, None)]), no_edges(spark), spark.createDataFrame([("n2",)], "id string"))
+    assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
+    where = store._terms_at(store.pointer()["version"])
+    assert sorted((r.term, r.id) for r in spark.read.parquet(f"{where}/terms").collect()) == [("x1", "m"), ("x1", "n1"), ("y", "n1")]
+    assert [r.id for r in store.auto_complete("x1", 99).collect() if r.id in ("m", "n1")] == ["m", "n1"] and store.auto_complete("x2", 99).filter("id = 'n2'").isEmpty()
