@@ -1,7 +1,10 @@
 """What is stored and moved on the way, beside the same results: closures, lineages, shuffles and uses."""
 
-from graphmill.operators import maintenance, traversal
+import time
 
+from pyspark.sql import functions as F
+
+from graphmill.operators import maintenance, receivers, traversal
 
 
 def test_types_that_are_all_moved_are_met_once(spark, monkeypatch):
@@ -14,3 +17,40 @@ def test_types_that_are_all_moved_are_met_once(spark, monkeypatch):
     found = maintenance.touched_files(uses, spark.createDataFrame([("p0",)], "path string"), spark.createDataFrame([("size",)], "key string"), spark.createDataFrame(types, "path string, type string"), supers)
     assert {r.path for r in found.collect()} == {p for p, _ in types[1:]} | {"far"}
     assert len(stored) <= 2
+
+
+def test_a_pair_of_a_lineage_is_stored_once(spark, monkeypatch):
+    types = spark.createDataFrame([(k,) for k in range(20)], "id long")
+    # A line of 18 types, a shortcut in it, and a loop of two.
+    supers = spark.createDataFrame([(k + 1, k) for k in range(17)] + [(9, 2), (18, 19), (19, 18)], "child long, parent long")
+    stored, cut = [], receivers.cut
+
+    def counted(df):
+        stored.append(cut(df))
+        return stored[-1]
+
+    monkeypatch.setattr(receivers, "cut", counted)
+    got = {(r.type, r.holder): r.up for r in receivers.lineages(types, supers).collect()}
+    step, want = {}, {}
+    for r in supers.collect():
+        step.setdefault(r.child, set()).add(r.parent)
+    for k in range(20):
+        front, depth = {k}, 0
+        while front:
+            want |= {(k, x): depth for x in front}
+            front, depth = {y for x in front for y in step.get(x, ())} - {b for a, b in want if a == k}, depth + 1
+    assert got == want
+    assert sum(x.count() for x in stored) == len(want)
+
+
+def test_a_cut_leaves_no_shuffle(spark):
+    def held():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+
+    before = held()
+    found = traversal.cut(spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and found.count() == 997
