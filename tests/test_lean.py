@@ -4,7 +4,14 @@ import time
 
 from pyspark.sql import functions as F
 
-from graphmill.operators import maintenance, receivers, traversal
+from graphmill.java import graph
+from graphmill.operators import maintenance, receivers, semantics, traversal
+
+JAVA = {
+    "p/A.java": "package p; public class A { void run() { run(); } void run(int x) { } }",
+    "p/B.java": "package p; import java.util.*; class B extends A implements I { void run() { super.run(); A a = new A(); } }",
+    "p/I.java": "package p; interface I { void run(); }",
+}
 
 
 def test_types_that_are_all_moved_are_met_once(spark, monkeypatch):
@@ -54,3 +61,17 @@ def test_a_cut_leaves_no_shuffle(spark):
             break
         time.sleep(0.1)
     assert held() <= before and found.count() == 997
+
+
+def test_supertypes_are_those_of_the_whole_graph(spark):
+    rows = [(p, bytearray(t.encode()), p, ".", "maven", "root", "prod", "prod", ".") for p, t in JAVA.items()]
+    files = spark.createDataFrame(rows, "path string, content binary, content_hash string, module_root string, module_ecosystem string, module_name string, file_zone string, module_zone string, source_root string")
+    found = traversal.cut(graph.scanned(files))
+    nodes, edges = graph.structure(files, found, "r")
+    named = graph.semantic_edges(found, files, "r")[0]
+    own, up = graph.supertype_edges(found, "r")
+    assert sorted(map(str, up.collect())) == sorted(map(str, named.filter("edge_type = 'SPECIALIZES'").collect())) and up.count() == 2
+    columns = ["id", "qualified_name", "kind_norm"]
+    assert sorted(map(str, own.select(*columns).collect())) == sorted(map(str, nodes.filter("node_type = 'Entity'").select(*columns).collect()))
+    got = semantics.override_edges(own, up).select("source_id", "target_id")
+    assert sorted(got.collect()) == sorted(semantics.override_edges(nodes, edges.unionByName(named)).select("source_id", "target_id").collect())
